@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, sharding, token_counts
+from . import exact_dedup, line_dedup, mixing, packing, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -36,12 +36,23 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -53,4 +64,32 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n
     """,
+    "op10_line_dedup": """
+        WITH split AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no
+            FROM documents),
+        lines AS (SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM split),
+        firsts AS (SELECT line, length(line) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM lines WHERE line <> '' GROUP BY line),
+        sides AS (
+            SELECT line, n, first, n + m AS c, ((n + m - 1) // 2) AS half FROM firsts, (VALUES (0), (1)) AS t (m) WHERE n >= 10),
+        keys AS (
+            SELECT *, 'l' || left(line, half) AS key FROM sides UNION ALL SELECT *, 'r' || right(line, half) FROM sides),
+        pairs AS (
+            SELECT DISTINCT a.line AS line, b.line AS other, a.n AS n, b.n AS m, b.first AS near
+            FROM keys a JOIN keys b ON a.c = b.c AND a.key = b.key AND b.first < a.first AND abs(a.n - b.n) <= 1),
+        close AS (
+            SELECT line, min(near) AS near FROM pairs
+            WHERE len(list_filter(range(greatest(n, m)), lambda i: left(line, i) = left(other, i)
+                AND right(line, n - i - CASE WHEN n >= m THEN 1 ELSE 0 END) = right(other, m - i - CASE WHEN m >= n THEN 1 ELSE 0 END)
+                AND n - i - CASE WHEN n >= m THEN 1 ELSE 0 END >= 0 AND m - i - CASE WHEN m >= n THEN 1 ELSE 0 END >= 0)) > 0
+            GROUP BY line),
+        kept AS (SELECT line, coalesce(least(near, first), first) AS keep FROM firsts LEFT JOIN close USING (line)),
+        placed AS (
+            SELECT doc_id, line_no, CASE WHEN line = '' THEN {'d': doc_id, 'l': line_no} ELSE keep END AS keep
+            FROM lines LEFT JOIN kept USING (line))
+        SELECT doc_id, line_no::INT AS line_no, keep.d AS keep_id, keep.l::INT AS keep_no,
+               keep.d = doc_id AND keep.l = line_no AS kept
+        FROM placed
+    """,
 }
