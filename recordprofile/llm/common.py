@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +110,56 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def block_pairs(members: DataFrame, keys: Sequence[str], member: str, *, block: int = 256) -> DataFrame:
+    """Deal the members of each key so that every two of them meet in exactly one group.
+
+    ``members`` has the keys and the member id, each combination once.  Keys with one
+    member vanish.  A key's members fall into blocks of about ``block`` by hash, and
+    each member joins a group for every pair (lo, hi) that its block b is part of; so
+    a group has about two blocks of rows at most, whatever the size of the key.
+    """
+    keys = list(keys)
+    sizes = durable(members.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
+    blocks = F.ceil(F.col("__n") / block).cast("int")
+    dealt = members.join(sizes, keys).withColumn("__nb", blocks).withColumn("b", F.pmod(F.xxhash64(F.lit("block"), member), F.col("__nb")).cast("int"))
+    met = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
+    return met.select(*keys, member, "b", F.least("b", "__o").alias("lo"), F.greatest("b", "__o").alias("hi"))
+
+
+def groups_in_order(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys (no nulls) in a partition that is sorted by them, across its batches."""
+    pending: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if pending is not None:
+            rows = pa.concat_tables([pending, rows])
+        changed = np.zeros(rows.num_rows - 1, bool)
+        for key in keys:
+            values = rows.column(key).to_numpy()
+            changed |= values[1:] != values[:-1]
+        starts = [0, *(np.flatnonzero(changed) + 1)]
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield rows.slice(a, b - a)
+        pending = rows.slice(starts[-1])
+    if pending is not None:
+        yield pending
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n things linked by the pairs (a, b): for each the smallest number it is connected with."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        if np.array_equal(root, before):
+            break
+    return root
