@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, sharding, token_counts, toxicity
+from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, sharding, token_counts, toxicity, vector_join
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -52,6 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_vector_join": op3_vector_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
