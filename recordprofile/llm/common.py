@@ -54,6 +54,7 @@ def number_rows(
     into: str,
     *,
     rows_per_bucket: int = 40_000,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 0 without gaps, in an order fixed by ``order``.
 
@@ -62,12 +63,17 @@ def number_rows(
     within the key, give each bucket's first number.  So one key may hold all rows
     and still no task sorts more than a bucket.  ``df`` is read three times: pass a
     durable table.  Rows equal in all of ``order`` share a bucket; let ``order``
-    tell rows apart.
+    tell rows apart.  A ``bucket`` of the caller's (that never falls along
+    ``order``) numbers the rows in just that order.
     """
     keys = list(keys)
-    buckets = max(1, -(-df.count() // rows_per_bucket))
     h, b, first = (free_name(df, n) for n in ("__h", "__b", "__first"))
-    dealt = df.withColumn(h, F.xxhash64(*order)).withColumn(b, F.pmod(F.col(h), F.lit(buckets)).cast("int"))
+    if bucket is None:
+        buckets = max(1, -(-df.count() // rows_per_bucket))
+        hashed = F.xxhash64(*order)
+        dealt = df.withColumn(h, hashed).withColumn(b, F.pmod(hashed, F.lit(buckets)).cast("long"))
+    else:
+        dealt = df.withColumn(h, F.lit(0)).withColumn(b, bucket.cast("long"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     firsts = (
         dealt.groupBy(*keys, b)

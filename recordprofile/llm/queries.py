@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, sharding, token_counts, toxicity, vector_join
+from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, sharding, token_counts, tool_calls, toxicity, vector_join
 from .common import table
 
 
@@ -28,6 +28,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.calls_from_turns(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link_calls(calls, results, tool_calls.TURN_SCHEMAS)
+    return linked.select(F.col("conv").alias("conv_id"), F.col("call").alias("call_id"), "turn", "level", "position", "status", "problems", "json")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_vector_join": op3_vector_join,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_tool_calls": op5_tool_calls,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
