@@ -25,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +123,15 @@ def _sides(group: pa.Table) -> tuple[np.ndarray, bool]:
     return np.argsort(group.column("b").to_numpy(), kind="stable"), group.column("lo")[0] == group.column("hi")[0]
 
 
+def _spanning(ids: pa.Array, a: np.ndarray, b: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Each linked id with the smallest one it is connected with; the same ones in many groups, so that edges fold."""
+    by_id = np.asarray(pc.sort_indices(ids))
+    rank = np.argsort(by_id)
+    root = by_id[forest(len(ids), rank[a], rank[b])[rank]]
+    child = np.flatnonzero(root != np.arange(len(ids)))
+    return ids.take(pa.array(child)), ids.take(pa.array(root[child]))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.frombuffer(x.as_buffer(), np.uint32) for chunk in column.chunks for x in chunk])
 
@@ -193,12 +203,11 @@ def similar_documents(
             cut = len(order) if same else int(np.searchsorted(side, side[-1]))
             right = 0 if same else cut
             a, b = surviving_pairs(values[:cut], values[right:], least, same=bool(same))
-            root = forest(len(order), a, b + right)
-            child = np.flatnonzero(root != np.arange(len(order)))
-            if len(child):
-                yield from pa.table({"u": ids.take(child), "v": ids.take(root[child])}).to_batches()
+            u, v = _spanning(ids.combine_chunks(), a, b + right)
+            if len(u):
+                yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
-    dealt = block_pairs(suspects, ["bucket"], "rep", block=block).join(members.select("rep", "values"), "rep")
+    dealt = block_pairs(suspects, ["bucket"], "rep", block=2 * block).join(members.select("rep", "values"), "rep")
     edges = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(plausible, f"u {kind}, v {kind}")
     candidates = components(edges, "u", "v").select(F.col("id").alias("rep"), F.col("component").alias("part"))
 
