@@ -11,6 +11,7 @@ size depends on the number of leaves; no row moves before the shard is known.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from .common import durable, number_rows, utf8_bytes
 
 BINS = 1024
 #: A group of equal texts stays whole up to this part of a shard's target.
-WHOLE_GROUP = 1 / 64
+WHOLE_GROUP = 1 / 16
 
 
 def _unit(h: Column) -> Column:
@@ -78,6 +79,9 @@ def _medians(points: DataFrame, cuts: list[dict]) -> None:
                 c["at"] = found["high"] if c["want"] - before > found["size"] / 2 else found["low"]
             elif found["low"] == found["high"]:
                 c["at"] = found["low"]
+                # Of the last point the nearer side counts.
+                if c["dim"] == "tie" and before + found["size"] - c["want"] > c["want"] - before:
+                    c["at"] = math.nextafter(found["low"], -1.0)
             else:
                 c["low"], c["high"] = found["low"], found["high"]
     for c in cuts:
