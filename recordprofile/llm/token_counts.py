@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import worker_bpe
+from .common import durable
 
 LENGTHS_PER_BLOCK = 4096
 
@@ -34,7 +35,9 @@ def encoded_lengths(docs: DataFrame, *, text_col: str = "text", path: str | None
 
 def length_histogram(docs: DataFrame, **options) -> DataFrame:
     """(length, n_docs) over all documents."""
-    return encoded_lengths(docs, **options).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    counted = encoded_lengths(docs, **options).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Written once: what reads it must not tokenise again.
+    return durable(counted)
 
 
 def length_report(histogram: DataFrame) -> DataFrame:
