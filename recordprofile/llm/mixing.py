@@ -19,6 +19,7 @@ from .common import durable, free_name
 
 #: Ranges of the key in each source; the one in which a budget ends is sorted in one task.
 RANGES = 4096
+KEY_BITS = 60
 _SPACE = "\\x20\\x09-\\x0D"
 
 
@@ -27,6 +28,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{_SPACE}]+")), F.lit(0)).cast("long")
 
 
+def random_key(seed: int, id_: Column, size: Column) -> Column:
+    """A uniform number of KEY_BITS bits by which SQL elsewhere can follow the order."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_.cast("string"), F.lit("null")), size.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     words = F.regexp_extract_all(text, F.lit(f"[{_SPACE}]*[^{_SPACE}]+"), F.lit(0))
@@ -85,19 +92,16 @@ def mix(
 
     A source's taken words add up to its target's whole part: every document as often
     as the target holds the whole source, then documents in the order of their keys
-    up to the budget, the last one in part.  Keys come from id, text and seed, so
-    reruns agree; rows alike in both are interchangeable but for which comes first:
-    of such rows the cut takes equal parts of the same place.  Null texts and texts
+    up to the budget, the last one in part.  Keys come from id, size and seed, so
+    reruns agree; of rows alike in these the cut takes equal parts.  Null texts and texts
     without words have size 0 and are never taken; a null source is a source.  The
     four names replace columns of the same name.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
     key, src = free_name(docs, "__key"), free_name(docs, "__source")
-    sized = docs.withColumn("size", word_count(F.col(text_col))).withColumn(key, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    rows = sized.select(
-        F.col(source_col).alias("s"), F.col(key).alias("key"), "size",
-        F.shiftrightunsigned(key, 64 - (ranges - 1).bit_length()).alias("r"),
-    )
+    sized = docs.withColumn("size", word_count(F.col(text_col)))
+    sized = sized.withColumn(key, random_key(seed, F.col(id_col), F.col("size")))
+    rows = sized.select(F.col(source_col).alias("s"), F.col(key).alias("key"), "size", F.shiftright(key, KEY_BITS - (ranges - 1).bit_length()).alias("r"))
     sums = durable(rows.groupBy("s", "r").agg(F.sum("size").alias("size")))
     targets = source_targets(
         sums.groupBy("s").agg(F.sum("size").alias("source_size")), source_col="s", weights=weights, share=share, most=most
@@ -133,9 +137,7 @@ def mix(
         .join(cut.alias("c"), F.col("t.s").eqNullSafe(F.col("c.s")), "left")
         .select(F.col("t.s").alias(src), "source_size", "target", "epochs", "rest", "cut_key", "part")
     )
-    # Keys compare as unsigned, as their ranges do.
-    flip = F.lit(-(1 << 63)).cast("long")
-    place, end = F.col(key).bitwiseXOR(flip), F.col("cut_key").bitwiseXOR(flip)
+    place, end = F.col(key), F.col("cut_key")
     more = (
         F.when(F.col("rest") == 0, F.lit(0))
         .when(F.col("cut_key").isNull(), F.lit(0))

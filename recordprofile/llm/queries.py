@@ -73,6 +73,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_vector_join": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+              AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1) USING (vec_id)
+        LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id)
+    """,
     "op4_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -81,6 +95,49 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n
     """,
+    "op6_mixing": """
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+        keyed AS (
+            SELECT *, ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || size), 1, 15))::BIGINT AS key FROM sized),
+        sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
+        weighed AS (
+            SELECT *, 2.0::DOUBLE * source_size AS bound, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w
+            FROM sources),
+        rated AS (
+            SELECT *, bound / w AS ratio,
+                   (1.5::DOUBLE * sum(source_size) OVER ()
+                    - coalesce(sum(bound) OVER (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+                   / sum(w) OVER (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+            FROM weighed),
+        aimed AS (
+            SELECT source, source_size, coalesce(least(bound, (SELECT arg_min(rate, ratio) FROM rated WHERE rate <= ratio) * w), bound) AS target FROM rated),
+        plan AS (
+            SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS epochs FROM aimed),
+        placed AS (
+            SELECT k.doc_id, k.size, p.source_size, p.target, p.epochs, floor(p.target - p.epochs * p.source_size)::BIGINT AS rest,
+                   coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES)
+                            - k.size, 0) AS start
+            FROM keyed k JOIN plan p ON k.source IS NOT DISTINCT FROM p.source)
+        SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM placed
+    """,
+    "op9_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+        grams AS (
+            SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i::BIGINT, i::BIGINT + 4), ' ')) AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT doc_id, coalesce(n, 0) AS n_links, component_id, doc_id = component_id AS kept
+        FROM documents JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+        LEFT JOIN (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY 1) USING (doc_id)
+    """,
     "op10_line_dedup": """
         WITH split AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw,
