@@ -31,6 +31,7 @@ from .common import durable, free_name
 
 #: Shorter lines must be equal: one edit would change too much of them.
 LEAST_CHARS = 10
+VARIANTS_PER_BATCH = 16_384
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = " \t\r\f\x0b"
@@ -70,16 +71,28 @@ def _halves(line: Column, n: Column) -> Column:
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line's hashes with the places of their deletions, in batches of bounded size however long a line is."""
     for batch in batches:
-        lines = batch.column(batch.schema.get_field_index("line"))
-        for a in range(0, batch.num_rows, 64):
-            hashes = [variant_hashes(x.as_py()) for x in lines.slice(a, 64)]
-            sizes = [len(x) for x in hashes]
-            take = pa.array(np.repeat(np.arange(a, a + len(sizes)), sizes))
-            out = {c: batch.column(batch.schema.get_field_index(c)).take(take) for c in ("id", "no", "h", "g")}
-            out["v"] = pa.array(np.concatenate(hashes))
-            out["at"] = pa.array(np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes]))
-            yield pa.RecordBatch.from_pydict(out)
+        column = {c: batch.column(batch.schema.get_field_index(c)) for c in ("id", "no", "h", "g", "line")}
+
+        def rows(parts: list[tuple[int, int, np.ndarray]], column=column) -> pa.RecordBatch:
+            take = pa.array(np.repeat([k for k, _, _ in parts], [len(x) for _, _, x in parts]))
+            out = {c: column[c].take(take) for c in ("id", "no", "h", "g")}
+            out["v"] = pa.array(np.concatenate([x for _, _, x in parts]))
+            out["at"] = pa.array(np.concatenate([np.arange(a - 1, a - 1 + len(x), dtype=np.int32) for _, a, x in parts]))
+            return pa.RecordBatch.from_pydict(out)
+
+        parts, waiting = [], 0
+        for k, line in enumerate(column["line"]):
+            hashes = variant_hashes(line.as_py())
+            for a in range(0, len(hashes), VARIANTS_PER_BATCH):
+                parts.append((k, a, hashes[a : a + VARIANTS_PER_BATCH]))
+                waiting += len(parts[-1][2])
+                if waiting >= VARIANTS_PER_BATCH:
+                    yield rows(parts)
+                    parts, waiting = [], 0
+        if parts:
+            yield rows(parts)
 
 
 def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
