@@ -5,8 +5,8 @@ classifier sees is unlabelled text.  With class prior p, the risk of a scorer g
 
     p * E_P[loss(g)] + max(0, E_U[loss(-g)] - p * E_P[loss(-g)]),
 
-whose second term stands for the risk on clean documents and must not fall below
-zero; where it does, the step goes the other way.  g is linear in the presence of
+whose second term stands for the risk on clean documents; where it would fall below
+zero, which no risk can, only the first term guides the step.  g is linear in the presence of
 words and word beginnings.
 
 The examples are bounded samples (``max_positive`` and ``max_unlabelled`` rows by
@@ -52,13 +52,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(g, -40, 40))))
 
 
+def without_echoes(counts: dict[str, int]) -> set[str]:
+    """Features without the beginnings that stand for hardly more than one word: they would speak for words never seen."""
+    most: dict[str, int] = {}
+    for f, n in counts.items():
+        if not f.endswith("*"):
+            for size in PREFIXES:
+                most[f"{f[:size]}*"] = max(n, most.get(f"{f[:size]}*", 0))
+    return {f for f, n in counts.items() if n > 1.25 * most.get(f, 0)}
+
+
 def held_out(id_: Column) -> Column:
     """Whether the id's fold keeps its label from training; null ids do."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def train_nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int, prior: float, *, rounds: int = 400, rate: float = 0.1, l2: float = 1e-5
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int, prior: float, *, rounds: int = 400, rate: float = 0.1, l2: float = 2e-5
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; each row is an array of feature numbers."""
 
@@ -82,7 +92,7 @@ def train_nnpu(
         if clean_risk >= 0:
             dp, du = on_p + clean_p, clean_u
         else:
-            dp, du = -clean_p, -clean_u
+            dp, du = on_p, np.zeros_like(clean_u)
         grad = np.append(np.bincount(p_col, dp[p_row], minlength=features) + np.bincount(u_col, du[u_row], minlength=features) + l2 * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -98,16 +108,19 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     max_positive: int = 3000,
-    max_unlabelled: int = 9000,
+    max_unlabelled: int = 20_000,
     max_features: int = 4096,
     least_documents: int = 5,
     least_z: float = 5.0,
+    least_effect: float = 0.18,
+    l2: float = 2e-5,
 ) -> Model:
     """Train on ``labels`` outside the held-out fold; the class prior is the toxic part of those rows.
 
     Features count from ``least_documents`` examples on, and if their rates among toxic
-    and unlabelled ones differ by ``least_z`` standard errors: among very many words
-    some lie far apart by chance.  Unlabelled text comes from documents without a label, or where there are none from
+    and unlabelled ones differ by ``least_z`` standard errors, or ``least_effect`` times
+    the root of the number of toxic ones if that is more: among very many words some lie
+    far apart by chance, or because near copies repeat them.  Unlabelled text comes from documents without a label, or where there are none from
     all documents, labels ignored.  Without toxic examples or text every score is the
     prior (0 without labels).
     """
@@ -139,18 +152,19 @@ def fit(
 
     p_rate, u_rate = F.col("p") / len(positive), F.col("u") / len(unlabelled)
     spread = F.sqrt((p_rate + u_rate) / 2 * (1 / len(positive) + 1 / len(unlabelled)))
-    features = [
-        r["f"]
+    counts = {
+        r["f"]: r["p"]
         for r in sample.mapInArrow(count, "f string, p long, u long")
         .groupBy("f")
         .agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
         .where(F.col("p") + F.col("u") >= least_documents)
         .withColumn("z", F.abs(p_rate - u_rate) / spread)
-        .where(F.col("z") >= least_z)
+        .where(F.col("z") >= max(least_z, least_effect * len(positive) ** 0.5))
         .orderBy(F.desc("z"), "f")
         .limit(max_features)
         .collect()
-    ]
+    }
+    features = sorted(without_echoes(counts))
     number = {f: k for k, f in enumerate(features)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +174,7 @@ def fit(
 
     collected = sorted(sample.mapInArrow(rows, "id string, p boolean, x array<int>").collect(), key=lambda r: (r["id"] or "", r["x"]))
     arrays = {p: [np.array(r["x"], np.int64) for r in collected if r["p"] is p] for p in (True, False)}
-    weights, bias = train_nnpu(arrays[True], arrays[False], len(features), prior)
+    weights, bias = train_nnpu(arrays[True], arrays[False], len(features), prior, l2=l2)
     return Model({f: float(w) for f, w in zip(features, weights, strict=True) if abs(w) > 1e-6}, bias)
 
 
