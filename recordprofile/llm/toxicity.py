@@ -5,38 +5,56 @@ classifier sees is unlabelled text.  With class prior p, the risk of a scorer g
 
     p * E_P[loss(g)] + max(0, E_U[loss(-g)] - p * E_P[loss(-g)]),
 
-whose second term stands for the risk on clean documents; where it would fall below
-zero, which no risk can, only the first term guides the step.  g is linear in the presence of
-words and word beginnings.
+whose second term stands for the risk on clean documents and must not fall below zero;
+where it does, the step goes the other way (without that, a bias that flags every text
+has the least risk of all).  g is linear in words and word beginnings: whether a text holds them, twice, four times.
 
 The examples are bounded samples (``max_positive`` and ``max_unlabelled`` rows by
-hash order).  Spark counts the features over them and keeps the ``max_features`` most
-telling; the driver trains in numpy on their sparse rows.  Every document is then
-scored whole, batch by batch.
+hash order).  Spark counts the features over them and keeps the significant ones; the
+driver trains in numpy on their sparse rows and sets the weight decay by
+cross-validation among them.  Every document is then scored whole, batch by batch.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import durable, free_name
 
 _words = re.compile(r"\w+").findall
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5, 6, 7, 8)
+LEVELS = (1, 2, 4)
+DECAYS = (1e-3, 3e-4, 1e-4)
+
+
+def occurrences(words: Iterable[str]) -> Counter[str]:
+    """How often words and their beginnings (with an asterisk) occur."""
+    found = Counter(words)
+    for w, k in list(found.items()):
+        for n in PREFIXES:
+            if len(w) > n:
+                found[f"{w[:n]}*"] += k
+    return found
 
 
 def text_features(text: str | None) -> set[str]:
-    """Lower-case words, and their first letters marked with an asterisk."""
-    words = set(_words((text or "").lower()))
-    return words.union(*({f"{w[:n]}*" for w in words if len(w) > n} for n in PREFIXES))
+    """Lower-case words, and their first letters marked with an asterisk; with a number behind if they occur so often at least."""
+    found = occurrences(_words((text or "").lower()))
+    return {named(f, level) for f, k in found.items() for level in LEVELS if k >= level}
+
+
+def named(base: str, level: int) -> str:
+    return base if level == 1 else f"{base} {level}"
 
 
 @dataclass(frozen=True)
@@ -44,31 +62,25 @@ class Model:
     weights: dict[str, float]
     bias: float
 
+    @cached_property
+    def starts(self) -> set[str]:
+        """The first letters of all features: words with others have none."""
+        return {f.split(" ")[0].rstrip("*")[: PREFIXES[0]] for f in self.weights}
+
     def score(self, text: str | None) -> float:
-        found = text_features(text)
-        if len(self.weights) < len(found):
-            found = [f for f in self.weights if f in found]
-        g = self.bias + sum(w for f in sorted(found) if (w := self.weights.get(f)))
+        found = occurrences(w for w in _words((text or "").lower()) if w[: PREFIXES[0]] in self.starts)
+        names = sorted(named(f, level) for f, k in found.items() for level in LEVELS if k >= level)
+        g = self.bias + sum(w for f in names if (w := self.weights.get(f)))
         return float(1 / (1 + np.exp(-np.clip(g, -40, 40))))
 
 
-def without_echoes(counts: dict[str, int]) -> set[str]:
-    """Features without the beginnings that stand for hardly more than one word: they would speak for words never seen."""
-    most: dict[str, int] = {}
-    for f, n in counts.items():
-        if not f.endswith("*"):
-            for size in PREFIXES:
-                most[f"{f[:size]}*"] = max(n, most.get(f"{f[:size]}*", 0))
-    return {f for f, n in counts.items() if n > 1.25 * most.get(f, 0)}
-
-
 def held_out(id_: Column) -> Column:
     """Whether the id's fold keeps its label from training; null ids do."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def train_nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int, prior: float, *, rounds: int = 400, rate: float = 0.1, l2: float = 2e-5
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int, prior: float, *, rounds: int = 400, rate: float = 0.1, l2: float = 3e-4
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; each row is an array of feature numbers."""
 
@@ -92,7 +104,7 @@ def train_nnpu(
         if clean_risk >= 0:
             dp, du = on_p + clean_p, clean_u
         else:
-            dp, du = on_p, np.zeros_like(clean_u)
+            dp, du = -clean_p, -clean_u
         grad = np.append(np.bincount(p_col, dp[p_row], minlength=features) + np.bincount(u_col, du[u_row], minlength=features) + l2 * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -100,6 +112,33 @@ def train_nnpu(
     return w, float(b)
 
 
+def zero_one_risk(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, w: np.ndarray, b: float) -> float:
+    """The non-negative risk where the loss counts mistakes."""
+    hit, flagged = (np.mean([b + w[x].sum() >= 0 for x in rows]) for rows in (positive, unlabelled))
+    return float(prior * (1 - hit) + max(0.0, flagged - prior * hit))
+
+
+def best_decay(positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int, prior: float, decays: Sequence[float] = DECAYS, *, folds: int = 3) -> float:
+    """The weight decay of the least risk on rows left out of training; of equal ones the first."""
+    if len(decays) == 1 or min(len(positive), len(unlabelled)) < folds:
+        return decays[0]
+    risk = np.zeros(len(decays))
+    for k in range(folds):
+        part = lambda rows, out, k=k: [x for i, x in enumerate(rows) if (i % folds == k) == out]
+        for d, l2 in enumerate(decays):
+            w, b = train_nnpu(part(positive, False), part(unlabelled, False), features, prior, l2=l2)
+            risk[d] += zero_one_risk(part(positive, True), part(unlabelled, True), prior, w, b)
+    return decays[int(risk.round(9).argmin())]
+
+
+def significance(p: Column, u: Column, n_p: int, n_u: int) -> Column:
+    """The root of the likelihood ratio statistic for equal rates, given p of n_p toxic and u of n_u unlabelled examples; about normal even for rare features."""
+    rate = (p + u) / (n_p + n_u)
+    part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+    parts = [part(k, n * r) for k, n, r in ((p, n_p, rate), (n_p - p, n_p, 1 - rate), (u, n_u, rate), (n_u - u, n_u, 1 - rate))]
+    return F.sqrt(F.greatest(2 * sum(parts[1:], parts[0]), F.lit(0.0)))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -109,18 +148,17 @@ def fit(
     label_col: str = "toxic",
     max_positive: int = 3000,
     max_unlabelled: int = 20_000,
-    max_features: int = 4096,
+    max_features: int = 32_768,
     least_documents: int = 5,
-    least_z: float = 5.0,
-    least_effect: float = 0.18,
-    l2: float = 2e-5,
+    level: float = 0.05,
+    decays: Sequence[float] = DECAYS,
 ) -> Model:
     """Train on ``labels`` outside the held-out fold; the class prior is the toxic part of those rows.
 
-    Features count from ``least_documents`` examples on, and if their rates among toxic
-    and unlabelled ones differ by ``least_z`` standard errors, or ``least_effect`` times
-    the root of the number of toxic ones if that is more: among very many words some lie
-    far apart by chance, or because near copies repeat them.  Unlabelled text comes from documents without a label, or where there are none from
+    Features of ``least_documents`` examples or more are tested, and those count whose
+    rates among toxic and unlabelled ones differ at ``level``, divided by the number of
+    tests: at any size, chance lets one pass with that probability at most.  Past
+    ``max_features``, a bound for the driver, the least significant ones go.  Unlabelled text comes from documents without a label, or where there are none from
     all documents, labels ignored.  Without toxic examples or text every score is the
     prior (0 without labels).
     """
@@ -150,21 +188,15 @@ def fit(
             part = names[a : a + 50_000]
             yield pa.RecordBatch.from_pydict({"f": part, "p": [seen[True][f] for f in part], "u": [seen[False][f] for f in part]})
 
-    p_rate, u_rate = F.col("p") / len(positive), F.col("u") / len(unlabelled)
-    spread = F.sqrt((p_rate + u_rate) / 2 * (1 / len(positive) + 1 / len(unlabelled)))
-    counts = {
-        r["f"]: r["p"]
-        for r in sample.mapInArrow(count, "f string, p long, u long")
+    tested = durable(
+        sample.mapInArrow(count, "f string, p long, u long")
         .groupBy("f")
         .agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
         .where(F.col("p") + F.col("u") >= least_documents)
-        .withColumn("z", F.abs(p_rate - u_rate) / spread)
-        .where(F.col("z") >= max(least_z, least_effect * len(positive) ** 0.5))
-        .orderBy(F.desc("z"), "f")
-        .limit(max_features)
-        .collect()
-    }
-    features = sorted(without_echoes(counts))
+    )
+    bar = NormalDist().inv_cdf(1 - level / 2 / max(1, tested.count()))
+    z = significance(F.col("p"), F.col("u"), len(positive), len(unlabelled))
+    features = sorted(r["f"] for r in tested.withColumn("z", z).where(F.col("z") >= bar).orderBy(F.desc("z"), "f").limit(max_features).collect())
     number = {f: k for k, f in enumerate(features)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +206,7 @@ def fit(
 
     collected = sorted(sample.mapInArrow(rows, "id string, p boolean, x array<int>").collect(), key=lambda r: (r["id"] or "", r["x"]))
     arrays = {p: [np.array(r["x"], np.int64) for r in collected if r["p"] is p] for p in (True, False)}
+    l2 = best_decay(arrays[True], arrays[False], len(features), prior, decays)
     weights, bias = train_nnpu(arrays[True], arrays[False], len(features), prior, l2=l2)
     return Model({f: float(w) for f, w in zip(features, weights, strict=True) if abs(w) > 1e-6}, bias)
 

@@ -179,3 +179,40 @@ def test_risk_does_not_fall_below_zero():
     mark = lambda xs: [np.union1d(x, [19]) for x in xs]
     w, b = toxicity.train_nnpu(mark(rows(200, 0.3)), [x[x < 19] for x in rows(900, 0.3)] + mark(rows(100, 0.3)), 20, 0.1)
     assert w.argmax() == 19 and b + w[19] > 0 > b and np.abs(w[:19]).max() < w[19]
+
+
+def stem_table(spark, n, seed=0):
+    """Toxic documents repeat a stem in ever new words, one rare stem among them; clean ones hold such words once at most."""
+    r = random.Random(seed)
+    made = lambda k: "".join(r.choices("bcdfgklmnprst", k=k))
+    docs, labels = [], []
+    for i in range(n):
+        toxic = r.random() < 0.12
+        text = [made(5) for _ in range(30)]
+        stem = "vraxo" if r.random() < 0.1 else "qualmi"
+        text += [stem + made(3) for _ in range(r.randint(4, 8) if toxic else int(r.random() < 0.1))]
+        docs.append((i, " ".join(text), stem, toxic))
+        if r.random() < 0.4:
+            labels.append((i, 1, int(toxic)))
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    return frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {d[0]: d[2:] for d in docs}
+
+
+@pytest.mark.parametrize("n", [4000, 16000])
+def test_toxic_stems_count_at_any_size(spark, n):
+    docs, labels, truth = stem_table(spark, n)
+    held = [(r["predicted"], *truth[r["doc_id"]]) for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"]]
+    for stem in ("qualmi", "vraxo"):
+        hits = [p for p, s, toxic in held if toxic and s == stem]
+        assert sum(hits) / len(hits) > 0.8, stem
+    flagged = [p for p, _, toxic in held if not toxic]
+    assert sum(flagged) / len(flagged) < 0.02
+
+
+def test_all_text_flagged_is_never_the_least_risk():
+    rng = np.random.default_rng(1)
+    marked = [np.array([k]) if k < 3 else np.zeros(0, np.int64) for k in rng.integers(0, 5, 45)]
+    plain = [np.array([k]) if k < 3 else np.zeros(0, np.int64) for k in rng.integers(0, 60, 480)]
+    for l2 in toxicity.DECAYS:
+        w, b = toxicity.train_nnpu(marked, plain, 3, 0.13, l2=l2)
+        assert b < 0 < b + w.min()
