@@ -158,8 +158,9 @@ def fit(
     Features of ``least_documents`` examples or more are tested, and those count whose
     rates among toxic and unlabelled ones differ at ``level``, divided by the number of
     tests: at any size, chance lets one pass with that probability at most.  Past
-    ``max_features``, a bound for the driver, the least significant ones go.  Unlabelled text comes from documents without a label, or where there are none from
-    all documents, labels ignored.  Without toxic examples or text every score is the
+    ``max_features``, a bound for the driver, the least significant ones go.  Unlabelled text comes from all
+    documents outside the held-out fold, labels ignored: their toxic part is the prior,
+    however many of them have labels.  Without toxic examples or text every score is the
     prior (0 without labels).
     """
     spark = docs.sparkSession
@@ -169,9 +170,9 @@ def fit(
     order = [F.xxhash64(id_col), F.col(id_col)]
     ids = docs.select(id_col).where(~held_out(F.col(id_col))).distinct()
     chosen = known.where("y = 1").select(id_col).distinct().join(ids, id_col, "left_semi").orderBy(*order).limit(max_positive)
-    other = ids.join(labels.select(id_col).distinct(), id_col, "left_anti").orderBy(*order).limit(max_unlabelled)
+    other = ids.orderBy(*order).limit(max_unlabelled)
     positive = [r[0] for r in chosen.collect()]
-    unlabelled = [r[0] for r in other.collect()] or [r[0] for r in ids.orderBy(*order).limit(max_unlabelled).collect()]
+    unlabelled = [r[0] for r in other.collect()]
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model({}, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     # At most max_positive + max_unlabelled rows.

@@ -209,6 +209,14 @@ def test_toxic_stems_count_at_any_size(spark, n):
     assert sum(flagged) / len(flagged) < 0.02
 
 
+def test_toxicity_where_nearly_every_document_has_a_label(spark):
+    docs, _, truth = toxic_table(spark)
+    lone = next(i for i in truth if zlib.crc32(str(i).encode()) % 5)
+    labels = spark.createDataFrame([(i, 1, int(y)) for i, y in truth.items() if i != lone], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"] and r["doc_id"] in truth]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.97
+
+
 def test_all_text_flagged_is_never_the_least_risk():
     rng = np.random.default_rng(1)
     marked = [np.array([k]) if k < 3 else np.zeros(0, np.int64) for k in rng.integers(0, 5, 45)]
