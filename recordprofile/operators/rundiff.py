@@ -163,18 +163,32 @@ def changed_at(detail: DataFrame, path: str) -> DataFrame:
 def version_pair_diff(versions: DataFrame, pairs: DataFrame) -> DataFrame:
     """Leaf differences of many pairs of versions.
 
-    ``pairs``: pair, and struct columns ``a`` and ``b`` of (record_id, run_id, run_record_offset).
+    ``pairs``: pair, and struct columns ``a`` and ``b`` of (record_id, run_id,
+    run_record_offset), and of filename where offsets start again in each file.
     One row per leaf that differs, with change, old and new value and type.
     """
 
     def side(name: str, as_: str) -> DataFrame:
-        keys = pairs.select("pair", f"{name}.record_id", f"{name}.run_id", f"{name}.run_record_offset")
-        leaves = flatten_leaves(versions.join(keys, ["record_id", "run_id", "run_record_offset"]), keys=("pair",), lenient=True)
+        parts = pairs.schema[name].dataType.names
+        keys = pairs.select("pair", *[F.col(f"{name}.{c}").alias(f"__{c}") for c in parts])
+        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) if c == "filename" else F.col(c) == F.col(f"__{c}") for c in parts]
+        leaves = flatten_leaves(versions.join(keys, on), keys=("pair",), lenient=True)
         return leaves.groupBy("pair", "path_indexed").agg(F.max(F.struct("path", "value", "value_type")).alias(as_))
 
     return compared_leaves(side("b", "new"), side("a", "old"), ("pair",)).where("change <> 'same'")
 
 
+def consecutive_pairs(versions: DataFrame) -> DataFrame:
+    """(pair, a, b) for ``version_pair_diff``: each version with content, b, and the one with content before it, a.
+
+    ``pair`` is the struct b, which tells a record's pairs apart.
+    """
+    order = Window.partitionBy("record_id").orderBy("run_timestamp", "run_id", "run_record_offset", "filename")
+    v = F.struct("record_id", "run_id", "run_record_offset", "filename")
+    chained = versions.where("payload is not null").select(v.alias("b"), F.lag(v).over(order).alias("a"))
+    return chained.where("a is not null").select(F.col("b").alias("pair"), "a", "b")
+
+
 def all_run_changes(versions: DataFrame) -> DataFrame:
     """(run_id, status, records) over every run at once: each version against the one before it in its record's history."""
     order = Window.partitionBy("record_id").orderBy("run_timestamp", "run_id", "run_record_offset", "filename")

@@ -606,3 +606,27 @@ def _(spark, sf_dir):
     ranked = found.where("payload is not null").select(F.struct("record_id", "run_id", "run_record_offset").alias("v"), F.row_number().over(order).alias("k"))
     pairs = ranked.where("k <= 2").groupBy(F.col("v.record_id").alias("pair")).agg(F.max(F.when(F.col("k") == 1, F.col("v"))).alias("a"), F.max(F.when(F.col("k") == 2, F.col("v"))).alias("b"))
     return rundiff.version_pair_diff(found, pairs)
+
+
+HISTORY_SQL = f"""{fx.VERSIONS_SQL},
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY run_timestamp, run_id, run_record_offset, filename) AS k FROM versions WHERE payload IS NOT NULL),
+    leaves AS ({fx.leaves_sql("ordered", "record_id", "k")}),
+    a AS (SELECT record_id, k + 1 AS k, path, path_indexed, value, value_type FROM leaves WHERE k < (SELECT max(k) FROM ordered o WHERE o.record_id = leaves.record_id)),
+    b AS (SELECT * FROM leaves WHERE k > 1)"""
+
+
+@query(
+    "version_leaf_history",
+    """SELECT record_id, run_id, run_record_offset, filename, d.* EXCLUDE (record_id, k) FROM (
+           SELECT record_id, k, coalesce(b.path, a.path) AS path, path_indexed,
+                  CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change,
+                  a.value AS old_value, a.value_type AS old_type, b.value AS new_value, b.value_type AS new_type
+           FROM b FULL JOIN a USING (record_id, k, path_indexed)
+           WHERE a.path IS NULL OR b.path IS NULL OR a.value IS DISTINCT FROM b.value OR a.value_type <> b.value_type) d
+       JOIN ordered USING (record_id, k)""",
+    HISTORY_SQL,
+)
+def _(spark, sf_dir):
+    """Every version with content against the one before it, leaf by leaf."""
+    found = fx.versions(spark, sf_dir)
+    return rundiff.version_pair_diff(found, rundiff.consecutive_pairs(found)).select("pair.*", "*").drop("pair")

@@ -177,6 +177,16 @@ def test_version_pairs(spark):
     assert got == {("title", "changed", "b", "b2"), ("note", "removed", "n", None)}
 
 
+def test_consecutive_pairs_cover_whole_histories(spark):
+    rows = table(
+        spark, *[version("R1", f"run{d}", 1, day=d, title=f"t{d}") for d in (1, 2, 3, 4)],
+        version("R2", "run1", 5, day=1, filename="a", title="x"), version("R2", "run1", 5, day=1, filename="b", title="y"), version("R3", "run1", 7, day=1, title="lone"),
+    )
+    found = rundiff.version_pair_diff(rows, rundiff.consecutive_pairs(rows)).collect()
+    got = sorted((r["pair"]["record_id"], r["pair"]["run_id"], r["path_indexed"], r["old_value"], r["new_value"]) for r in found)
+    assert got == [("R1", "run2", "title", "t1", "t2"), ("R1", "run3", "title", "t2", "t3"), ("R1", "run4", "title", "t3", "t4"), ("R2", "run1", "title", "x", "y")]
+
+
 def test_history(spark):
     rows = diff_table(spark)
     s = history.source_overview(rows).first()
