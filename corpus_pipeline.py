@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither training, nor MinHash, nor tokenising; the tests hold each stage to brute force.
+#: SQL can express neither training, nor MinHash, nor tokenising; the tests hold the operators behind the stages to brute force or held-out rows, not the stages' own rows.
 ORACLE_SQL = None
 
 
