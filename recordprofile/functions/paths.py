@@ -51,17 +51,26 @@ def instance_key(indexed: Column | str, depth: int) -> Column:
     """The first ``depth`` bracket groups of an indexed path; with fewer, the whole path; for depth 0 an empty string."""
     if depth == 0:
         return F.lit("")
-    return F.regexp_replace(_col(indexed), rf"(?s)^((?:[^\]]*\]){{{depth}}}).*\z", "$1")
+    indexed = _col(indexed)
+    head = F.substring_index(indexed, "]", depth)
+    return F.when(F.length(head) < F.length(indexed), F.concat(head, F.lit("]"))).otherwise(indexed)
 
 
 def top_field(path: Column | str) -> Column:
-    """The member of the record that a path begins with."""
-    return F.regexp_replace(_col(path), r"(?s)^([^.\[]+).*\z", "$1")
+    """The member of the record that a path begins with; a path that begins with a dot or bracket is itself one."""
+    path = _col(path)
+    head = F.substring_index(F.substring_index(path, ".", 1), "[", 1)
+    return F.when(head == "", path).otherwise(head)
 
 
 def top_element(indexed: Column | str) -> Column:
     """The top field with the number of its array element, if it has one."""
-    return F.regexp_replace(_col(indexed), r"(?s)^([^.\[]+(\[[0-9]+\])?).*\z", "$1")
+    indexed = _col(indexed)
+    field = top_field(indexed)
+    number = F.substring_index(F.substring(indexed, F.length(field) + 2, F.length(indexed)), "]", 1)
+    numbered = F.concat(field, F.lit("["), number, F.lit("]"))
+    is_element = indexed.startswith(numbered) & (number != "") & (F.translate(number, "0123456789", "") == "")
+    return F.when(is_element, numbered).otherwise(field)
 
 
 def member_label(path: Column | str, prefix: str) -> Column:
@@ -77,9 +86,14 @@ def display_type(value_type: Column | str) -> Column:
     return shown.otherwise(value_type)
 
 
-def content_pair(path: Column | str = "path", value: Column | str = "value") -> Column:
-    """Path and value as one string, in which no value differs from a missing one by chance."""
-    return F.concat(_col(path), F.lit("\x1f"), F.coalesce(_col(value), F.lit("\x00")))
+def content_hashes(path: Column | str = "path", value: Column | str = "value") -> tuple[Column, Column]:
+    """Two 64-bit hashes of a path with its value; a missing value differs from all others.
+
+    Combined with ``bit_xor`` over the different pairs of an object, they are a key of
+    its content as a set, whatever the order, that plain hash aggregation can build.
+    """
+    pair = (_col(path), _col(value).isNull(), _col(value))
+    return F.xxhash64(*pair), F.xxhash64(F.lit(1), *pair)
 
 
 def element_numbers(indexed: Column | str) -> Column:

@@ -2,20 +2,40 @@
 
 The payload is parsed once to a variant and exploded level by level with outer
 generators, in one stage without a shuffle; a row that does not explode is a finished
-leaf and passes through.  Empty containers and nulls are leaves.  Number text is
-Spark's (1.0 is written 1), and of duplicate object keys the last one counts.
+leaf and passes through.  There are as many levels as the deepest payload needs: a
+first, narrow pass over the text counts its brackets, unless the caller knows the
+depth.  Empty containers and nulls are leaves.  Number text is Spark's (1.0 is
+written 1).  Of duplicate object keys the last one counts where the session allows
+them (``spark.sql.variant.allowDuplicateKeys``); otherwise they fail the query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordprofile.functions.values import leaf_text, leaf_type
 
-MAX_DEPTH = 16
+
+def nesting(payload: Column | str) -> Column:
+    """Containers within containers of a JSON text, 1 for a flat one; of text that isn't JSON some number."""
+    payload = F.col(payload) if isinstance(payload, str) else payload
+    bare = F.regexp_replace(F.regexp_replace(payload, r"\\.", ""), r'"[^"]*"', "")
+    steps = F.split(F.translate(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "[]", "{}"), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, c: Column) -> Column:
+        now = at["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(steps, start, step, lambda at: at["most"])
+
+
+def deepest(df: DataFrame, payload: str = "payload") -> int:
+    """The deepest nesting among the payloads; reads that column only."""
+    return df.agg(F.max(nesting(payload))).first()[0] or 0
 
 
 def flatten_leaves(
@@ -24,7 +44,7 @@ def flatten_leaves(
     keys: Sequence[str] = ("version_key",),
     *,
     excluded_fields: Sequence[str] = (),
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     lenient: bool = False,
 ) -> DataFrame:
     """Leaves of every payload that is not null.
@@ -32,10 +52,12 @@ def flatten_leaves(
     A payload that isn't JSON fails the query, or with ``lenient`` (which also leaves
     out payloads that aren't objects) has no rows.  ``excluded_fields`` are dropped at
     the top level; a record left without members is one empty object at path ''.
-    Containers nested deeper than ``max_depth`` fail the query.
+    Without ``max_depth`` any depth is flattened, after a pass that finds it; with it
+    there is no such pass, and payloads nested deeper fail the query.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    if max_depth is None:
+        max_depth = deepest(df, payload)
     parsed = F.try_parse_json(payload) if lenient else F.parse_json(payload)
     rows = df.where(F.col(payload).isNotNull())
     if excluded_fields:
@@ -47,7 +69,7 @@ def flatten_leaves(
     if lenient:
         rows = rows.where(F.schema_of_variant("v").startswith("OBJECT"))
     rows = rows.select(*keys, F.lit("").alias("path"), F.lit("").alias("path_indexed"), "v", F.lit(False).alias("done"))
-    for level in range(max_depth + 1):
+    for level in range(max_depth):
         child = spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("pos", "key", "child")
         exploded = rows.lateralJoin(child)
         if level == 0 and excluded_fields:

@@ -6,11 +6,11 @@ arithmetic, so results do not depend on binary fractions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordprofile.functions.paths import (
-    content_pair,
+    content_hashes,
     display_type,
     element_numbers,
     element_prefix,
@@ -24,7 +24,8 @@ from recordprofile.functions.paths import (
 from recordprofile.operators.filters import Page, page, search
 
 IDENTITY = ("record_id", "source", "run_id", "run_record_offset")
-_SEP = "\x1e"
+#: The types of leaves, in the order in which equally frequent ones are preferred.
+LEAF_TYPES = ("array-empty", "boolean", "null", "number", "object-empty", "string")
 
 
 def percent(n: Column, d: Column, decimals: int = 1) -> Column:
@@ -55,66 +56,86 @@ def _mode(df: DataFrame, keys: list[str], column: str, into: str) -> DataFrame:
 # Schema
 
 
-def classified_fields(eav: DataFrame) -> DataFrame:
-    """(field, is_array, is_complex) of each top-level field, from the distinct paths."""
-    paths = eav.select("path").distinct().withColumn("field", top_field("path"))
-    return paths.groupBy("field").agg(
-        F.bool_or(F.col("path").startswith(F.concat("field", F.lit("[")))).alias("is_array"), F.bool_or(F.col("path").contains(".")).alias("is_complex")
-    )
+def classified_fields(paths: DataFrame) -> DataFrame:
+    """(field, is_array, is_complex, prefix) of each top-level field, from the different paths."""
+    found = paths.withColumn("field", top_field("path")).where("field <> ''").groupBy("field")
+    found = found.agg(F.bool_or(F.col("path").startswith(F.concat("field", F.lit("[")))).alias("is_array"), F.bool_or(F.col("path").contains(".")).alias("is_complex"))
+    return found.withColumn("prefix", F.when(F.col("is_array"), F.concat("field", F.lit("[]"))).otherwise(F.col("field")))
 
 
-def field_cardinality(eav: DataFrame) -> DataFrame:
-    """(field, doc_count, count_min, count_avg, count_max): documents with a leaf, and different top elements in each."""
-    elements = eav.select(top_field("path").alias("field"), "version_key", top_element("path_indexed").alias("e")).distinct()
-    per_doc = elements.groupBy("field", "version_key").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("field").agg(
-        F.count(F.lit(1)).alias("doc_count"), F.min("n").alias("count_min"), mean(F.sum("n"), F.count(F.lit(1))).alias("count_avg"), F.max("n").alias("count_max")
-    )
+def field_members(paths: DataFrame, fields: DataFrame) -> DataFrame:
+    """(field, m): of fields that hold objects, the sorted member paths with their labels, as structs."""
+    inside = paths.withColumn("field", top_field("path")).join(fields.where("is_complex"), "field").where(under_column("path", "prefix"))
+    relative = F.ltrim(F.expr("substring(path, length(prefix) + 1)"), F.lit("."))
+    label = F.coalesce(F.nullif(relative, F.lit("")), F.col("path"))
+    return inside.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("path", label.alias("label")))).alias("m"))
+
 
+def field_elements(eav: DataFrame) -> DataFrame:
+    """One row per different top element of a document's field: n on the field's first row there, is_item, kind, value, and a content key (h, g).
 
-def distinct_contents(eav: DataFrame, field: Column, prefix: Column) -> DataFrame:
-    """(field, distinct_values): different contents of the objects at a prefix, as sets of (path, value)."""
-    instance = F.regexp_extract("path_indexed", r"(?s)^([^\]]*\])", 1)
-    key = F.when(prefix.endswith("[]"), instance).otherwise(F.lit(""))
-    pairs = eav.select(field.alias("field"), "version_key", key.alias("e"), content_pair().alias("p")).distinct()
-    content = F.sha2(F.array_join(F.array_sort(F.collect_list("p")), _SEP), 256)
-    return pairs.groupBy("field", "version_key", "e").agg(content.alias("c")).select("field", "c").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("distinct_values"))
+    n counts the field's elements in the document, and is_item tells array elements
+    from members that are none.  kind and value are those of the leaf that is the
+    element itself, the key is that of all its leaves.  The leaves of a document's
+    field meet in one shuffle that serves all groupings.
+    """
+    field, element = top_field("path"), top_element("path_indexed")
+    itself = (F.col("path") == F.col("field")) | (F.col("path") == F.concat("field", F.lit("[]")))
+    h, g = content_hashes()
+    leaves = eav.select("version_key", "path", field.alias("field"), element.alias("element"), "value", "value_type", h.alias("h"), g.alias("g")).where("field <> ''")
+    leaves = leaves.select(
+        "version_key", "field", "element", "h", "g", F.when(itself, F.col("value_type")).alias("kind"), F.when(itself, F.col("value")).alias("value"),
+    )
+    pairs = leaves.repartition("version_key", "field").distinct()
+    elements = pairs.groupBy("version_key", "field", "element", "kind", "value").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
+    order = Window.partitionBy("version_key", "field").orderBy("element")
+    ranked = elements.withColumns({"place": F.dense_rank().over(order), "row": F.row_number().over(order)})
+    n = F.max("place").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return ranked.select("field", F.when(F.col("row") == 1, n).alias("n"), (F.col("element") != F.col("field")).alias("is_item"), "kind", "value", "h", "g")
 
 
 def schema_overview(docs: DataFrame, eav: DataFrame) -> DataFrame:
     """One row per top-level field, most frequent first.
 
     field, type, is_complex, is_array, prefix, drill_path, doc_count, coverage_pct,
-    count_min, count_avg, count_max, distinct_values, sample_value, members.  A few
-    grouped passes over the leaves serve all fields together.
+    count_min, count_avg, count_max, distinct_values, sample_value, members.  The
+    leaves are read twice: for their different paths, and for the elements from which
+    all else follows.  Where some documents have an array, only array elements tell a
+    field's type, values and contents; plain ones count in the numbers of elements.
     """
-    # Bounded by the number of distinct paths.
-    fields = classified_fields(eav).where("field <> ''").withColumn("prefix", F.when(F.col("is_array"), F.concat("field", F.lit("[]"))).otherwise(F.col("field")))
-    tagged = eav.withColumn("field", top_field("path")).where("field <> ''").join(fields, "field")
-    simple = tagged.where("not is_complex")
-    at_leaf = simple.where(F.col("path") == F.col("prefix"))
-    types = _mode(at_leaf, ["field"], "value_type", "value_type")
-    values = simple.where(F.col("value").isNotNull() & (F.col("path") == F.col("prefix"))).select("field", "value").distinct()
-    scalars = values.groupBy("field").agg(F.count(F.lit(1)).alias("distinct_values"), F.min("value").alias("sample_value"))
-    complex_ = tagged.where("is_complex").where(under_column("path", "prefix"))
-    relative = F.ltrim(F.expr("substring(path, length(prefix) + 1)"), F.lit("."))
-    label = F.coalesce(F.nullif(relative, F.lit("")), F.col("path"))
-    members = complex_.select("field", "path", label.alias("label")).distinct().groupBy("field").agg(F.array_sort(F.collect_list(F.struct("path", "label"))).alias("m"))
-    contents = distinct_contents(complex_, F.col("field"), F.col("prefix"))
-    joined = fields.join(field_cardinality(eav), "field").join(types, "field", "left").join(scalars, "field", "left")
-    joined = joined.join(members, "field", "left").join(contents.withColumnRenamed("distinct_values", "distinct_objects"), "field", "left")
+    # As many rows as there are different paths.
+    paths = eav.select("path").distinct()
+    fields = classified_fields(paths)
+    # Two levels of groups, as a field may have any number of values.
+    things = field_elements(eav).groupBy("field", "is_item", "value", "h", "g").agg(
+        F.count("n").alias("docs"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum("n").alias("all"),
+        *[F.count_if(F.col("kind") == t).alias(f"of_{t}") for t in LEAF_TYPES],
+    )
+    some = lambda c: F.when(F.col("is_item"), c), lambda c: F.when(~F.col("is_item"), c)
+    counts = things.groupBy("field").agg(
+        F.sum("docs").alias("doc_count"), F.min("low").alias("count_min"), mean(F.sum("all"), F.sum("docs")).alias("count_avg"), F.max("high").alias("count_max"),
+        *[
+            f.alias(f"{name}_{which}")
+            for which, part in zip(("items", "plain"), some, strict=True)
+            for name, f in {"contents": F.count(part(F.col("h"))), "values": F.count(part(F.col("value"))), "sample": F.min(part(F.col("value")))}.items()
+        ],
+        *[F.sum(part(F.col(f"of_{t}"))).alias(f"{t}_{which}") for which, part in zip(("items", "plain"), some, strict=True) for t in LEAF_TYPES],
+    )
+    chosen = lambda name: F.when(F.col("is_array"), F.col(f"{name}_items")).otherwise(F.col(f"{name}_plain"))
+    most = F.greatest(*[F.struct(F.coalesce(chosen(t), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(LEAF_TYPES)])
     total = _single(docs, "total")
-    shown = F.when(F.col("is_complex"), F.lit("object")).otherwise(display_type(F.col("value_type")))
+    shown = F.when(F.col("is_complex"), F.lit("object")).otherwise(display_type(F.when(most["n"] > 0, most["t"])))
     return (
-        joined.crossJoin(F.broadcast(total))
+        fields.join(counts, "field").join(field_members(paths, fields), "field", "left")
+        .crossJoin(F.broadcast(total))
         .select(
             "field",
             F.when(F.col("is_array"), F.concat(F.lit("array["), shown, F.lit("]"))).otherwise(shown).alias("type"),
             "is_complex", "is_array", "prefix",
             F.when(F.col("is_complex"), F.col("field")).otherwise(F.col("prefix")).alias("drill_path"),
             "doc_count", percent(F.col("doc_count"), F.col("total")).alias("coverage_pct"), "count_min", "count_avg", "count_max",
-            F.coalesce(F.when(F.col("is_complex"), F.col("distinct_objects")).otherwise(F.col("distinct_values")), F.lit(0)).alias("distinct_values"),
-            F.when(F.col("is_complex"), F.array_join(F.col("m.label"), ", ")).otherwise(F.col("sample_value")).alias("sample_value"),
+            F.when(F.col("is_complex"), chosen("contents")).otherwise(chosen("values")).alias("distinct_values"),
+            F.when(F.col("is_complex"), F.array_join(F.col("m.label"), ", ")).otherwise(chosen("sample")).alias("sample_value"),
             F.coalesce(F.col("m.path"), F.array().cast("array<string>")).alias("members"),
         )
         .orderBy(F.desc("doc_count"), "field")
@@ -264,9 +285,10 @@ def object_record_shape(docs: DataFrame, eav: DataFrame, prefix: str) -> DataFra
 
 def distinct_object_count(eav: DataFrame, prefix: str) -> DataFrame:
     """One row, distinct_objects: different sets of (path, value) among the instances at a prefix."""
-    pairs = object_leaves(eav, prefix).select("version_key", "element", content_pair().alias("p")).distinct()
-    content = F.sha2(F.array_join(F.array_sort(F.collect_list("p")), _SEP), 256).alias("c")
-    return pairs.groupBy("version_key", "element").agg(content).select("c").distinct().agg(F.count(F.lit(1)).alias("distinct_objects"))
+    h, g = content_hashes()
+    pairs = object_leaves(eav, prefix).select("version_key", "element", h.alias("h"), g.alias("g")).repartition("version_key", "element").distinct()
+    contents = pairs.groupBy("version_key", "element").agg(F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
+    return contents.select("h", "g").distinct().agg(F.count(F.lit(1)).alias("distinct_objects"))
 
 
 def object_member_stats(eav: DataFrame, prefix: str) -> DataFrame:

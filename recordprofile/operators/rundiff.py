@@ -1,14 +1,15 @@
 """What a run changed: its records against the version each had before.
 
-Both sides are flattened and meet leaf by leaf in one full outer join; nothing but
-the report's few rows needs to reach the driver.
+Pairs of equal payload text are unchanged without being parsed.  Both sides of the
+others are flattened together and meet leaf by leaf in one grouping; nothing but the
+report's few rows needs to reach the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordprofile.operators.flatten import flatten_leaves
@@ -43,33 +44,35 @@ def prior_versions(versions: DataFrame, run_id: str) -> DataFrame:
     )
 
 
-def _leaves(versions: DataFrame, side: str) -> DataFrame:
-    """One row per (record_id, path_indexed) with the leaf in a struct; deletes and missing payloads have none."""
-    leaves = flatten_leaves(versions.where("action <> 'delete'"), keys=("record_id",))
-    # Only dotted keys can write one indexed path twice.
-    return leaves.groupBy("record_id", "path_indexed").agg(F.max(F.struct("path", "value", "value_type")).alias(side))
+def run_pairs(versions: DataFrame, run_id: str) -> DataFrame:
+    """(record_id, new, old): payloads of the run's version of each record, as ``touched_records`` names it, and of its prior one.
 
-
-def run_leaves(versions: DataFrame, run_id: str) -> DataFrame:
-    """The run's leaves, of the version that ``touched_records`` names."""
+    Deletes and missing payloads are null.  Offsets start again in each file; the
+    newest row itself carries its payload, so no key has to be looked up again.
+    """
+    content = F.when(F.col("action") != "delete", F.col("payload"))
     run = versions.where(F.col("run_id") == run_id)
-    last = F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc("run_record_offset"), F.col("filename").desc_nulls_last()))
-    return _leaves(run.withColumn("__n", last).where("__n = 1"), "new")
+    end = F.broadcast(run.agg(F.max("run_timestamp").alias("__end")))  # one row
+    new = run.groupBy("record_id").agg(F.max_by(F.struct(content.alias("p")), F.struct("run_record_offset", "filename"))["p"].alias("new"))
+    # Nulls are the smallest parts of a struct, as nulls come last from the newest on.
+    age = F.struct("run_timestamp", "run_id", "run_record_offset", "filename")
+    before = versions.join(run.select("record_id"), "record_id", "left_semi").crossJoin(end).where(F.col("run_timestamp") < F.col("__end"))
+    old = before.groupBy("record_id").agg(F.max_by(F.struct(content.alias("p")), age)["p"].alias("old"))
+    return new.join(old, "record_id", "left")
 
 
-def prior_leaves(versions: DataFrame, prior: DataFrame) -> DataFrame:
-    """Leaves of exactly the prior versions. Offsets start again in each file, so the file is part of the key."""
-    keys = prior.select(
-        "record_id", F.col("prev_run_id").alias("run_id"), F.col("prev_offset").alias("run_record_offset"), F.col("prev_filename").alias("filename")
-    )
-    same_file = F.col("v.filename").eqNullSafe(F.col("k.filename"))
-    on = (F.col("v.record_id") == F.col("k.record_id")) & (F.col("v.run_id") == F.col("k.run_id")) & (F.col("v.run_record_offset") == F.col("k.run_record_offset"))
-    return _leaves(versions.alias("v").join(keys.alias("k"), on & same_file, "left_semi"), "old")
-
+def compared_payloads(pairs: DataFrame, keys: tuple[str, ...], *, lenient: bool = False, max_depth: int | None = None) -> DataFrame:
+    """(keys..., path, path_indexed, change, old and new value and type) of the payload pairs in ``new`` and ``old``.
 
-def compared_leaves(new: DataFrame, old: DataFrame, keys: tuple[str, ...] = ("record_id",)) -> DataFrame:
-    """(keys..., path, path_indexed, change, old and new value and type) where change is added, removed, changed or same."""
-    both = new.join(old, [*keys, "path_indexed"], "full_outer")
+    change is added, removed, changed or same.  Pairs of equal text have no rows: only
+    the others are flattened, both sides at once, and meet in one grouping.
+    """
+    differ = pairs.where(~F.col("new").eqNullSafe(F.col("old")))
+    sides = differ.select(*keys, F.explode(F.array(F.struct(F.lit("new").alias("side"), F.col("new").alias("p")), F.struct(F.lit("old").alias("side"), F.col("old").alias("p")))).alias("s"))
+    leaves = flatten_leaves(sides.select(*keys, "s.side", F.col("s.p").alias("payload")), keys=(*keys, "side"), lenient=lenient, max_depth=max_depth)
+    # Only dotted keys can write one indexed path twice; of these the largest counts.
+    leaf = F.struct("path", "value", "value_type")
+    both = leaves.groupBy(*keys, "path_indexed").agg(*[F.max(F.when(F.col("side") == s, leaf)).alias(s) for s in ("new", "old")])
     change = (
         F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
         .when(F.col("new.value").eqNullSafe(F.col("old.value")) & (F.col("new.value_type") == F.col("old.value_type")), "same")
@@ -92,29 +95,24 @@ class RunDiff:
     examples: DataFrame
 
 
-def classified(versions: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """(records, leaves): touched records with status and prior version, and their compared leaves.
-
-    deleted: the run deletes it, or it had content and has none now; added: it has
-    content and had none; unchanged: equal leaves, none on both sides included; else
-    modified.
-    """
-    touched, prior = touched_records(versions, run_id), prior_versions(versions, run_id)
-    leaves = compared_leaves(run_leaves(versions, run_id), prior_leaves(versions, prior))
-    flags = leaves.groupBy("record_id").agg(
-        F.bool_or(F.col("change") != "removed").alias("now"), F.bool_or(F.col("change") != "added").alias("before"),
-        F.bool_or(F.col("change") != "same").alias("differs"),
-        F.array_sort(F.collect_set(F.when(F.col("change") != "same", F.col("path")))).alias("paths"),
-    )
-    flag = lambda c: F.coalesce(c, F.lit(False))
-    status = (
-        F.when(flag(F.col("action") == "delete") | (flag(F.col("before")) & ~flag(F.col("now"))), "deleted")
-        .when(flag(F.col("now")) & ~flag(F.col("before")), "added")
-        .when(~flag(F.col("differs")), "unchanged")
+def status_of(action: Column, new: Column, old: Column, differs: Column) -> Column:
+    """deleted: the run deletes it, or it had content and has none now; added: it has content and had none; unchanged: no leaf differs; else modified."""
+    return (
+        F.when(F.coalesce(action == "delete", F.lit(False)) | (old.isNotNull() & new.isNull()), "deleted")
+        .when(new.isNotNull() & old.isNull(), "added")
+        .when(~F.coalesce(differs, F.lit(False)), "unchanged")
         .otherwise("modified")
     )
-    records = touched.join(prior, "record_id", "left").join(flags, "record_id", "left").withColumn("status", status)
-    return records, leaves
+
+
+def classified(versions: DataFrame, run_id: str, *, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, leaves): touched records with status and prior version, and the compared leaves of those whose payload text differs."""
+    touched, prior, pairs = touched_records(versions, run_id), prior_versions(versions, run_id), run_pairs(versions, run_id)
+    leaves = compared_payloads(pairs, ("record_id",), max_depth=max_depth)
+    changed = leaves.where("change <> 'same'").groupBy("record_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    records = touched.join(prior, "record_id", "left").join(pairs, "record_id", "left").join(changed, "record_id", "left")
+    status = status_of(F.col("action"), F.col("new"), F.col("old"), F.col("paths").isNotNull())
+    return records.withColumns({"status": status, "now": F.col("new").isNotNull(), "before": F.col("old").isNotNull()}).drop("new", "old"), leaves
 
 
 def detail_rows(records: DataFrame) -> DataFrame:
@@ -136,7 +134,7 @@ def summary_row(records: DataFrame) -> DataFrame:
     """Counts by status, records read on both sides, and touched records without an earlier version."""
     return records.agg(
         F.count(F.lit(1)).alias("touched"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
-        F.count_if(F.coalesce("now", F.lit(False))).alias("run_version"), F.count_if(F.coalesce("before", F.lit(False))).alias("previous_version"),
+        F.count_if("now").alias("run_version"), F.count_if("before").alias("previous_version"),
         F.count_if(F.col("prev_run_id").isNull()).alias("without_prior"),
     )
 
@@ -147,12 +145,12 @@ def example_ids(records: DataFrame, n: int = 10) -> DataFrame:
     return records.select("status", "record_id", first.alias("n")).where(F.col("n") <= n).select("status", "record_id")
 
 
-def diff_run(versions: DataFrame, run_id: str, *, examples: int = 10) -> RunDiff:
+def diff_run(versions: DataFrame, run_id: str, *, examples: int = 10, max_depth: int | None = None) -> RunDiff:
     """The whole report; a run that is unknown is an error."""
     header = run_header(versions, run_id)
     if header.isEmpty():
         raise ValueError(f"unknown run: {run_id}")
-    records, leaves = classified(versions, run_id)
+    records, leaves = classified(versions, run_id, max_depth=max_depth)
     return RunDiff(header, summary_row(records), field_rollup(records, leaves), detail_rows(records), example_ids(records, examples))
 
 
@@ -160,7 +158,7 @@ def changed_at(detail: DataFrame, path: str) -> DataFrame:
     return detail.where(F.array_contains("changed_paths", path))
 
 
-def version_pair_diff(versions: DataFrame, pairs: DataFrame) -> DataFrame:
+def version_pair_diff(versions: DataFrame, pairs: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """Leaf differences of many pairs of versions.
 
     ``pairs``: pair, and struct columns ``a`` and ``b`` of (record_id, run_id,
@@ -168,14 +166,14 @@ def version_pair_diff(versions: DataFrame, pairs: DataFrame) -> DataFrame:
     One row per leaf that differs, with change, old and new value and type.
     """
 
-    def side(name: str, as_: str) -> DataFrame:
+    def side(name: str) -> DataFrame:
         parts = pairs.schema[name].dataType.names
         keys = pairs.select("pair", *[F.col(f"{name}.{c}").alias(f"__{c}") for c in parts])
         on = [F.col(c).eqNullSafe(F.col(f"__{c}")) if c == "filename" else F.col(c) == F.col(f"__{c}") for c in parts]
-        leaves = flatten_leaves(versions.join(keys, on), keys=("pair",), lenient=True)
-        return leaves.groupBy("pair", "path_indexed").agg(F.max(F.struct("path", "value", "value_type")).alias(as_))
+        return versions.join(keys, on).groupBy("pair").agg(F.max("payload").alias(name))
 
-    return compared_leaves(side("b", "new"), side("a", "old"), ("pair",)).where("change <> 'same'")
+    both = side("b").join(side("a"), "pair", "full_outer").withColumnsRenamed({"b": "new", "a": "old"})
+    return compared_payloads(both, ("pair",), lenient=True, max_depth=max_depth).where("change <> 'same'")
 
 
 def consecutive_pairs(versions: DataFrame) -> DataFrame:
@@ -189,15 +187,23 @@ def consecutive_pairs(versions: DataFrame) -> DataFrame:
     return chained.where("a is not null").select(F.col("b").alias("pair"), "a", "b")
 
 
-def all_run_changes(versions: DataFrame) -> DataFrame:
-    """(run_id, status, records) over every run at once: each version against the one before it in its record's history."""
-    order = Window.partitionBy("record_id").orderBy("run_timestamp", "run_id", "run_record_offset", "filename")
-    content = F.when((F.col("action") != "delete") & F.col("payload").isNotNull(), F.sha2("payload", 256))
-    chained = versions.select("run_id", "action", content.alias("now"), F.lag(content).over(order).alias("before"))
-    status = (
-        F.when((F.col("action") == "delete") | (F.col("before").isNotNull() & F.col("now").isNull()), "deleted")
-        .when(F.col("before").isNull() & F.col("now").isNotNull(), "added")
-        .when(F.col("before").eqNullSafe(F.col("now")), "unchanged")
-        .otherwise("modified")
-    )
-    return chained.groupBy("run_id", status.alias("status")).agg(F.count(F.lit(1)).alias("records"))
+def all_run_changes(versions: DataFrame, *, max_depth: int | None = None) -> DataFrame:
+    """(run_id, status, records) of every run at once, each as ``classified`` tells it.
+
+    A record's versions are ordered by time once; the newest one strictly before a
+    run's end is the last before the first of that time.
+    """
+    content = F.when(F.col("action") != "delete", F.col("payload")).alias("content")
+    ends = versions.groupBy("run_id").agg(F.max("run_timestamp").alias("end"))
+    last = F.max_by(F.struct("action", content), F.struct("run_record_offset", "filename"))
+    touched = versions.groupBy("run_id", "record_id").agg(last.alias("t")).join(ends, "run_id")
+    # A version and a question, whether it lies before the run's end, meet in the order of time; questions come first.
+    known = versions.select("record_id", F.col("run_timestamp").alias("at"), F.lit(1).alias("kind"), F.struct("run_id", "run_record_offset", "filename", content).alias("v"), F.lit(None).cast("string").alias("run_id"), F.lit(None).cast(touched.schema["t"].dataType).alias("t"))
+    asked = touched.select("record_id", F.col("end").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(known.schema["v"].dataType).alias("v"), "run_id", "t")
+    earlier = Window.partitionBy("record_id").orderBy("at", "kind", "v").rowsBetween(Window.unboundedPreceding, -1)
+    met = known.unionByName(asked).withColumn("prior", F.last("v", ignorenulls=True).over(earlier)).where("kind = 0")
+    pairs = met.select(F.struct("run_id", "record_id").alias("pair"), "t.action", F.col("t.content").alias("new"), F.col("prior.content").alias("old"))
+    differ = compared_payloads(pairs.where("new is not null and old is not null"), ("pair",), max_depth=max_depth).where("change <> 'same'").select("pair").distinct()
+    records = pairs.join(differ.withColumn("differs", F.lit(True)), "pair", "left")
+    status = status_of(F.col("action"), F.col("new"), F.col("old"), F.col("differs"))
+    return records.groupBy("pair.run_id", status.alias("status")).agg(F.count(F.lit(1)).alias("records"))

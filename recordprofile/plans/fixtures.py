@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from recordprofile.functions.values import version_key
 
+#: How deep the payloads below are nested, as they are written here.
+VERSION_DEPTH, ORDER_DEPTH = 4, 3
+
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")

@@ -40,12 +40,12 @@ def query(name: str, oracle: str, ctes: str = fx.DOCS_SQL) -> Callable[[Query],
 def user_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(docs, eav) of the current user versions that have a payload."""
     current = vs.current_records(fx.versions(spark, sf_dir)).where("payload is not null")
-    return corpus.Corpus.documents(current), flatten_leaves(current.withColumn("version_key", values.version_key()))
+    return corpus.Corpus.documents(current), flatten_leaves(current.withColumn("version_key", values.version_key()), max_depth=fx.VERSION_DEPTH)
 
 
 def order_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = fx.order_docs(spark, sf_dir)
-    return docs.drop("payload"), flatten_leaves(docs)
+    return docs.drop("payload"), flatten_leaves(docs, max_depth=fx.ORDER_DEPTH)
 
 
 def percent_sql(n: str, d: str) -> str:
@@ -125,7 +125,7 @@ def _(spark, sf_dir):
 @query("flatten_excluding", "SELECT * FROM eav WHERE path NOT LIKE 'profile%' AND path <> 'title'")
 def _(spark, sf_dir):
     current = vs.current_records(fx.versions(spark, sf_dir)).where("payload is not null").withColumn("version_key", values.version_key())
-    return flatten_leaves(current, excluded_fields=("profile", "title"))
+    return flatten_leaves(current, excluded_fields=("profile", "title"), max_depth=fx.VERSION_DEPTH)
 
 
 @query("flatten_order_docs", "SELECT path, value_type, count(*) AS leaves, min(value) AS least, max(value) AS most FROM eav GROUP BY ALL", fx.ORDERS_SQL)
@@ -470,7 +470,7 @@ def _by_day(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("corpus_insert_set", "SELECT version_key, run_id, action FROM live WHERE action <> 'delete' AND version_key NOT IN (SELECT version_key FROM docs)", UPDATE_SQL)
 def _(spark, sf_dir):
     docs, live = _by_day(spark, sf_dir)
-    return corpus.insert_set(live, docs)
+    return corpus.insert_set(live, docs).select("version_key", "run_id", "action")
 
 
 @query("corpus_delete_set", "SELECT version_key FROM docs WHERE version_key NOT IN (SELECT version_key FROM live)", UPDATE_SQL)
@@ -491,7 +491,7 @@ def _(spark, sf_dir):
     keyed = fx.versions(spark, sf_dir).withColumn("version_key", values.version_key()).where("payload is not null")
     stay = docs.join(live, "version_key", "left_semi").select("version_key")
     keys = stay.unionByName(corpus.insert_set(live, docs).select("version_key"))
-    eav = flatten_leaves(keyed.join(keys, "version_key", "left_semi"))
+    eav = flatten_leaves(keyed.join(keys, "version_key", "left_semi"), max_depth=fx.VERSION_DEPTH)
     return eav.groupBy("path").agg(F.count(F.lit(1)).alias("leaves"), F.count_distinct("version_key").alias("docs"), F.count_distinct("value").alias("different"))
 
 
@@ -536,7 +536,7 @@ def _(spark, sf_dir):
     DIFF_SQL,
 )
 def _(spark, sf_dir):
-    return rundiff.summary_row(rundiff.classified(fx.versions(spark, sf_dir), RUN)[0])
+    return rundiff.summary_row(rundiff.classified(fx.versions(spark, sf_dir), RUN, max_depth=fx.VERSION_DEPTH)[0])
 
 
 @query(
@@ -548,7 +548,7 @@ def _(spark, sf_dir):
     DIFF_SQL,
 )
 def _(spark, sf_dir):
-    return rundiff.field_rollup(*rundiff.classified(fx.versions(spark, sf_dir), RUN))
+    return rundiff.field_rollup(*rundiff.classified(fx.versions(spark, sf_dir), RUN, max_depth=fx.VERSION_DEPTH))
 
 
 DETAIL_SQL = """SELECT record_id, status, run_offset, prev_run_id, prev_run_date, prev_offset,
@@ -557,29 +557,36 @@ DETAIL_SQL = """SELECT record_id, status, run_offset, prev_run_id, prev_run_date
 
 @query("run_diff_detail", DETAIL_SQL, DIFF_SQL)
 def _(spark, sf_dir):
-    return rundiff.detail_rows(rundiff.classified(fx.versions(spark, sf_dir), RUN)[0])
+    return rundiff.detail_rows(rundiff.classified(fx.versions(spark, sf_dir), RUN, max_depth=fx.VERSION_DEPTH)[0])
 
 
 @query("run_diff_changed_at", f"SELECT * FROM ({DETAIL_SQL}) WHERE list_contains(changed_paths, 'orders[].count')", DIFF_SQL)
 def _(spark, sf_dir):
-    return rundiff.changed_at(rundiff.detail_rows(rundiff.classified(fx.versions(spark, sf_dir), RUN)[0]), "orders[].count")
+    return rundiff.changed_at(rundiff.detail_rows(rundiff.classified(fx.versions(spark, sf_dir), RUN, max_depth=fx.VERSION_DEPTH)[0]), "orders[].count")
 
 
 @query("run_diff_examples", "SELECT status, record_id FROM records QUALIFY row_number() OVER (PARTITION BY status ORDER BY record_id) <= 10", DIFF_SQL)
 def _(spark, sf_dir):
-    return rundiff.example_ids(rundiff.classified(fx.versions(spark, sf_dir), RUN)[0])
+    return rundiff.example_ids(rundiff.classified(fx.versions(spark, sf_dir), RUN, max_depth=fx.VERSION_DEPTH)[0])
 
 
 @query(
     "all_run_changes",
     """SELECT run_id, status, count(*) AS records FROM (
-           SELECT run_id, CASE WHEN action = 'delete' OR (before IS NOT NULL AND payload IS NULL) THEN 'deleted' WHEN before IS NULL AND payload IS NOT NULL THEN 'added'
-                               WHEN before IS NOT DISTINCT FROM payload THEN 'unchanged' ELSE 'modified' END AS status
-           FROM (SELECT *, lag(payload) OVER (PARTITION BY record_id ORDER BY run_timestamp, run_id, run_record_offset, filename) AS before FROM versions)) GROUP BY ALL""",
-    fx.VERSIONS_SQL,
+           SELECT run_id, CASE WHEN action = 'delete' OR (before IS NOT NULL AND now IS NULL) THEN 'deleted' WHEN before IS NULL AND now IS NOT NULL THEN 'added'
+                               WHEN before IS NOT DISTINCT FROM now THEN 'unchanged' ELSE 'modified' END AS status FROM aged) GROUP BY ALL""",
+    f"""{fx.VERSIONS_SQL},
+    contents AS (
+        SELECT record_id, run_id, list(path_indexed || ' ' || coalesce(value, '-') || ' ' || value_type ORDER BY path_indexed) AS content
+        FROM ({fx.leaves_sql("(SELECT * FROM versions WHERE payload IS NOT NULL)", "record_id", "run_id")}) GROUP BY ALL),
+    ends AS (SELECT run_id, max(run_timestamp) AS "end" FROM versions GROUP BY 1),
+    history AS (SELECT v.record_id, v.run_id, v.action, v.run_timestamp, "end", content FROM versions v JOIN ends USING (run_id) LEFT JOIN contents USING (record_id, run_id)),
+    aged AS (
+        SELECT h.run_id, h.action, h.content AS now, o.content AS before
+        FROM history h ASOF LEFT JOIN history o ON h.record_id = o.record_id AND h."end" > o.run_timestamp)""",
 )
 def _(spark, sf_dir):
-    return rundiff.all_run_changes(fx.versions(spark, sf_dir))
+    return rundiff.all_run_changes(fx.versions(spark, sf_dir), max_depth=fx.VERSION_DEPTH)
 
 
 PAIR_SQL = f"""{fx.VERSIONS_SQL},
@@ -605,7 +612,7 @@ def _(spark, sf_dir):
     order = Window.partitionBy("record_id").orderBy("run_timestamp")
     ranked = found.where("payload is not null").select(F.struct("record_id", "run_id", "run_record_offset").alias("v"), F.row_number().over(order).alias("k"))
     pairs = ranked.where("k <= 2").groupBy(F.col("v.record_id").alias("pair")).agg(F.max(F.when(F.col("k") == 1, F.col("v"))).alias("a"), F.max(F.when(F.col("k") == 2, F.col("v"))).alias("b"))
-    return rundiff.version_pair_diff(found, pairs)
+    return rundiff.version_pair_diff(found, pairs, max_depth=fx.VERSION_DEPTH)
 
 
 HISTORY_SQL = f"""{fx.VERSIONS_SQL},
@@ -629,4 +636,4 @@ HISTORY_SQL = f"""{fx.VERSIONS_SQL},
 def _(spark, sf_dir):
     """Every version with content against the one before it, leaf by leaf."""
     found = fx.versions(spark, sf_dir)
-    return rundiff.version_pair_diff(found, rundiff.consecutive_pairs(found)).select("pair.*", "*").drop("pair")
+    return rundiff.version_pair_diff(found, rundiff.consecutive_pairs(found), max_depth=fx.VERSION_DEPTH).select("pair.*", "*").drop("pair")

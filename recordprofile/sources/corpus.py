@@ -1,7 +1,7 @@
 """The corpus: documents and their leaves as Parquet, kept in step with the record versions.
 
-    docs/<n>        one row per document; rewritten by each update (narrow)
-    eav/<part>      leaves; each build or update only adds the part it flattened
+    docs/<n>        one row per document, with the part and number of its leaves; rewritten by each update (narrow)
+    eav/part=<id>   leaves; each build or update only adds the part it flattened
     reports/<n>/... field reports by scope
     manifest.json   what is published; written last, by rename
 
@@ -27,8 +27,11 @@ from recordprofile.operators import profile
 from recordprofile.operators.flatten import flatten_leaves
 from recordprofile.operators.scope import EMPTY, Scope, scoped
 from recordprofile.sources import files
-from recordprofile.sources.versions import current_records, metadata_only
+from recordprofile.sources.versions import current_records, metadata_only, read_versions
 
+LEAF_SCHEMA = "version_key string, path string, path_indexed string, value string, value_type string, part string"
+#: Parts whose leaves are read together at most; past that an update compacts.
+MOST_PARTS = 64
 DOC_COLUMNS = ("version_key", "record_id", "source", "run_id", "run_record_offset", "run_timestamp", "run_date", "run_type", "action")
 #: From so many documents on, an uncached report of the whole corpus is worth a warning.
 LARGE_CORPUS = 100_000
@@ -83,33 +86,45 @@ class Corpus:
         found = self.manifest()
         if found is None:
             raise FileNotFoundError(f"no corpus at {self.root}")
-        return self._docs(found).drop("part"), self._live(found)
+        return self._docs(found).drop("part", "leaves"), self._live(found)
 
     def _docs(self, found: Manifest) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/docs/{found.version}")
 
     def _live(self, found: Manifest) -> DataFrame:
-        leaves = [self.spark.read.parquet(f"{self.root}/eav/{p}").withColumn("part", F.lit(p)) for p in found.parts]
-        eav = leaves[0]
-        for more in leaves[1:]:
-            eav = eav.unionByName(more)
+        # One scan; the partition filter leaves out parts that no document names.
+        eav = self.spark.read.schema(LEAF_SCHEMA).parquet(f"{self.root}/eav").where(F.col("part").isin(found.parts))
         if found.dead:
             eav = eav.join(self._docs(found).select("version_key", "part"), ["version_key", "part"], "left_semi")
         return eav.drop("part")
 
     # Writing
 
-    def _flatten(self, versions: DataFrame, excluded: list[str]) -> tuple[str, int]:
-        """Flatten payloads into a new part, sorted by path within files so that scans skip row groups."""
-        part, seen = uuid.uuid4().hex, Observation()
-        keyed = versions.select(version_key().alias("version_key"), "payload")
-        leaves = flatten_leaves(keyed, excluded_fields=excluded).observe(seen, F.count(F.lit(1)).alias("n"))
-        leaves.sortWithinPartitions("path").write.parquet(f"{self.root}/eav/{part}")
-        return part, seen.get["n"]
+    def _add(self, records: DataFrame, excluded: list[str]) -> tuple[str, DataFrame]:
+        """Flatten records into a new part, sorted by path within files so that scans skip row groups; (part, its documents).
+
+        The leaves are of exactly the rows that become documents.
+        """
+        part = uuid.uuid4().hex
+        keyed = records.select(version_key().alias("version_key"), "payload")
+        flatten_leaves(keyed, excluded_fields=excluded).sortWithinPartitions("path").write.parquet(f"{self.root}/eav/part={part}")
+        counts = self._part(part).groupBy("version_key").agg(F.count(F.lit(1)).alias("leaves"))
+        return part, self.documents(records).join(counts, "version_key", "left").withColumn("part", F.lit(part))
+
+    def _part(self, part: str) -> DataFrame:
+        return self.spark.read.schema(LEAF_SCHEMA).parquet(f"{self.root}/eav").where(F.col("part") == part)
+
+    def _counted(self, manifest: dict) -> Manifest:
+        """The manifest with the counts of its documents, which know the number of their leaves."""
+        docs = self.spark.read.parquet(f"{self.root}/docs/{manifest['version']}")
+        counts = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("leaves"), F.count_distinct("source").alias("sources")).first()
+        parts = [r[0] for r in docs.select("part").distinct().collect()]  # MOST_PARTS and one more at most
+        return Manifest(**manifest | {"parts": sorted(parts), "doc_count": counts["docs"], "eav_count": counts["leaves"], "source_count": counts["sources"]})
 
     def _publish(self, manifest: Manifest) -> Manifest:
+        """The whole corpus's report first, then the manifest: what fails before the end publishes nothing."""
+        self._report(manifest, EMPTY)
         files.write_text(self.spark, f"{self.root}/manifest.json", json.dumps(asdict(manifest)))
-        self.field_usage_report()
         return manifest
 
     @staticmethod
@@ -123,55 +138,62 @@ class Corpus:
         """Flatten every current record that has a payload. Malformed JSON fails the build and publishes nothing."""
         old, excluded = self.manifest(), list(excluded_fields)
         current = current_records(versions)
-        has = F.col("payload").isNotNull() & (F.col("payload") != "")
-        part, leaves = self._flatten(current.where(has), excluded)
+        has = F.coalesce((F.col("payload").isNotNull() & (F.col("payload") != "")), F.lit(False))
         number, seen = (old.version + 1 if old else 1), Observation()
-        rows = current.withColumn("has", has).observe(seen, F.count_if(F.col("has")).alias("docs"), F.count_if(~F.coalesce("has", F.lit(False))).alias("skipped"))
-        self.documents(rows.where("has")).withColumn("part", F.lit(part)).write.parquet(f"{self.root}/docs/{number}")
-        sources = self.spark.read.parquet(f"{self.root}/docs/{number}").select("source").distinct().count()
+        current = current.observe(seen, F.count_if(~has).alias("skipped"))
+        _part, docs = self._add(current.where(has), excluded)
+        docs.write.parquet(f"{self.root}/docs/{number}")
         now = _now()
-        return self._publish(Manifest(number, [part], now, now, location, seen.get["docs"], leaves, seen.get["skipped"], sources, excluded_fields=excluded))
+        return self._publish(self._counted(asdict(Manifest(number, [], now, now, location, 0, 0, seen.get["skipped"], 0, excluded_fields=excluded))))
 
-    def update(self, versions: DataFrame) -> Manifest:
-        """Bring the corpus in step with the current records, reading payloads only of new keys.
+    def update(self, versions: DataFrame | str) -> Manifest:
+        """Bring the corpus in step with the current records, reading payloads only of current records with new keys.
 
-        Counts of documents, leaves and sources and the version are refreshed, also if
-        nothing changed; the skipped count and creation time stay as they were.
+        ``versions`` may be a path, whose files are then listed anew; of a DataFrame's
+        files those count that it lists.  Counts of documents, leaves and sources and
+        the version are refreshed, also if nothing changed; the skipped count and
+        creation time stay as they were.
         """
         old = self.manifest()
         if old is None:
             raise FileNotFoundError(f"no corpus at {self.root}")
-        docs = self._docs(old)
+        if isinstance(versions, str):
+            versions = read_versions(self.spark, versions)
+        docs, number = self._docs(old), old.version + 1
         live = live_keys(versions)
-        fresh = insert_set(live, docs).select("version_key", "run_id")
-        runs = [r[0] for r in fresh.select("run_id").distinct().limit(1000).collect()]
-        wanted = versions.where(F.col("run_id").isin(runs)) if len(runs) < 1000 else versions
-        wanted = wanted.where(F.col("payload").isNotNull() & (F.col("payload") != ""))
-        wanted = wanted.withColumn("version_key", version_key()).join(fresh.select("version_key"), "version_key", "left_semi")
-        part, added = self._flatten(wanted, old.excluded_fields)
+        # The payloads are read of the rows that these keys and their files name, so that a key repeated in the versions counts once.
+        fresh = insert_set(live, docs).select("record_id", "source", "run_id", "run_record_offset", "filename")
+        named = F.col("v.filename").eqNullSafe(F.col("k.filename"))
+        for c in ("record_id", "source", "run_id", "run_record_offset"):
+            named = named & (F.col(f"v.{c}") == F.col(f"k.{c}"))
+        has = F.col("payload").isNotNull() & (F.col("payload") != "")
+        wanted = current_records(versions.alias("v").join(fresh.alias("k"), named, "left_semi")).where(has)
+        part, new = self._add(wanted, old.excluded_fields)
         kept = docs.join(live.select("version_key"), "version_key", "left_semi")
-        number = old.version + 1
-        new = self.documents(wanted).dropDuplicates(["version_key"]).withColumn("part", F.lit(part))
-        kept.select(*DOC_COLUMNS, "part").unionByName(new).write.parquet(f"{self.root}/docs/{number}")
+        kept.select(*DOC_COLUMNS, "leaves", "part").unionByName(new).write.parquet(f"{self.root}/docs/{number}")
         written = self.spark.read.parquet(f"{self.root}/docs/{number}")
-        counts = written.agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("source").alias("sources")).first()
         gone = old.doc_count - written.where(F.col("part") != part).count()
-        now = asdict(old) | {
-            "version": number, "parts": old.parts + [part] * (added > 0), "updated_at": _now(), "doc_count": counts["docs"],
-            "source_count": counts["sources"], "dead": old.dead or gone > 0, "stale": False,
-        }
-        found = Manifest(**now)
-        return self._publish(Manifest(**now | {"eav_count": self._live(found).count()}))
+        found = self._counted(asdict(old) | {"version": number, "updated_at": _now(), "dead": old.dead or gone > 0, "stale": False})
+        return self._compacted(found) if len(found.parts) > MOST_PARTS else self._publish(found)
 
     def compact(self) -> Manifest:
         """Rewrite the live leaves as one part."""
-        old = self.manifest()
-        part = uuid.uuid4().hex
-        self._live(old).sortWithinPartitions("path").write.parquet(f"{self.root}/eav/{part}")
-        number = old.version + 1
+        return self._compacted(self.manifest())
+
+    def _compacted(self, old: Manifest) -> Manifest:
+        part, number = uuid.uuid4().hex, old.version + 1
+        self._live(old).sortWithinPartitions("path").write.parquet(f"{self.root}/eav/part={part}")
         self._docs(old).withColumn("part", F.lit(part)).write.parquet(f"{self.root}/docs/{number}")
         return self._publish(Manifest(**asdict(old) | {"version": number, "parts": [part], "updated_at": _now(), "dead": False}))
 
+    def vacuum(self) -> None:
+        """Remove what the published snapshot does not use; readers of an older one lose it."""
+        found = self.manifest()
+        keep = {"docs": {str(found.version)}, "reports": {str(found.version)}, "eav": {f"part={p}" for p in found.parts}}
+        for folder, names in keep.items():
+            for name in set(files.names(self.spark, f"{self.root}/{folder}")) - names:
+                files.remove(self.spark, f"{self.root}/{folder}/{name}")
+
     # Reports
 
     def field_usage_report(self, scope: Scope = EMPTY) -> DataFrame:
@@ -179,11 +201,13 @@ class Corpus:
 
         A new version has a folder of its own, so older reports never answer for it.
         """
-        found = self.manifest()
+        return self._report(self.manifest(), scope)
+
+    def _report(self, found: Manifest, scope: Scope) -> DataFrame:
         name = hashlib.sha256(scope.key().encode()).hexdigest() if scope.key() else "whole"
         path = f"{self.root}/reports/{found.version}/{name}"
         if not files.exists(self.spark, f"{path}/_SUCCESS"):
-            docs, eav = scoped(self._docs(found).drop("part"), self._live(found), scope)
+            docs, eav = scoped(self._docs(found).drop("part", "leaves"), self._live(found), scope)
             profile.schema_overview(docs, eav).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path).orderBy(F.desc("doc_count"), "field")
 
@@ -192,8 +216,8 @@ class Corpus:
 
 
 def live_keys(versions: DataFrame) -> DataFrame:
-    """(version_key, run_id, action) of the current records, without payloads."""
-    return current_records(metadata_only(versions)).select(version_key().alias("version_key"), "run_id", "action")
+    """(version_key, action and what names its row) of the current records, without payloads."""
+    return current_records(metadata_only(versions)).select(version_key().alias("version_key"), "action", "record_id", "source", "run_id", "run_record_offset", "filename")
 
 
 def insert_set(live: DataFrame, docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.local.dir", scratch)
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .getOrCreate()

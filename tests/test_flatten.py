@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from recordprofile.operators.flatten import flatten_leaves
+from recordprofile.operators.flatten import flatten_leaves, nesting
 
 
 def walk(v, path="", indexed=""):
@@ -75,3 +75,13 @@ def test_depth_duplicates_and_bad_json(spark):
     with pytest.raises(Exception, match="MALFORMED"):
         leaves(spark, [{"a": 1}, "{not json"])
     assert leaves(spark, [{"a": 1}, "{not json", "[1]", "3", "null"], lenient=True) == [("0", "a", "a", "1", "number")]
+
+
+def test_any_depth(spark):
+    deep = {"a": '}]"\\', "b": []}
+    for k in range(12):
+        deep = {"d{[": [deep, k]}
+    docs = [deep, {"x": 1}, "3"]
+    assert leaves(spark, docs) == expected([deep, {"x": 1}, 3])
+    frame = spark.createDataFrame([(json.dumps(d),) for d in (deep, {"x": "[[[["}, [], 3)], "p string")
+    assert [r[0] for r in frame.select(nesting("p")).collect()] == [26, 1, 1, 0]
