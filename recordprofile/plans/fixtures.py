@@ -49,6 +49,17 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def versions_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``versions`` where every fifth user's rows stand once more, under another title, in a file that counts as older.
+
+    Both rows have one version key: offsets start again in each file.
+    """
+    found = versions(spark, sf_dir)
+    fifth = F.expr("cast(substring(record_id, 3) as long) % 5 = 0")
+    again = found.where(fifth).withColumns({"filename": F.concat("run_id", F.lit("/a.parquet")), "payload": F.replace("payload", F.lit(":\"user"), F.lit(":\"once user"))})
+    return found.unionByName(again)
+
+
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(version_key, record_id, source, run_id, run_record_offset, payload) of every order that has lines."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -101,6 +112,12 @@ VERSIONS_SQL = """
         QUALIFY row_number() OVER (PARTITION BY source, record_id ORDER BY run_timestamp DESC NULLS LAST, run_id DESC, run_record_offset DESC,
                                    filename DESC NULLS LAST) = 1)"""
 
+TWICE_SQL = f"""{VERSIONS_SQL},
+    twice AS (
+        SELECT * FROM versions
+        UNION ALL SELECT * REPLACE (run_id || '/a.parquet' AS filename, replace(payload, ':"user', ':"once user') AS payload) FROM versions
+                  WHERE CAST(substr(record_id, 3) AS BIGINT) % 5 = 0)"""
+
 _LEAVES = """SELECT {keys}, regexp_replace(pi, '\\[[0-9]+\\]', '[]', 'g') AS path, pi AS path_indexed,
                CASE WHEN type IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE atom->>'$' END AS value,
                CASE type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string'

@@ -15,7 +15,7 @@ from recordprofile.functions import paths, values
 from recordprofile.operators import filters, history, profile, rundiff, scope, sql
 from recordprofile.operators.flatten import flatten_leaves
 from recordprofile.plans import fixtures as fx
-from recordprofile.sources import corpus, versions as vs
+from recordprofile.sources import corpus, export, files, versions as vs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -450,6 +450,114 @@ def _(spark, sf_dir):
     return history.run_header(fx.versions(spark, sf_dir), RUN)
 
 
+# Reading, single records and values
+
+
+@query("versions_scanned", "SELECT source, run_type, count(*) AS versions, count(payload) AS payloads, sum(length(payload)) AS payload_chars FROM versions GROUP BY ALL", fx.VERSIONS_SQL)
+def _(spark, sf_dir):
+    """The versions written as files and scanned anew."""
+    path = files.scratch(spark)
+    fx.versions(spark, sf_dir).drop("filename").write.parquet(path)
+    found = vs.read_versions(spark, path).where("filename is not null")
+    counts = F.count(F.lit(1)).alias("versions"), F.count("payload").alias("payloads"), F.sum(F.char_length("payload")).alias("payload_chars")
+    return found.groupBy("source", "run_type").agg(*counts)
+
+
+@query(
+    "sample_parsed",
+    """SELECT record_id, run_id, json_extract_string(payload, '$.title') AS title, CAST(json_extract_string(payload, '$.profile.signup') AS BOOLEAN) AS signup
+       FROM versions WHERE record_id = 'u:7' AND payload IS NOT NULL""",
+    fx.VERSIONS_SQL,
+)
+def _(spark, sf_dir):
+    found = vs.sample_parsed(fx.versions(spark, sf_dir), 1_000_000, record_id="u:7")
+    return found.select("record_id", "run_id", F.variant_get("parsed", "$.title", "string").alias("title"), F.variant_get("parsed", "$.profile.signup", "boolean").alias("signup"))
+
+
+@query("versions_on_day", "SELECT record_id, run_id, action FROM versions WHERE run_date = DATE '2024-01-05'", fx.VERSIONS_SQL)
+def _(spark, sf_dir):
+    return fx.versions(spark, sf_dir).where(filters.on_day("run_timestamp", "2024-01-05")).select("record_id", "run_id", "action")
+
+
+@query(
+    "documents_of_versions",
+    """SELECT record_id || '|' || run_id || '|' || run_record_offset AS version_key, strftime(run_timestamp, '%Y-%m-%d %H:%M:%S') AS run_timestamp,
+              CAST(run_date AS VARCHAR) AS run_date, CASE source WHEN 'src1' THEN 'json' ELSE 'xml' END AS raw_format FROM versions""",
+    fx.VERSIONS_SQL,
+)
+def _(spark, sf_dir):
+    """Naive UTC timestamps, run dates and raw formats of every version."""
+    docs = corpus.Corpus.documents(fx.versions(spark, sf_dir))
+    return docs.select(
+        "version_key", F.col("run_timestamp").cast("string").alias("run_timestamp"), F.col("run_date").cast("string").alias("run_date"),
+        values.raw_format("source", {"src1": "json"}).alias("raw_format"),
+    )
+
+
+@query("current_key", "SELECT record_id, run_id, run_record_offset FROM current WHERE record_id = 'u:7'", fx.VERSIONS_SQL)
+def _(spark, sf_dir):
+    return vs.current_key(fx.versions(spark, sf_dir), "u:7")
+
+
+@query(
+    "one_version",
+    """SELECT record_id, run_id, run_record_offset, action, payload FROM current WHERE record_id = 'u:7'
+       UNION ALL SELECT record_id, run_id, run_record_offset, action, payload FROM versions WHERE record_id = 'u:7' AND run_id = '2024-01-04-src3' AND run_record_offset = 1""",
+    fx.VERSIONS_SQL,
+)
+def _(spark, sf_dir):
+    """The current version of a record and one of a run."""
+    found = fx.versions(spark, sf_dir)
+    both = vs.record_version(found, "u:7").unionByName(vs.record_version(found, "u:7", "2024-01-04-src3", 1))
+    return both.select("record_id", "run_id", "run_record_offset", "action", "payload")
+
+
+@query("metadata_rebuilt", "SELECT source, action, count(*) AS versions, count(DISTINCT filename) AS files FROM versions GROUP BY ALL", fx.VERSIONS_SQL)
+def _(spark, sf_dir):
+    done = vs.rebuild_metadata(spark, {"versions": lambda: fx.versions(spark, sf_dir)}, files.scratch(spark))
+    found = spark.read.parquet(done["versions"]["path"])
+    return found.groupBy("source", "action").agg(F.count(F.lit(1)).alias("versions"), F.count_distinct("filename").alias("files"))
+
+
+EXPORTED = "record_id string, run_date string, run_timestamp string, payload string"
+EXPORT_SQL = "SELECT record_id, CAST(run_date AS VARCHAR) AS run_date, strftime(run_timestamp, '%Y-%m-%dT%H:%M:%S') AS run_timestamp, payload FROM current"
+
+
+@query("exported_csv", EXPORT_SQL, fx.VERSIONS_SQL)
+def _(spark, sf_dir):
+    path = files.scratch(spark)
+    export.write_csv(vs.current_records(fx.versions(spark, sf_dir)).select("record_id", "run_date", "run_timestamp", "payload"), path)
+    return spark.read.schema(EXPORTED).option("header", True).option("escape", '\\').csv(path)
+
+
+@query("exported_json", EXPORT_SQL, fx.VERSIONS_SQL)
+def _(spark, sf_dir):
+    path = files.scratch(spark)
+    export.write_json(vs.current_records(fx.versions(spark, sf_dir)).select("record_id", "run_date", "run_timestamp", "payload"), path)
+    return spark.read.schema(EXPORTED).json(path)
+
+
+@query(
+    "scalar_arrays",
+    """SELECT prefix, EXISTS (SELECT 1 FROM eav WHERE path = prefix) AND prefix LIKE '%[]' AS is_scalar
+       FROM (VALUES ('kinds[]'), ('orders[]'), ('title'), ('profile.extra[]')) AS p (prefix)""",
+)
+def _(spark, sf_dir):
+    eav = user_corpus(spark, sf_dir)[1]
+    return spark.createDataFrame([(p, profile.is_scalar_array(eav, p)) for p in ("kinds[]", "orders[]", "title", "profile.extra[]")], "prefix string, is_scalar boolean")
+
+
+@query(
+    "record_page",
+    f"""SELECT {IDENTITY_SQL}, version_key, count(value) AS value_count FROM eav JOIN docs USING (version_key)
+        WHERE path = 'kinds[]' AND (record_id ILIKE '%1%' OR source ILIKE '%1%') GROUP BY ALL
+        ORDER BY value_count DESC, record_id, source, run_id, run_record_offset LIMIT 30 OFFSET 5""",
+)
+def _(spark, sf_dir):
+    counts = profile.path_record_counts(*user_corpus(spark, sf_dir), "kinds[]")
+    return profile.record_page(counts, term="1", by="value_count", descending=True, start=5, length=30).rows
+
+
 # Corpus
 
 DAYS_SQL = ", ".join(
@@ -495,6 +603,77 @@ def _(spark, sf_dir):
     return eav.groupBy("path").agg(F.count(F.lit(1)).alias("leaves"), F.count_distinct("version_key").alias("docs"), F.count_distinct("value").alias("different"))
 
 
+LIVE_SQL = fx.TWICE_SQL + ", " + ", ".join(
+    f"""{name} AS (SELECT *, record_id || '|' || run_id || '|' || run_record_offset AS version_key FROM twice WHERE run_date <= DATE '{day}'
+        QUALIFY row_number() OVER (PARTITION BY source, record_id ORDER BY run_timestamp DESC, run_id DESC, run_record_offset DESC, filename DESC) = 1)"""
+    for name, day in (("old_current", OLD_DAY), ("live", NEW_DAY))
+)
+OF_OLD, OF_NEW = (
+    f"{LIVE_SQL}, docs AS (SELECT * FROM {name} WHERE payload IS NOT NULL), eav AS ({fx.leaves_sql('docs', 'version_key')})" for name in ("old_current", "live")
+)
+PATHS_SQL = "SELECT path, count(*) AS leaves, count(DISTINCT version_key) AS docs, min(value) AS least, max(value) AS most FROM eav GROUP BY 1"
+META_SQL = """SELECT {version} AS version, (SELECT count(*) FROM docs) AS doc_count, (SELECT count(*) FROM eav) AS eav_count, (SELECT count(DISTINCT source) FROM docs) AS source_count,
+    (SELECT count(*) FROM old_current WHERE payload IS NULL) AS skipped_count"""
+
+
+def built_corpus(spark: SparkSession, sf_dir: str, *days: str) -> corpus.Corpus:
+    """A corpus built as of the first day and updated to each of the others."""
+    found, made = fx.versions_twice(spark, sf_dir), corpus.Corpus(spark, files.scratch(spark))
+    for k, day in enumerate(days):
+        until = found.where(F.col("run_date") <= F.lit(day).cast("date"))
+        made.update(until) if k else made.build(until)
+    return made
+
+
+def leaves_by_path(eav: DataFrame) -> DataFrame:
+    return eav.groupBy("path").agg(F.count(F.lit(1)).alias("leaves"), F.count_distinct("version_key").alias("docs"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+def meta_counts(made: corpus.Corpus) -> DataFrame:
+    return made.meta_row().select("version", "doc_count", "eav_count", "source_count", "skipped_count")
+
+
+@query("corpus_built", PATHS_SQL, OF_OLD)
+def _(spark, sf_dir):
+    return leaves_by_path(built_corpus(spark, sf_dir, OLD_DAY).open()[1])
+
+
+@query("corpus_built_meta", META_SQL.format(version=1), OF_OLD)
+def _(spark, sf_dir):
+    return meta_counts(built_corpus(spark, sf_dir, OLD_DAY))
+
+
+@query("corpus_updated", PATHS_SQL, OF_NEW)
+def _(spark, sf_dir):
+    return leaves_by_path(built_corpus(spark, sf_dir, OLD_DAY, NEW_DAY).open()[1])
+
+
+@query("corpus_updated_docs", "SELECT version_key, source, run_type, action, CAST(run_date AS VARCHAR) AS run_date FROM docs", OF_NEW)
+def _(spark, sf_dir):
+    docs = built_corpus(spark, sf_dir, OLD_DAY, NEW_DAY).open()[0]
+    return docs.select("version_key", "source", "run_type", "action", F.col("run_date").cast("string"))
+
+
+@query("corpus_updated_meta", META_SQL.format(version=2), OF_NEW)
+def _(spark, sf_dir):
+    return meta_counts(built_corpus(spark, sf_dir, OLD_DAY, NEW_DAY))
+
+
+@query("corpus_keys_return", PATHS_SQL, OF_OLD)
+def _(spark, sf_dir):
+    """Keys that an update drops and a later one brings back have their leaves once."""
+    return leaves_by_path(built_corpus(spark, sf_dir, OLD_DAY, NEW_DAY, OLD_DAY).open()[1])
+
+
+@query("corpus_scope_report", "", OF_NEW.replace("docs AS (SELECT * FROM live WHERE", "docs AS (SELECT * FROM live WHERE source IN ('src1', 'src2') AND run_date >= DATE '2024-01-10' AND") + OVERVIEW_SQL)
+def _(spark, sf_dir):
+    """The report under a scope, asked for before the update and after it: the older one must not answer."""
+    made = built_corpus(spark, sf_dir, OLD_DAY)
+    made.field_usage_report(SCOPE)
+    made.update(fx.versions_twice(spark, sf_dir).where(F.col("run_date") <= F.lit(NEW_DAY).cast("date")))
+    return made.field_usage_report(SCOPE)
+
+
 # Run diff
 
 DIFF_SQL = f"""{fx.VERSIONS_SQL},
@@ -565,6 +744,20 @@ def _(spark, sf_dir):
     return rundiff.changed_at(rundiff.detail_rows(rundiff.classified(fx.versions(spark, sf_dir), RUN, max_depth=fx.VERSION_DEPTH)[0]), "orders[].count")
 
 
+@query(
+    "run_report",
+    f"""SELECT h.run_id, h.record_count, h.index_count, h.delete_count, touched, added, modified, unchanged, deleted FROM ({RUNS_SQL}) h,
+        (SELECT count(*) AS touched, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'modified') AS modified,
+                count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'deleted') AS deleted FROM records) WHERE h.run_id = '{RUN}'""",
+    DIFF_SQL,
+)
+def _(spark, sf_dir):
+    """Header and summary of the whole report; an unknown run is an error (tested)."""
+    found = rundiff.diff_run(fx.versions(spark, sf_dir), RUN, max_depth=fx.VERSION_DEPTH)
+    both = found.header.crossJoin(F.broadcast(found.summary))  # one row each
+    return both.select("run_id", "record_count", "index_count", "delete_count", "touched", "added", "modified", "unchanged", "deleted")
+
+
 @query("run_diff_examples", "SELECT status, record_id FROM records QUALIFY row_number() OVER (PARTITION BY status ORDER BY record_id) <= 10", DIFF_SQL)
 def _(spark, sf_dir):
     return rundiff.example_ids(rundiff.classified(fx.versions(spark, sf_dir), RUN, max_depth=fx.VERSION_DEPTH)[0])
