@@ -71,10 +71,12 @@ def page_rows(df: DataFrame, by: str, ties: Sequence[str], *, descending: bool =
 def page(df: DataFrame, condition: Column, by: str, ties: Sequence[str], *, cap: int | None = None, start: int = 0, length: int = 50, **options) -> Page:
     """A page of the rows that meet the condition; ``cap`` bounds both what is counted as filtered and what pages can show."""
     kept = df.where(condition)
-    filtered = kept.count()
+    # Both counts come from one pass.
+    counts = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(condition, F.lit(False))).alias("filtered")).first()
+    filtered = counts["filtered"]
     if cap is not None:
         filtered, length = min(filtered, cap), max(0, min(length, cap - start))
-    return Page(df.count(), filtered, page_rows(kept, by, ties, start=start, length=length, **options))
+    return Page(counts["total"], filtered, page_rows(kept, by, ties, start=start, length=length, **options))
 
 
 VERSION_ORDER = ("record_id", "source", "run_date", "run_timestamp", "run_type", "action", "run_id", "run_record_offset")

@@ -235,10 +235,10 @@ def _member_text(path: str, is_array: bool) -> Column:
 def object_table(docs: DataFrame, eav: DataFrame, prefix: str, members: list[str], *, value_path: str | None = None, value: str | None = None) -> DataFrame:
     """One row per object instance: identity, element and c0..cN, the members' values joined by ", ".
 
-    Members that are arrays within the object stand in brackets; absent ones are null.
+    Members whose path ends in ``[]`` stand in brackets; absent ones are null.
     """
     leaves = object_leaves(eav, prefix, value_path, value)
-    cells = [_member_text(m, "[" in m[len(prefix) :]).alias(f"c{k}") for k, m in enumerate(members)]
+    cells = [_member_text(m, m.endswith("[]")).alias(f"c{k}") for k, m in enumerate(members)]
     grouped = leaves.groupBy("version_key", "element").agg(F.count(F.lit(1)).alias("__n"), *cells).drop("__n")
     return grouped.join(docs, "version_key").select(*IDENTITY, "version_key", "element", *[f"c{k}" for k in range(len(members))])
 
@@ -251,7 +251,8 @@ def object_rows(
 
     Instances are found and ordered first, with at most the one member that orders
     them; only the page's instances are then pivoted.  A search looks at record ids
-    and at all values of the instance.
+    and at all values of the instance.  ``by`` is an identity column, element or cN;
+    anything else means record_id.
     """
     leaves = object_leaves(eav, prefix, value_path, value)
     everything = leaves.select("version_key", "element").distinct()
@@ -259,9 +260,11 @@ def object_rows(
     aggregates = [F.count(F.lit(1)).alias("__n")]
     if term:
         aggregates.append(F.bool_or(search(term, ("value",))).alias("__hit"))
-    if by.startswith("c") and by[1:].isdigit():
+    if by not in (*IDENTITY, "element", *[f"c{k}" for k in range(len(members))]):
+        by = "record_id"
+    if by.startswith("c"):
         m = members[int(by[1:])]
-        aggregates.append(_member_text(m, "[" in m[len(prefix) :]).alias(by))
+        aggregates.append(_member_text(m, m.endswith("[]")).alias(by))
     found = leaves.groupBy("version_key", "element").agg(*aggregates).join(docs, "version_key")
     if term:
         found = found.where(F.col("__hit") | search(term, ("record_id",)))
@@ -269,9 +272,9 @@ def object_rows(
     order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
     ties = [F.col("record_id"), F.col("run_record_offset"), element_numbers("element"), F.col("element")]
     keys = found.orderBy(order, *ties).offset(start).limit(length).select("version_key", "element")
-    # A page of keys at most.
-    chosen = leaves.join(F.broadcast(keys), ["version_key", "element"], "left_semi")
-    cells = [_member_text(m, "[" in m[len(prefix) :]).alias(f"c{k}") for k, m in enumerate(members)]
+    # A page of keys; Spark broadcasts it if it is as small as pages are.
+    chosen = leaves.join(keys, ["version_key", "element"], "left_semi")
+    cells = [_member_text(m, m.endswith("[]")).alias(f"c{k}") for k, m in enumerate(members)]
     rows = chosen.groupBy("version_key", "element").agg(F.count(F.lit(1)).alias("__n"), *cells).join(docs, "version_key")
     return Page(total, filtered, rows.orderBy(order, *ties).select(*IDENTITY, "element", *[f"c{k}" for k in range(len(members))]))
 

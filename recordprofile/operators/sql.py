@@ -25,7 +25,9 @@ class SqlResult:
 def scoped_sql(sql: str, docs: DataFrame, eav: DataFrame, meta: DataFrame | None = None, scope: Scope = EMPTY) -> DataFrame:
     """The query as a DataFrame. It stands in parentheses, so only queries parse: no DDL, DML or SET.
 
-    The views live in a session of their own. Functions that call Java by name are refused.
+    Only the given tables can be read: a query whose plan scans more files than theirs
+    do (``parquet.`path` `` and the catalogue's tables) is refused, and so are functions
+    that call Java by name.
     """
     if _FOREIGN_CODE.search(sql):
         raise ValueError("functions that call Java methods are not allowed")
@@ -33,7 +35,11 @@ def scoped_sql(sql: str, docs: DataFrame, eav: DataFrame, meta: DataFrame | None
     views = {"docs": inside_docs, "eav": inside_eav} | ({"corpus_meta": meta} if meta is not None else {})
     text = re.sub(r"([{}])", r"\1\1", sql.strip().rstrip(";"))
     names = ", ".join(f"{name} AS (SELECT * FROM {{{name}_}})" for name in views)
-    return docs.sparkSession.sql(f"WITH {names} SELECT * FROM (\n{text}\n)", **{f"{name}_": df for name, df in views.items()})
+    found = docs.sparkSession.sql(f"WITH {names} SELECT * FROM (\n{text}\n)", **{f"{name}_": df for name, df in views.items()})
+    known = {f for df in views.values() for f in df.inputFiles()}
+    if not set(found.inputFiles()) <= known:
+        raise ValueError("only docs, eav and corpus_meta can be read")
+    return found
 
 
 def run_sql(sql: str, docs: DataFrame, eav: DataFrame, meta: DataFrame | None = None, scope: Scope = EMPTY, *, limit: int = MOST_ROWS) -> SqlResult:

@@ -80,6 +80,40 @@ def test_update_reconciles(spark, root):
     assert len(small.parts) == 1 and corpus.open()[1].count() == 6
 
 
+def test_update_reads_the_rows_that_become_documents(spark, root, tmp_path):
+    corpus = Corpus(spark, root)
+    first = [version("A"), version("B", offset=1)]
+    corpus.build(table(spark, *first))
+    twice = [version("A", "run2", day=2, filename="a", title="old"), version("A", "run2", day=2, filename="b", title="new"), version("B", "run2", day=2, filename="a", title="other B")]
+    found = corpus.update(table(spark, *first, *twice))
+    docs, eav = corpus.open()
+    assert sorted((r["version_key"], r["value"]) for r in eav.where("path = 'title'").collect()) == [("A|run2|0", "new"), ("B|run2|0", "other B")]
+    assert (found.doc_count, found.eav_count, eav.count(), docs.count()) == (2, 4, 4, 2)
+    # A path is listed anew; what no snapshot uses can go.
+    path = str(tmp_path / "landing")
+    columns = [c for c in SCHEMA.replace(",", "").split()[::2] if c != "filename"]
+    table(spark, *first).select(columns).write.parquet(path)
+    other = Corpus(spark, f"{root}-files")
+    other.build(vs.read_versions(spark, path, table(spark).select(columns).schema))
+    table(spark, version("C", offset=2)).select(columns).write.mode("append").parquet(path)
+    assert other.update(vs.read_versions(spark, path, table(spark).select(columns).schema)).doc_count == 3
+    other.compact()
+    other.vacuum()
+    import os
+
+    assert {n for n in os.listdir(f"{root}-files/docs") if n.isdigit()} == {"3"} and other.open()[1].count() == 6
+
+
+def test_all_runs_agree_with_one_run(spark):
+    rows = diff_table(spark).unionByName(
+        table(spark, version("R9", "old1", 9, day=1, payload='{"a": 1, "b": 2}'), version("R9", "X", 9, day=3, payload='{"b": 2, "a": 1}'), version("R9", "X", 10, day=3, payload='{"b": 2, "a": 1.0}'))
+    )
+    everything = {(r["run_id"], r["status"]): r["records"] for r in rundiff.all_run_changes(rows).collect()}
+    for run in ("old1", "old2", "X", "later"):
+        one = rundiff.diff_run(rows, run).summary.first()
+        assert {s: n for s in rundiff.STATUSES if (n := one[s])} == {s: everything[run, s] for s in rundiff.STATUSES if (run, s) in everything}
+
+
 def test_scope_and_reports(spark, root):
     corpus = Corpus(spark, root)
     rows = [version("A", source="dspace"), version("B", offset=1), version("C", offset=2, source="dspace"), version("D", offset=3)]
@@ -224,7 +258,8 @@ def test_filters_and_pages(spark):
 
 
 def test_read_only_sql(spark, root):
-    corpus = Corpus(spark, root)
+    corpus, other = Corpus(spark, root), f"{root}-other"
+    spark.range(3).write.parquet(other)
     corpus.build(table(spark, *[version(f"r{i}", offset=i) for i in range(30)]))
     docs, eav = corpus.open()
     ask = lambda q, **k: sql.run_sql(q, docs, eav, corpus.meta_row(), **k)
@@ -233,7 +268,7 @@ def test_read_only_sql(spark, root):
     assert len(cut.rows) == 10 and cut.truncated and not cut.error
     assert ask("SELECT '{x}' AS braces").rows == [("{x}",)]
     assert ask("SELECT count(*) FROM docs", scope=Scope(where="run_record_offset < 5")).rows == [(5,)]
-    for bad in ("DROP TABLE docs", "SET x = 1", "SELECT nothing FROM docs", "SELECT reflect('java.lang.System', 'exit')", "SHOW TABLES"):
+    for bad in ("DROP TABLE docs", "SET x = 1", "SELECT nothing FROM docs", "SELECT reflect('java.lang.System', 'exit')", "SHOW TABLES", f"SELECT * FROM parquet.`{other}`"):
         assert ask(bad).error
 
 
@@ -267,6 +302,7 @@ def test_objects(spark):
     assert [r["element"] for r in rows[2:]] == [f"s[{i}]" for i in range(11)]
     hit = profile.object_rows(docs, eav, "s[]", ["s[].k"], term="2", by="c0", descending=True)
     assert hit.filtered == 1 and hit.rows.first()["c0"] == "2"
+    assert profile.object_rows(docs, eav, "s[]", ["s[].k"], by="c99", length=1).rows.first()["record_id"] == "r0"
     assert profile.distinct_object_count(eav, "s[]").first()[0] == 2
     shape = {r["record_id"]: (r["objects"], r["total_values"], r["max_per_object"]) for r in profile.object_record_shape(docs, eav, "s[]").collect()}
     assert shape == {"r0": (2, 4, 3), "r1": (11, 44, 4)}
