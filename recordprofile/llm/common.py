@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage is cut, and lost executors lose nothing."""
+def settle(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and where it lies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage is cut, and lost executors lose nothing."""
+    return settle(df)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove settled tables that nothing reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -93,25 +107,51 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round takes the smallest label among a vertex and its neighbours
     (aggregated before the shuffle) and then the label of that label, which halves
-    paths; each round is a durable table, and the rounds end when no label changes.
-    Only ids with an edge are returned.
+    paths; each round is a table in the shared folder that replaces the one before,
+    and the rounds end when no label changes.  Only ids with an edge are returned.
     """
-    links = durable(
+    spark = edges.sparkSession
+    links, links_at = settle(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
         .unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")))
         .where("u <> v")
         .distinct()
     )
     labels = links.groupBy("u").agg(F.min("v").alias("v"))
-    labels = durable(labels.select(F.col("u").alias("id"), F.least("u", "v").alias("l")))
+    labels, at = settle(labels.select(F.col("u").alias("id"), F.least("u", "v").alias("l")))
     while True:
         near = links.join(labels.select(F.col("id").alias("v"), "l"), "v").select(F.col("u").alias("id"), "l")
         met = labels.unionByName(near).groupBy("id").agg(F.min("l").alias("l"))
         jumped = met.alias("m").join(labels.select(F.col("id").alias("t"), F.col("l").alias("tl")), F.col("m.l") == F.col("t"))
-        fresh = durable(jumped.select("id", F.least("l", "tl").alias("l")))
-        if fresh.join(labels.withColumnRenamed("l", "was"), "id").where("l <> was").isEmpty():
+        fresh, fresh_at = settle(jumped.select("id", F.least("l", "tl").alias("l")))
+        done = fresh.join(labels.withColumnRenamed("l", "was"), "id").where("l <> was").isEmpty()
+        discard(spark, at)
+        if done:
+            discard(spark, links_at)
             return fresh.select("id", F.col("l").alias("component"))
-        labels = fresh
+        labels, at = fresh, fresh_at
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, spread: Sequence[Column | str], *, parts: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (a durable table with one row per key), however many rows one key has.
+
+    Keys that hold more than 1/parts of the rows in ``groups``, so fewer than ``parts``
+    keys, are broadcast.  Their rows, and those with a null key, which have no match,
+    are dealt evenly in the shuffle that joins the rest; ``spread`` tells rows apart.
+    """
+    keys, values = list(keys), [c for c in groups.columns if c not in keys]
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * parts > total)
+    packed = lambda df, name: df.select(*[F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)], F.struct(*values).alias(name))
+    on = lambda name: reduce(and_, [F.col(k) == F.col(f"{name}{i}") for i, k in enumerate(keys)])
+    # Fewer than ``parts`` rows.
+    found = rows.join(F.broadcast(packed(hot, "__hot")), on("__hot"), "left").drop(*[f"__hot{i}" for i in range(len(keys))])
+    alone = F.col("__hot").isNotNull() | reduce(or_, [F.col(k).isNull() for k in keys])
+    found = found.withColumn("__deal", F.when(alone, F.xxhash64(*spread)).otherwise(F.lit(0)))
+    rest = packed(groups, "__cold").withColumn("__deal0", F.lit(0))
+    cold = reduce(and_, [F.when(~alone, F.col(k)) == F.col(f"__cold{i}") for i, k in enumerate(keys)]) & (F.col("__deal") == F.col("__deal0"))
+    met = found.join(rest, cold, "left")
+    return met.select(*rows.columns, *[F.coalesce(F.col("__hot")[v], F.col("__cold")[v]).alias(v) for v in values])
 
 
 def utf8_bytes(text: Column) -> Column:

@@ -146,7 +146,7 @@ ORACLE_SQL: dict[str, str] = {
         lines AS (SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM split),
         firsts AS (SELECT line, length(line) AS n, min({'d': doc_id, 'l': line_no}) AS first FROM lines WHERE line <> '' GROUP BY line),
         sides AS (
-            SELECT line, n, first, n + m AS c, ((n + m - 1) // 2) AS half FROM firsts, (VALUES (0), (1)) AS t (m) WHERE n >= 10),
+            SELECT line, n, first, n + m AS c, ((n + m - 1) // 2) AS half FROM firsts, (VALUES (0), (1)) AS t (m)),
         keys AS (
             SELECT *, 'l' || left(line, half) AS key FROM sides UNION ALL SELECT *, 'r' || right(line, half) FROM sides),
         pairs AS (

@@ -95,7 +95,7 @@ def distance(a, b):
     return row[-1]
 
 
-def brute_lines(rows, least=10):
+def brute_lines(rows):
     lines = []
     for d, t in sorted(rows, key=lambda r: r[0]):
         lines += [((d, k), x.strip(" \t\r\f\v")) for k, x in enumerate((t or "").split("\n"))]
@@ -103,7 +103,7 @@ def brute_lines(rows, least=10):
     for i, (place, line) in enumerate(lines):
         out[place] = place
         for other, x in lines[:i] if line else []:
-            fuzzy = min(len(x), len(line)) >= least and abs(len(x) - len(line)) <= 1
+            fuzzy = min(len(x), len(line)) > 0 and abs(len(x) - len(line)) <= 1
             if x == line or (fuzzy and distance(x, line) <= 1):
                 out[place] = other
                 break
@@ -112,7 +112,7 @@ def brute_lines(rows, least=10):
 
 def edited_lines(seed):
     r = random.Random(seed)
-    bases = ["".join(r.choices("abcd é", k=r.choice([5, 9, 10, 11, 14, 30]))).strip() for _ in range(12)] + ["aaaaaaaaaaaa", "abababababab"]
+    bases = ["".join(r.choices("abcd é", k=r.choice([1, 2, 5, 9, 10, 14, 30]))).strip() for _ in range(12)] + ["aaaaaaaaaaaa", "abababababab"]
     docs = []
     for d in range(40):
         lines = []
@@ -147,3 +147,18 @@ def test_documents_without_repeated_lines(make_docs, awkward):
     assert found.where("doc_id is null and kept").count() == 1
     # Line 8 differs from line 7 by case in two places: it stays. Both rows of document 7 stay.
     assert found.where("doc_id in (7, 8) and kept").count() == 3
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(make_docs):
+    rows = [(1, "shared line number one"), (7, "shared line number one\nkeep me"), (7, "a wholly unique line\nother words here"), (7, "a wholly unique line\nother words here"), (9, "keep me!\n\nab\nb")]
+    docs = make_docs([(d, t, "en", "s", len(t)) for d, t in rows])
+    out = sorted((r["doc_id"], r["text"]) for r in line_dedup.without_repeated_lines(docs).collect())
+    assert out == [(1, rows[0][1]), (7, rows[2][1]), (7, rows[2][1]), (7, "keep me"), (9, "\nab")]
+
+
+def test_a_hot_line_and_blank_lines(make_docs):
+    rows = [(i, f"the same line everywhere\n\nown line of this document {i * 7919}\n \nx") for i in range(3000)]
+    docs = make_docs([(d, t, "en", "s", len(t)) for d, t in rows]).repartition(4)
+    found = line_dedup.dedup_lines(docs).groupBy("line_no", "kept").count().collect()
+    counts = {(r["line_no"], r["kept"]): r["count"] for r in found}
+    assert counts[0, True] == 1 and counts[4, True] == 1 and counts[1, True] == counts[3, True] == 3000 and (1, False) not in counts
