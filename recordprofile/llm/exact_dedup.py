@@ -1,6 +1,6 @@
 """Exact deduplication by two passes with a Bloom filter.
 
-Pass one counts text hashes in a blocked Bloom filter with saturating two-bit
+One pass over the texts writes down their hashes.  Pass one over these counts them in a blocked Bloom filter with saturating two-bit
 counters (unseen, once, more than once).  Each partition fills counters for its
 own rows and sends only the positions it touched; the positions of a segment meet
 in one task, which keeps a bit for every counter that passed one.  Pass two tests
@@ -8,26 +8,31 @@ each row's hash against those bits.  A hash that truly repeats always passes, so
 only rows that pass are grouped (id and hash shuffle, with what columns the caller
 asks for); all others go straight through.
 
-The filter is broadcast.  Its size is ``bits_per_row`` times the row count, and
-never more than ``max_bits`` (128 MB by default): past that size more rows than
-needed are grouped, which costs shuffle but changes no result.
+The filter is broadcast.  It has ``bits_per_row`` bits a row, and never more than
+``max_bits`` (128 MB by default): past that size, hashes come in slices with a filter
+each.
 """
 
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import free_name
+from .common import durable, join_groups, shared_dir
 
 SEGMENT_BITS = 1 << 15
 _SEED = 0x9E37
+#: Slices at most (of more rows than these serve at full bits, more pass the filter), and files of one.
+MOST_SLICES, SHARES = 4096, 8
 
 
 def normalised(text: Column) -> Column:
@@ -94,46 +99,91 @@ def _bit(bits: Column, place: Column) -> Column:
     return F.getbit(byte, place.bitwiseAND(7).cast("int")) == 1
 
 
-def exact_dedup(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    bits_per_row: int = 16,
-    max_bits: int = 1 << 30,
-) -> DataFrame:
+def _tested(rows: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
+    """``rows`` (with __h) with __maybe: whether both places of the hash were touched more than once."""
+    found = F.broadcast(filters.select(F.col("segment").alias("__segment0"), F.col("bits").alias("__bits")))  # max_bits at most
+    places = [_bit(F.col("__bits"), F.shiftrightunsigned("__h", k).bitwiseAND(SEGMENT_BITS - 1)) for k in (33, 48)]
+    joined = rows.withColumn("__segment", F.col("__h").bitwiseAND(segments - 1)).join(found, F.col("__segment") == F.col("__segment0"), "left")
+    return joined.withColumn("__maybe", F.coalesce(places[0] & places[1], F.lit(False))).drop("__segment", "__segment0", "__bits")
+
+
+@dataclass(frozen=True)
+class TextGroups:
+    """Narrow results of the two passes: rows (id, text_sha256, keep_id, group_size), the groups of rows that passed the filter, and the filter itself."""
+
+    rows: DataFrame
+    groups: DataFrame
+    filters: DataFrame | None
+    segments: int
+
+
+def text_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30) -> TextGroups:
+    """Both passes over (id, hash), which one pass over the texts writes down.
+
+    Where one filter would be larger than ``max_bits``, hashes are dealt into slices
+    that are filtered one after the other, each over its own files; so the filter
+    keeps its bits per row at any size.
+    """
+    spark = docs.sparkSession
+    sha = F.sha2(normalised(F.col(text_col)), 256)
+    narrow = docs.select(F.col(id_col).alias("id"), sha.alias("text_sha256")).withColumn("__h", F.xxhash64("text_sha256", F.lit(_SEED)))
+    wanted = durable(narrow)
+    segments = 1 << max(0, (max(wanted.count() * bits_per_row, SEGMENT_BITS) // SEGMENT_BITS - 1).bit_length())
+    most = 1 << (max(1, max_bits // SEGMENT_BITS).bit_length() - 1)
+    slices, segments = max(1, segments // most), min(segments, most)
+    if slices > 1:
+        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+        place = F.shiftrightunsigned("__h", 20).bitwiseAND(min(slices, MOST_SLICES) - 1).cast("int")
+        # Equal slices meet, so that a slice has few files.
+        wanted.withColumn("__slice", place).repartition("__slice", F.pmod("__h", F.lit(SHARES))).write.partitionBy("__slice").parquet(path)
+        schema = StructType([*wanted.schema.fields, StructField("__slice", IntegerType())])
+        parts = [spark.read.schema(schema).parquet(path).where(F.col("__slice") == k).drop("__slice") for k in range(min(slices, MOST_SLICES))]
+    else:
+        parts = [wanted]
+    out = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    for part in parts:
+        filters = repeated_filter(part.select("__h"), segments)
+        tested = _tested(part, filters, segments)
+        if slices > 1:
+            tested.write.mode("append").partitionBy("__maybe").parquet(out)
+    if slices > 1:
+        tested, filters = spark.read.schema(tested.schema).parquet(out), None
+    once = tested.where(~F.col("__maybe")).select("id", "text_sha256", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    maybe = tested.where("__maybe").select("id", "text_sha256", "__h")
+    groups = durable(maybe.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    met = join_groups(maybe, groups, ["text_sha256"], "group_size", ["id", "__h"]).select(once.columns)
+    return TextGroups(once.unionByName(met), groups, filters, segments)
+
+
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with keep_id, group_size (long), kept (boolean) and text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
     Of equal texts the largest id stays.  Rows repeated under one id are one
     document and share its decision; a null id stays only where no other has the
-    text.  The four names replace columns of the same name.
+    text.  An empty table has no rows.  The four names replace columns of the same
+    name.  Rows that cannot repeat pass straight through, the others shuffle; where
+    the filter came in slices, all rows join the groups.
     """
+    found = text_groups(docs, id_col=id_col, text_col=text_col, **options)
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    h, seg, bits = (free_name(docs, n) for n in ("__h", "__segment", "__bits"))
-    hashed = docs.withColumn("text_sha256", F.sha2(normalised(F.col(text_col)), 256)).withColumn(
-        h, F.xxhash64("text_sha256", F.lit(_SEED))
-    )
-    wanted = min(max(docs.count() * bits_per_row, SEGMENT_BITS), max_bits)
-    segments = 1 << max(0, (wanted // SEGMENT_BITS - 1).bit_length())
-    segments = min(segments, max(1, max_bits // SEGMENT_BITS))
-    filters = repeated_filter(hashed.select(h), segments).select(F.col("segment").alias(seg), F.col("bits").alias(bits))
-    key = F.col(h)
-    tested = (
-        hashed.withColumn(seg, key.bitwiseAND(segments - 1))
-        .join(F.broadcast(filters), seg, "left")
-        .withColumn(
-            bits,
-            F.coalesce(
-                _bit(F.col(bits), F.shiftrightunsigned(key, 33).bitwiseAND(SEGMENT_BITS - 1))
-                & _bit(F.col(bits), F.shiftrightunsigned(key, 48).bitwiseAND(SEGMENT_BITS - 1)),
-                F.lit(False),
-            ),
-        )
-    )
-    once = tested.where(~F.col(bits)).withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long")})
-    maybe = tested.where(F.col(bits))
-    groups = maybe.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    columns = [*docs.columns, "keep_id", "group_size", "text_sha256"]
-    both = once.select(columns).unionByName(maybe.join(groups, "text_sha256").select(columns))
-    return both.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values()).withColumn("text_sha256", F.sha2(normalised(F.col(names[text_col])), 256)).withColumn("__h", F.xxhash64("text_sha256", F.lit(_SEED)))
+    own = F.col(names[id_col])
+    columns = [*names.values(), "text_sha256", "keep_id", "group_size"]
+    join = lambda df: join_groups(df, found.groups, ["text_sha256"], "group_size", [names[id_col], "__h"])
+    if found.filters is None:
+        met = join(rows)
+        out = met.withColumns({"keep_id": F.when(F.col("group_size").isNull(), own).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}).select(columns)
+    else:
+        tested = _tested(rows, found.filters, found.segments)
+        once = tested.where(~F.col("__maybe")).withColumns({"keep_id": own, "group_size": F.lit(1).cast("long")}).select(columns)
+        out = once.unionByName(join(tested.where("__maybe").drop("__maybe")).select(columns))
+    out = out.withColumn("kept", own.eqNullSafe(F.col("keep_id")))
+    return out.select(*[F.col(v).alias(k) for k, v in names.items()], "keep_id", "group_size", "kept", "text_sha256")
+
+
+def decisions(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """``exact_dedup`` without the documents' other columns: id, keep_id, group_size, kept and text_sha256; texts are read once."""
+    rows = text_groups(docs, id_col=id_col, **options).rows
+    return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -15,10 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, free_name
+from .common import durable
 
-#: Ranges of the key in each source; the one in which a budget ends is sorted in one task.
-RANGES = 4096
+#: Ranges of the key in each source at least, and rows that one range should hold: the range in which a budget ends is sorted in one task.
+RANGES, ROWS_PER_RANGE = 4096, 50_000
 KEY_BITS = 60
 _SPACE = "\\x20\\x09-\\x0D"
 
@@ -76,7 +76,7 @@ def source_targets(
     )
 
 
-def mix(
+def shares(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -86,23 +86,18 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 17,
-    ranges: int = RANGES,
-) -> DataFrame:
-    """``docs`` with size, source_size, target (double) and taken (long, words the mix takes).
+    ranges: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, plan): id, s, size and key of every row, durable, and the plan that ``_taken`` applies, a row per source.
 
-    A source's taken words add up to its target's whole part: every document as often
-    as the target holds the whole source, then documents in the order of their keys
-    up to the budget, the last one in part.  Keys come from id, size and seed, so
-    reruns agree; of rows alike in these the cut takes equal parts.  Null texts and texts
-    without words have size 0 and are never taken; a null source is a source.  The
-    four names replace columns of the same name.
+    The words are counted once, for the rows; all sums come from them.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
-    key, src = free_name(docs, "__key"), free_name(docs, "__source")
-    sized = docs.withColumn("size", word_count(F.col(text_col)))
-    sized = sized.withColumn(key, random_key(seed, F.col(id_col), F.col("size")))
-    rows = sized.select(F.col(source_col).alias("s"), F.col(key).alias("key"), "size", F.shiftright(key, KEY_BITS - (ranges - 1).bit_length()).alias("r"))
-    sums = durable(rows.groupBy("s", "r").agg(F.sum("size").alias("size")))
+    size = word_count(F.col(text_col))
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("s"), size.alias("size"))
+    rows = durable(narrow.withColumn("key", random_key(seed, F.col("id"), F.col("size"))))
+    ranges = ranges or max(RANGES, rows.count() // ROWS_PER_RANGE)
+    ranged = rows.withColumn("r", F.shiftright("key", KEY_BITS - (ranges - 1).bit_length()))
+    sums = durable(ranged.groupBy("s", "r").agg(F.sum("size").alias("size")))
     targets = source_targets(
         sums.groupBy("s").agg(F.sum("size").alias("source_size")), source_col="s", weights=weights, share=share, most=most
     )
@@ -120,7 +115,7 @@ def mix(
     )
     # Rows with one key count as one: they share the key's part by their sizes, which are alike.
     inside = (
-        rows.alias("a")
+        ranged.alias("a")
         .join(ending.alias("e"), F.col("a.s").eqNullSafe(F.col("e.s")) & (F.col("a.r") == F.col("e.r")))
         .groupBy("a.s", "left", "key")
         .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
@@ -135,28 +130,70 @@ def mix(
     plan = durable(
         targets.alias("t")
         .join(cut.alias("c"), F.col("t.s").eqNullSafe(F.col("c.s")), "left")
-        .select(F.col("t.s").alias(src), "source_size", "target", "epochs", "rest", "cut_key", "part")
+        .select(F.col("t.s").alias("plan_s"), F.col("source_size").alias("plan_size"), F.col("target").alias("plan_target"), "epochs", "rest", "cut_key", "part")
     )
+    return rows, plan
+
+
+def _taken(rows: DataFrame, plan: DataFrame, *, source: str, size: str, key: str, into: Sequence[str]) -> DataFrame:
+    """``rows`` with source_size, target and taken under the names ``into``; ``rows`` has no column of the plan's names."""
     place, end = F.col(key), F.col("cut_key")
     more = (
         F.when(F.col("rest") == 0, F.lit(0))
         .when(F.col("cut_key").isNull(), F.lit(0))
-        .when(place < end, F.col("size"))
+        .when(place < end, F.col(size))
         .when(place == end, F.col("part"))
         .otherwise(F.lit(0))
     )
-    joined = sized.join(plan, F.col(source_col).eqNullSafe(F.col(src)), "left")
-    return joined.withColumn("taken", (F.col("epochs") * F.col("size") + more).cast("long")).select(
-        *docs.columns, "size", "source_size", "target", "taken"
-    )
+    joined = rows.join(plan, F.col(source).eqNullSafe(F.col("plan_s")), "left")
+    taken = (F.col("epochs") * F.col(size) + more).cast("long")
+    return joined.select(*rows.columns, F.col("plan_size").alias(into[0]), F.col("plan_target").alias(into[1]), taken.alias(into[2]))
+
+
+def mixed_sizes(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """``mix`` without the documents' other columns: id, size, source_size, target and taken; every text is read once."""
+    rows, plan = shares(docs, id_col=id_col, **options)
+    found = _taken(rows, plan, source="s", size="size", key="key", into=("source_size", "target", "taken"))
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
 
+def _with_shares(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, seed: int, **options) -> DataFrame:
+    """``docs``, its columns renamed to c0, c1, ..., with size, source_size, target and taken."""
+    _rows, plan = shares(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
+    name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    sized = docs.toDF(*name.values()).withColumn("size", word_count(F.col(name[text_col])))
+    sized = sized.withColumn("key", random_key(seed, F.col(name[id_col]), F.col("size")))
+    return _taken(sized, plan, source=name[source_col], size="size", key="key", into=("source_size", "target", "taken"))
 
-def mixed_documents(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken whole, then the part that is taken in part."""
-    taken = mix(docs, text_col=text_col, **options).where("taken > 0")
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
+    """``docs`` with size, source_size, target (double) and taken (long, words the mix takes).
+
+    A source's taken words add up to its target's whole part: every document as often
+    as the target holds the whole source, then documents in the order of their keys
+    up to the budget, the last one in part.  Keys come from id, size and seed, so
+    reruns agree; of rows alike in these the cut takes equal parts.  Null texts and texts
+    without words have size 0 and are never taken; a null source is a source; an empty
+    table has no rows.  The four names replace columns of the same name.
+    """
+    found = _with_shares(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
+    kept = [(c, f"c{k}") for k, c in enumerate(docs.columns) if c.lower() not in ("size", "source_size", "target", "taken")]
+    return found.select(*[F.col(v).alias(c) for c, v in kept], "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, length_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``, whatever their names: each document as often as it is taken whole, then the part that is taken in part.
+
+    ``length_col``, if there is one, is counted anew for parts.
+    """
+    found = _with_shares(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options).where("taken > 0")
     times = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    n = free_name(taken, "__n")
-    copies = taken.withColumn(n, F.explode(times))
-    words = F.least(F.col("size"), F.col("taken") - (F.col(n) - 1) * F.col("size"))
-    text = F.when(words < F.col("size"), first_words(F.col(text_col), words)).otherwise(F.col(text_col))
-    return copies.withColumn(text_col, text).select(docs.columns)
+    copies = found.withColumn("nth", F.explode(times))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("nth") - 1) * F.col("size"))
+    whole = F.col(f"c{docs.columns.index(text_col)}")
+    text = F.when(words < F.col("size"), first_words(whole, words)).otherwise(whole)
+    shown = {c: F.col(f"c{k}") for k, c in enumerate(docs.columns)} | {text_col: text}
+    if length_col in shown:
+        length = F.char_length(text).cast(docs.schema[length_col].dataType)
+        shown[length_col] = F.when(words < F.col("size"), length).otherwise(shown[length_col])
+    return copies.select(*[v.alias(c) for c, v in shown.items()])

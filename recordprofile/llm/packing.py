@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import END_ID, worker_bpe
-from .common import durable, number_rows
+from .common import durable, free_name, number_rows
 
 CAPACITY = 1024
 
@@ -131,7 +131,8 @@ def pack_sized(pieces: DataFrame, *, order: list[str], size_col: str = "length",
     """``pieces`` (a durable table) with sequence_id and offset, both long.
 
     Sizes must lie between 1 and the capacity.  ``order`` names columns that tell
-    pieces apart; sequences do not depend on how the table is partitioned.
+    pieces apart; sequences do not depend on how the table is partitioned.  The two
+    names replace columns of the same name; other columns keep theirs.
     """
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy(size_col).count().collect()}  # at most ``capacity`` rows
@@ -145,14 +146,16 @@ def pack_sized(pieces: DataFrame, *, order: list[str], size_col: str = "length",
             used[size] += count * times
             offset += size * times
         first += count
-    plan = spark.createDataFrame(rows, "__size long, __from long, __to long, __first long, __times long, __offset long")
-    ranked = number_rows(pieces, [size_col], order, "__rank")
-    nth = F.col("__rank") - F.col("__from")
-    # The plan has some rows for each size up to the capacity, whatever the number of pieces.
+    pieces = pieces.drop("sequence_id", "offset")
+    size, rank, start, stop, at, times, place = (free_name(pieces, n) for n in ("__size", "__rank", "__from", "__to", "__first", "__times", "__offset"))
+    # Some rows for each size up to the capacity, whatever the number of pieces.
+    plan = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in (size, start, stop, at, times, place)))
+    ranked = number_rows(pieces, [size_col], order, rank)
+    nth = F.col(rank) - F.col(start)
     return (
-        ranked.join(F.broadcast(plan), (F.col(size_col) == F.col("__size")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
-        .withColumn("sequence_id", F.col("__first") + F.floor(nth / F.col("__times")))
-        .withColumn("offset", F.col("__offset") + nth % F.col("__times") * F.col(size_col))
+        ranked.join(F.broadcast(plan), (F.col(size_col) == F.col(size)) & (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(stop)))
+        .withColumn("sequence_id", F.col(at) + F.floor(nth / F.col(times)))
+        .withColumn("offset", F.col(place) + nth % F.col(times) * F.col(size_col))
         .select(*pieces.columns, "sequence_id", "offset")
     )
 

@@ -24,8 +24,7 @@ def op3_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

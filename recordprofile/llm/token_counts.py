@@ -40,22 +40,14 @@ def length_histogram(docs: DataFrame, **options) -> DataFrame:
     return durable(counted)
 
 
-def length_report(histogram: DataFrame) -> DataFrame:
-    """For each length in the histogram, taken as context limit L:
-
-    n_docs and tokens of that length; docs_within and tokens_within (length <= L);
-    docs_over and tokens_over (length > L); truncated_total, the tokens left when
-    longer documents are cut at L; and quantile, the part of documents within L.
-    A limit between two lengths a < L < b has a's counts, and its truncated total
-    is tokens_within + L * docs_over.  An empty table has no rows.
-    """
-    sized = histogram.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn(
-        "__block", F.floor(F.col("length") / LENGTHS_PER_BLOCK)
-    )
+def _sums(sized: DataFrame) -> DataFrame:
+    """``sized`` (length, n_docs, tokens, ...) with docs_within, tokens_within, d_all and t_all: sums over all lengths up to each, in blocks of lengths."""
+    blocked = sized.withColumn("__block", F.floor(F.col("length") / LENGTHS_PER_BLOCK))
+    # A row per block of lengths.
     earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     blocks = (
-        sized.groupBy("__block")
+        blocked.groupBy("__block")
         .agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
         .select(
             "__block",
@@ -63,11 +55,26 @@ def length_report(histogram: DataFrame) -> DataFrame:
             *[F.sum(c).over(everything).alias(f"{c}_all") for c in "dt"],
         )
     )
-    within = Window.partitionBy("__block").orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("__block").orderBy("length").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        sized.join(blocks, "__block")
+        blocked.join(blocks, "__block")
         .withColumn("docs_within", F.col("d_before") + F.sum("n_docs").over(within))
         .withColumn("tokens_within", F.col("t_before") + F.sum("tokens").over(within))
+    )
+
+
+def length_report(histogram: DataFrame) -> DataFrame:
+    """For each length in the histogram, taken as context limit L:
+
+    n_docs and tokens of that length; docs_within and tokens_within (length <= L);
+    docs_over and tokens_over, the suffix sums (length > L); truncated_total, the
+    tokens left when longer documents are cut at L; and quantile, the part of
+    documents within L.  An empty table has no rows; null and empty texts have length
+    0; repeated rows and texts of any length count as they are.
+    """
+    sized = histogram.withColumn("tokens", F.col("length") * F.col("n_docs"))
+    return (
+        _sums(sized)
         .withColumn("docs_over", F.col("d_all") - F.col("docs_within"))
         .withColumn("tokens_over", F.col("t_all") - F.col("tokens_within"))
         .withColumn("truncated_total", F.col("tokens_within") + F.col("length") * F.col("docs_over"))
@@ -79,13 +86,14 @@ def length_report(histogram: DataFrame) -> DataFrame:
 
 
 def answers(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """``limits`` (column: limit) with docs_over and truncated_total; any limit, seen as a length or not."""
-    report = length_report(histogram)
-    total = report.agg(F.max("docs_within").alias("d"))
-    steps = limits.join(report.select("length", "docs_within", "tokens_within"), F.col("length") <= F.col("limit"), "left")
-    return (
-        steps.groupBy("limit")
-        .agg(F.coalesce(F.max("docs_within"), F.lit(0)).alias("w"), F.coalesce(F.max("tokens_within"), F.lit(0)).alias("t"))
-        .join(F.broadcast(total), how="cross")
-        .select("limit", (F.col("d") - F.col("w")).alias("docs_over"), (F.col("t") + F.col("limit") * (F.col("d") - F.col("w"))).alias("truncated_total"))
-    )
+    """``limits`` (column: limit) with docs_over and truncated_total; any limit, seen as a length or not.
+
+    The limits are lengths without documents in the same sums, so nothing is compared
+    pair by pair.  Of an empty table all answers are 0; a null limit has none.
+    """
+    lengths = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.lit(False).alias("asked"))
+    asked = limits.where("limit is not null").select(F.col("limit").cast("long").alias("length"), F.lit(0).cast("long").alias("n_docs"), F.lit(0).cast("long").alias("tokens"), F.lit(True).alias("asked"))
+    over = F.col("d_all") - F.col("docs_within")
+    found = _sums(lengths.unionByName(asked)).where("asked")
+    return found.select(F.col("length").alias("limit"), over.alias("docs_over"), (F.col("tokens_within") + F.col("length") * over).alias("truncated_total"))
+

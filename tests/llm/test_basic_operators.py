@@ -54,7 +54,9 @@ def test_length_report(make_docs, tokenizer, spark):
     for r in token_counts.answers(histogram, spark.createDataFrame([(x,) for x in asked], "limit long")).collect():
         assert r["truncated_total"] == sum(min(n, r["limit"]) for n in lengths)
         assert r["docs_over"] == sum(n > r["limit"] for n in lengths)
-    assert token_counts.length_report(token_counts.length_histogram(make_docs([]))).count() == 0
+    none = token_counts.length_histogram(make_docs([]))
+    assert token_counts.length_report(none).count() == 0
+    assert [tuple(r) for r in token_counts.answers(none, spark.createDataFrame([(5,), (5,), (None,)], "limit long")).collect()] == [(5, 0, 0)] * 2
 
 
 def check_packing(rows, capacity):
@@ -118,6 +120,14 @@ def test_plan_packs_the_histogram_tightly(seed):
     assert bins <= len(gaps) + 1
 
 
+def test_packing_of_clashing_columns(spark):
+    rows = [(i, 100 + i % 400, -1, -2, "x", "y") for i in range(500)]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long, __rank long, sequence_id long, __SIZE string, offset string")
+    packed = packing.pack_sized(pieces, order=["doc_id"]).collect()
+    assert len(packed) == 500 and all(r["__rank"] == -1 and r["__SIZE"] == "x" for r in packed)
+    check_packing(packed, 1024)
+
+
 def test_pieces_beyond_the_capacity_are_refused(spark):
     with pytest.raises(ValueError):
         packing.pack_sized(spark.createDataFrame([(1, 2000)], "doc_id long, length long"), order=["doc_id"])
@@ -135,11 +145,14 @@ def expected_dedup(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("max_bits", [1 << 30, 1 << 15])
-def test_exact_dedup(make_docs, awkward, max_bits):
+@pytest.mark.parametrize(("max_bits", "bits_per_row"), [(1 << 30, 16), (1 << 15, 16), (1 << 15, 800)])
+def test_exact_dedup(make_docs, awkward, max_bits, bits_per_row):
     copies = [r for t in texts(40, 9) for r in [t] * random.Random(t).randint(1, 4)]
     docs = awkward.unionByName(make_docs([(100 + i, t, "en", "s", 1) for i, t in enumerate(copies)])).repartition(5)
-    found = exact_dedup.exact_dedup(docs, max_bits=max_bits)
+    options = {"max_bits": max_bits, "bits_per_row": bits_per_row}
+    found = exact_dedup.exact_dedup(docs, **options)
+    narrow = exact_dedup.decisions(docs, **options)
+    assert Counter(map(tuple, narrow.collect())) == Counter(map(tuple, found.select(narrow.columns).collect()))
     got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in found.collect())
     assert got == expected_dedup(docs.collect())
     assert set(docs.columns) < set(found.columns)
@@ -191,6 +204,12 @@ def test_mixing(make_docs, awkward):
     assert all(x["source_size"] == sizes[x["source"]] for x in rows)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
+    # Columns under the names that the mix gives keep what they hold.
+    clash = docs.selectExpr("*", "99 size", "98 target", "97 key", "96 plan_s", "95 C0")
+    assert {tuple(x)[-5:] for x in mixing.mixed_documents(clash).collect()} == {(99, 98, 97, 96, 95)}
+    assert mixing.mix(clash).columns == [*docs.columns, "key", "plan_s", "C0", "size", "source_size", "target", "taken"]
+    narrow = mixing.mixed_sizes(docs)
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, mixing.mix(docs).select(narrow.columns).collect()))
     words = Counter()
     for x in out.collect():
         words[x["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", x["text"]))
@@ -219,8 +238,40 @@ def test_sharding_of_equal_points_and_hot_groups(make_docs):
     same = make_docs([(i, "one and the same text", "en", "s", 21) for i in range(4000)])
     sizes = Counter(r["shard"] for r in sharding.kd_shards(same, shards=16).collect())
     assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 60
+    # Groups of a third of a shard, one of nearly a whole one, and one that no shard can hold.
+    r = random.Random(3)
+    filler = [f"filler {i} " * r.randint(3, 9) for i in range(1500)]
+    each = sum(map(len, filler)) // 6
+    groups = [f"group {k} " * 10 for k in range(6)]
+    rows = filler + [g for k, g in enumerate(groups) for _ in range(each // 3 // len(g))] + ["nearly a shard " * 9] * (each // 135) + ["too large for one " * 20] * (each * 3 // 360)
+    by_shard, of = Counter(), defaultdict(set)
+    for x in sharding.kd_shards(make_docs(rows), shards=8).collect():
+        by_shard[x["shard"]] += x["size"]
+        of[x["text_crc32"]].add(x["shard"])
+    whole = {zlib.crc32(t.encode()) for t in rows if "too large" not in t}
+    assert all(len(of[c]) == 1 for c in whole) and len(of[zlib.crc32(rows[-1].encode())]) > 1
+    assert len(by_shard) == 8 and max(by_shard.values()) < 1.03 * min(by_shard.values())
     pairs = make_docs([(i, f"text of a pair {i // 2}", "en", f"s{i % 5}", 20) for i in range(4000)])
     placed = defaultdict(set)
     for r in sharding.kd_shards(pairs, shards=5).collect():
         placed[r["text_crc32"]].add(r["shard"])
     assert {len(s) for s in placed.values()} == {1}
+
+
+def test_shards_of_any_ids(make_docs, awkward):
+    from pyspark.sql import functions as F
+
+    named = make_docs(texts(300, 8)).unionByName(awkward).withColumn("doc_id", F.concat(F.lit("doc-"), "doc_id")).withColumn("slot", F.lit("clash"))
+    found = sharding.with_shards(named, shards=None, target_bytes=20_000)
+    rows = found.collect()
+    assert found.columns == [*named.drop("slot").columns, "shard", "slot"] and len(rows) == named.count()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    total = sum(len((r["text"] or "").encode()) + 1 for r in rows)
+    assert set(slots) <= set(range(-(-total // 20_000))) and len(slots) > 5 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_large_groups_go_to_the_emptiest_shard():
+    where, left = sharding.place_groups([9, 8, 5, 4, 1], 2, 12)
+    assert where == [0, 1, None, 1, 0] and left == [2, 0]
