@@ -1,12 +1,11 @@
 """Tool-call linking: calls meet their results by identifier, in topological order, as canonical JSON.
 
 Calls and results are hash-joined by (conversation, call id).  Calls may name calls
-they depend on; a call's level is one more than its dependencies' highest, found in
-rounds of joins, one for each level, and calls are placed by level, then turn.
-Arguments are checked against the tool's JSON schema, and every call becomes one JSON
-object with sorted keys and no spare space.  Conversations are never gathered in one
-place: places come from sums over levels and gapless numbering, so one conversation
-may hold most of the rows.
+they depend on; a call's level is one more than its dependencies' highest.  The calls
+of a conversation of bounded size are put in order by the task that holds them; those
+of larger ones in rounds of joins, one for each level, so that no task holds them all.
+Calls are placed by level, then turn.  Arguments are checked against the tool's JSON
+schema, and every call becomes one JSON object with sorted keys and no spare space.
 """
 
 from __future__ import annotations
@@ -14,15 +13,20 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import durable, number_rows
+from .common import discard, durable, number_rows, settle, shared_dir
 
 TURNS_PER_BUCKET = 20_000
+#: Calls and dependencies of a conversation that one task puts in order; larger conversations take a round of joins for each level.
+MOST_IN_TASK = 100_000
 _NEVER = (1 << 31) - 1
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float),
@@ -42,7 +46,7 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     if not any(_is(value, k) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         found.append(f"{at}: not one of the allowed values")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -66,36 +70,109 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+def _plain(value):
+    """Whole floats as integers, so that equal numbers are written alike; true and 1 stay apart."""
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    if isinstance(value, list):
+        return [_plain(x) for x in value]
+    return {k: _plain(x) for k, x in value.items()} if isinstance(value, dict) else value
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys and no spare space, characters as they are; non-finite numbers are refused."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with keys sorted by code point and no spare space, characters as they are, 1.0 as 1; non-finite numbers and lone surrogates are refused."""
+    text = json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()
+    return text
+
+
+def in_order(calls: list, edges: list[tuple]) -> dict:
+    """Level of each call, without those that wait on a cycle; ``edges``: (call, call it depends on)."""
+    waits, followers = Counter(c for c, _ in edges), defaultdict(list)
+    for call, before in edges:
+        followers[before].append(call)
+    level, free = {}, deque((c, 0) for c in calls if not waits[c])
+    while free:
+        call, n = free.popleft()
+        level[call] = n
+        for f in followers[call]:
+            waits[f] -= 1
+            if not waits[f]:
+                # Calls become free in the order of their levels, so the last dependency is the highest.
+                free.append((f, n + 1))
+    return level
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of whole conversations; rows are (conv, call, befores) sorted by conv."""
+    conv, rows = None, []
+
+    def done():
+        known = {c for c, _ in rows}
+        level = in_order([c for c, _ in rows], [(c, b) for c, befores in rows for b in befores if b in known])
+        return [(conv, c, level.get(c)) for c, _ in rows]
+
+    for batch in batches:
+        out = []
+        for key, call, befores in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if rows and key != conv:
+                out += done()
+                rows = []
+            conv = key
+            rows.append((call, befores))
+        if out:
+            yield _levels_batch(out, batch)
+        last = batch
+    if rows:
+        yield _levels_batch(done(), last)
 
 
-def levels(calls: DataFrame) -> DataFrame:
+def _levels_batch(out: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+    kinds = [like.schema.field(0).type, like.schema.field(1).type, pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv", "call", "level"])
+
+
+def levels(calls: DataFrame, *, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """``calls`` (conv, call, after: ids it depends on) with level, null where it waits on a cycle.
 
-    Dependencies on calls that don't exist, or on the call itself, don't count.  Each
-    round settles a level and keeps only what is left, so the rounds are as many as
-    the levels and their work shrinks.
+    Dependencies on calls that don't exist, or on the call itself, don't count.
+    Conversations of up to ``most_in_task`` calls and dependencies are ordered within
+    their task, however deep they are.  Of larger ones each round settles a level and
+    keeps only what is left, so the rounds are as many as the levels.
     """
     calls = durable(calls)
-    edges = calls.select("conv", "call", F.explode("after").alias("before")).where("before <> call").distinct()
-    edges = durable(edges.join(calls.select("conv", F.col("call").alias("before")), ["conv", "before"], "left_semi"))
-    waiting, settled, level = calls.select("conv", "call"), None, 0
+    befores = F.array_remove(F.array_distinct(F.coalesce("after", F.array().cast("array<string>"))), F.col("call"))
+    calls = calls.withColumn("befores", befores)
+    large = durable(calls.groupBy("conv").agg(F.sum(F.size("befores") + 1).alias("n")).where(F.col("n") > most_in_task).select("conv"))
+    small = calls.join(large, "conv", "left_anti").select("conv", "call", "befores")
+    kinds = calls.schema["conv"].dataType.simpleString(), calls.schema["call"].dataType.simpleString()
+    found = small.repartition("conv").sortWithinPartitions("conv").mapInArrow(_ordered, f"conv {kinds[0]}, call {kinds[1]}, level int")
+    if not large.isEmpty():
+        found = found.unionByName(_levels_by_rounds(calls.join(large, "conv", "left_semi")))
+    return calls.drop("befores").join(found, ["conv", "call"], "left")
+
+
+def _levels_by_rounds(calls: DataFrame) -> DataFrame:
+    spark, root = calls.sparkSession, f"{shared_dir(calls.sparkSession)}/{uuid.uuid4().hex}"
+    edges = calls.select("conv", "call", F.explode("befores").alias("before"))
+    edges, edges_at = settle(edges.join(calls.select("conv", F.col("call").alias("before")), ["conv", "before"], "left_semi"))
+    waiting, waiting_at = settle(calls.select("conv", "call"))
+    schema, level = waiting.schema, 0
     while True:
-        free = waiting.join(edges.select("conv", "call").distinct(), ["conv", "call"], "left_anti").withColumn("level", F.lit(level))
-        free = durable(free)
+        free = waiting.join(edges.select("conv", "call").distinct(), ["conv", "call"], "left_anti")
+        # Settled calls gather in one folder, so that the plan does not grow with the levels.
+        free.write.parquet(f"{root}/level={level}")
+        free = spark.read.schema(schema).parquet(f"{root}/level={level}")
         if free.isEmpty():
             break
-        settled = free if settled is None else settled.unionByName(free)
-        waiting = durable(waiting.join(free, ["conv", "call"], "left_anti"))
-        edges = durable(edges.join(free.select("conv", F.col("call").alias("before")), ["conv", "before"], "left_anti"))
-        level += 1
-    settled = free if settled is None else settled
-    return calls.join(settled, ["conv", "call"], "left")
+        left, left_at = settle(waiting.join(free, ["conv", "call"], "left_anti"))
+        fewer, fewer_at = settle(edges.join(free.select("conv", F.col("call").alias("before")), ["conv", "before"], "left_anti"))
+        discard(spark, waiting_at, edges_at)
+        waiting, waiting_at, edges, edges_at, level = left, left_at, fewer, fewer_at, level + 1
+    return spark.read.schema(StructType([*schema.fields, StructField("level", IntegerType())])).parquet(root)
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """One row per call: conv, call, turn, level, position, status, problems (array) and json.
 
     ``calls``: conv, turn, call, name, arguments (JSON text), after (array of call ids);
@@ -103,8 +180,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     the earliest turn counts (of one turn, the smallest text).  Rows without
     conversation or id are left out.  Position counts a conversation's calls from 0.
     Status is the first that holds of: cycle (waits on itself; placed last), unknown
-    (tool without schema), invalid (arguments that break it, or aren't JSON),
-    unanswered (no result), ok.
+    (tool without schema), invalid (arguments that break it, or aren't JSON or can't be
+    written as UTF-8), unanswered (no result), ok.  Arguments that aren't JSON stand in
+    ``json`` as the text they are; null and empty ones are an empty object; texts of any
+    length stay whole.  Empty tables give no rows, and other columns are left out.
     """
     named = lambda df: df.where("conv is not null and call is not null")
     calls = durable(
@@ -114,7 +193,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         .select("conv", "call", "c.turn", "c.name", "c.arguments", F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
     )
     results = named(results).groupBy("conv", "call").agg(F.min(F.struct("turn", "content")).alias("r")).select("conv", "call", F.col("r.content").alias("content"), F.lit(True).alias("answered"))
-    found = levels(calls.select("conv", "call", "after"))
+    found = levels(calls.select("conv", "call", "after"), most_in_task=most_in_task)
     # A conversation's places: a level's first place from the sizes of those before it, then rank by turn within the level.
     placed = durable(found.select("conv", "call", F.coalesce("level", F.lit(_NEVER)).alias("lv")).join(calls.select("conv", "call", "turn"), ["conv", "call"]))
     before = Window.partitionBy("conv").orderBy("lv").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,23 +247,29 @@ TURN_SCHEMAS: dict[str, dict] = {
 }
 
 
-def turn_number(c: Column, role: str) -> Column:
-    return F.floor((c - int(role == "assistant")) / 2).cast("long")
-
-
 def calls_from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations read as tool use: (calls, results).
 
     The k-th user turn calls a tool with its text, and depends on call (k - 1) div 2;
-    the assistant's next turn is the result.
+    the result is the first assistant turn after it and before the next user turn.
+    User turns are counted by sums over ranges of turns, so a conversation of any
+    length is shared by many tasks.  Of rows repeated under one turn and role the
+    smallest text counts; rows without conversation or turn, and other roles, say nothing.
     """
-    base = turns.select(F.col("conv_id").alias("conv"), "turn", "role", "text")
-    user = base.where("role = 'user'").withColumn("k", turn_number(F.col("turn"), "user"))
+    base = turns.where("conv_id is not null and turn is not null and role in ('user', 'assistant')")
+    base = base.groupBy(F.col("conv_id").alias("conv"), "turn", "role").agg(F.min("text").alias("text"))
+    user = (F.col("role") == "user").cast("int")
+    ranged = base.withColumn("b", F.floor(F.col("turn") / TURNS_PER_BUCKET))
+    before = Window.partitionBy("conv").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy("conv", "b").agg(F.sum(user).alias("n")).select("conv", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # Of one turn the user's side comes first.
+    within = Window.partitionBy("conv", "b").orderBy("turn", F.desc("role")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = ranged.join(firsts, ["conv", "b"]).withColumn("k", F.col("first") + F.sum(user).over(within) - 1)
+    id_ = lambda k: F.concat_ws(":", "conv", k)
     name = F.when(F.col("k") % 2 == 0, "answer").otherwise("look_up")
     arguments = F.to_json(F.struct(F.size(F.split("text", r"\s+")).alias("words"), "text"))
-    after = F.when(F.col("k") > 0, F.array(F.concat_ws(":", "conv", F.floor((F.col("k") - 1) / 2)))).otherwise(F.array().cast("array<string>"))
-    calls = user.select("conv", "turn", F.concat_ws(":", "conv", "k").alias("call"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))
-    results = base.where("role = 'assistant'").select(
-        "conv", "turn", F.concat_ws(":", "conv", turn_number(F.col("turn"), "assistant")).alias("call"), F.col("text").alias("content")
-    )
+    after = F.when(F.col("k") > 0, F.array(id_(F.floor((F.col("k") - 1) / 2)))).otherwise(F.array().cast("array<string>"))
+    calls = counted.where("role = 'user'").select("conv", "turn", id_("k").alias("call"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))
+    # An assistant's turn before any user turn has no call.
+    results = counted.where("role = 'assistant' and k >= 0").select("conv", "turn", id_("k").alias("call"), F.col("text").alias("content"))
     return calls, results

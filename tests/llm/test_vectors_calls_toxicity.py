@@ -1,6 +1,7 @@
 """Vector join, tool calls and toxicity against brute force, a plain ordering and held-out rows."""
 
 import json
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -77,6 +78,8 @@ def test_schema_check():
     assert tool_calls.problems({"a": -1}, TOOLS["add"]) == ["$.a: out of bounds"]
     assert tool_calls.problems([], TOOLS["add"]) == ["$: not object"]
     assert tool_calls.canonical({"b": [1, "é"], "a": None}) == '{"a":null,"b":[1,"é"]}'
+    assert tool_calls.canonical([1.0, -0.0, 1.5, True]) == "[1,0,1.5,true]"
+    assert tool_calls.problems(True, {"enum": [1]}) and tool_calls.problems(1.0, {"enum": [1]}) == []
 
 
 def test_link_calls(spark):
@@ -104,6 +107,63 @@ def test_link_calls(spark):
         assert tool_calls.canonical(json.loads(r["json"])) == r["json"]
 
 
+def plainly(calls, results):
+    """What ``link_calls`` says, call by call in plain Python."""
+    def least(rows):
+        found = {}
+        for conv, turn, call, *rest in rows:
+            key = ((turn is not None, turn), [(x is not None, x) for x in rest])
+            if conv is not None and call is not None and ((conv, call) not in found or key < found[conv, call][0]):
+                found[conv, call] = key, turn, rest
+        return {k: (turn, rest) for k, (_, turn, rest) in found.items()}
+
+    named, answers, out = least(calls), least(results), {}
+    for conv in {c for c, _ in named}:
+        level, waits = {}, {call: {a for a in (r[2] or []) if a != call and (conv, a) in named} for (c, call), (_, r) in named.items() if c == conv}
+        while free := [c for c, w in waits.items() if c not in level and all(level.get(a, len(level) + 9) <= max(level.values(), default=-1) for a in w)]:
+            n = max(level.values(), default=-1) + 1
+            level |= dict.fromkeys(free, n)
+        order = sorted(waits, key=lambda c: (level.get(c, math.inf), named[conv, c][0] is not None, named[conv, c][0] or 0, c))
+        for place, call in enumerate(order):
+            turn, (name, arguments, _) = named[conv, call]
+            try:
+                value = json.loads(arguments or "{}")
+                wrong = tool_calls.problems(value, TOOLS[name]) if name in TOOLS else []
+                json.dumps(value, ensure_ascii=False, allow_nan=False).encode()
+            except ValueError:
+                value, wrong = arguments, ["$: not JSON"]
+            status = "cycle" if call not in level else "unknown" if name not in TOOLS else "invalid" if wrong else "ok" if (conv, call) in answers else "unanswered"
+            shown = {"after": named[conv, call][1][2] or [], "arguments": value, "id": call, "name": name, "result": answers.get((conv, call), (0, [None]))[1][0]}
+            out[conv, call] = (turn, level.get(call), place, status, wrong, json.dumps(shown, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    return out
+
+
+@pytest.mark.parametrize("most_in_task", [100_000, 40])
+def test_link_calls_against_plain_python(spark, most_in_task):
+    r = random.Random(7)
+    calls, results = [], []
+    for conv in range(6):
+        ids = [f"c{k}" for k in range(r.choice([1, 5, 30]))]
+        for k, call in enumerate(ids):
+            after = r.choice([None, [], r.choices([*ids[:k], "gone"], k=2), r.choices(ids, k=1) if r.random() < 0.3 else ids[max(0, k - 1) : k]])
+            arguments = r.choice(['{"a": 1}', '{"a": 2, "b": ["x"]}', '{"a": -1}', '{"a": true}', "", None, "{oops", '{"a":1,"b":["\\ud800"]}', '{"c": 1, "a": 3}', "x" * 50_000])
+            calls += [(conv, r.choice([k, k // 2, None]), call, r.choice(["add", "add", "other", None]), arguments, after)] * r.choice([1, 1, 2])
+            if r.random() < 0.7:
+                results += [(conv, k, call, r.choice(["", "é", None, "text"])), (conv, k + 1, call, "later")]
+    calls += [(9, k, f"c{k}", "add", '{"a": 1}', [f"c{k - 1}"]) for k in range(300 if most_in_task > 1000 else 3)]
+    frames = spark.createDataFrame(calls, CALLS).repartition(3), spark.createDataFrame(results, "conv long, turn long, call string, content string")
+    found = tool_calls.link_calls(*frames, TOOLS, most_in_task=most_in_task).collect()
+    got = {(x["conv"], x["call"]): (x["turn"], x["level"], x["position"], x["status"], x["problems"], x["json"]) for x in found}
+    assert len(found) == len(got) and got == plainly(calls, results)
+
+
+def test_every_user_turn_is_a_call(spark):
+    turns = [(1, 0, "assistant", "hello"), (1, 1, "user", "a b c"), (1, 2, "user", "two"), (1, 3, "tool", "x"), (1, 4, "assistant", "first"), (1, 5, "assistant", "second"), (1, 6, "user", None), (1, 6, "user", None)]
+    calls, results = tool_calls.calls_from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    found = {r["call"]: (r["turn"], json.loads(r["json"])["result"]) for r in tool_calls.link_calls(calls, results, tool_calls.TURN_SCHEMAS).collect()}
+    assert found == {"1:0": (1, None), "1:1": (2, "first"), "1:2": (6, None)}
+
+
 def test_calls_from_turns(spark):
     r = random.Random(4)
     turns = []
