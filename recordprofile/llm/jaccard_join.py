@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, durable, forest, free_name, groups_in_order
+from .common import block_pairs, components, durable, forest, free_name, groups_in_order, join_groups
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands of the MinHash values; a pair at 0.8 misses all with probability 3e-5, at 0.9 with 6e-10.
@@ -60,6 +60,10 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def class_key(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def minhash(grams: np.ndarray, values: int = VALUES) -> np.ndarray:
     out = np.full(values, 0xFFFFFFFF, np.uint64)
     for a in range(0, len(grams), 2048):
@@ -151,7 +155,9 @@ def similar_documents(
     n_links counts the other documents linked with it directly, those with the same
     n-grams included.  component_id is the smallest id reachable by links, and kept
     says whether it is the document's own.  Texts without words (null and empty ones
-    too) link with nothing; so do rows without an id, whose component is null.
+    too) link with nothing; so do rows without an id, whose component is null.  Every
+    row is a document: rows that repeat an id link by their own texts, and equal rows
+    with each other.  An empty table has no rows; other columns are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     arrow_kind = docs.select(id_col).limit(0).toArrow().schema.field(0).type
@@ -165,34 +171,36 @@ def similar_documents(
                     keys.append(None)
                     bands.append(None)
                     continue
-                keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                keys.append(class_key(grams))
                 parts = minhash(grams, BANDS * ROWS).reshape(BANDS, ROWS)
                 bands.append([xxhash.xxh64_intdigest(p.tobytes(), seed=k) - (1 << 63) for k, p in enumerate(parts)])
             yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(arrow_kind), "class": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     sketched = durable(docs.select(id_col, text_col).mapInArrow(sketch, f"id {kind}, class binary, bands array<long>"))
     named = sketched.where("id is not null and class is not null")
-    classes = durable(named.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands")))
-    buckets = classes.select("rep", F.explode("bands").alias("bucket"))
+    # A class is told by the hash of its n-grams, 128 bits, as ids may repeat; the smallest id leads to its text.
+    classes = durable(named.groupBy("class").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands")))
+    buckets = classes.select(F.col("class").alias("rep"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("bucket")
     suspects = durable(buckets.join(shared, "bucket", "left_semi").distinct())
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingles(t.as_py(), words) for t in batch.column(1)]
+            grams = [shingles(t.as_py(), words) for t in batch.column(0)]
+            # An id may have other texts besides that of the class.
+            own = [k for k, g in enumerate(grams) if class_key(g) == batch.column(1)[k].as_py()]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "rep": batch.column(0).cast(arrow_kind),
-                    "size": batch.column(2),
-                    "values": pa.array([minhash(g).tobytes() for g in grams], pa.binary()),
-                    "grams": pa.array([g.tobytes() for g in grams], pa.binary()),
+                    "rep": batch.column(1).take(pa.array(own, pa.int64())),
+                    "size": batch.column(2).take(pa.array(own, pa.int64())),
+                    "values": pa.array([minhash(grams[k]).tobytes() for k in own], pa.binary()),
+                    "grams": pa.array([grams[k].tobytes() for k in own], pa.binary()),
                 }
             )
 
-    chosen = durable(suspects.select("rep").distinct().join(classes.select("rep", "size"), "rep"))
-    # Rows repeated under one id have one text: one of them is enough.
-    texts = docs.select(F.col(id_col).alias("rep"), text_col).join(chosen, "rep").select("rep", text_col, "size")
-    members = durable(texts.mapInArrow(full, f"rep {kind}, size long, values binary, grams binary").dropDuplicates(["rep"]))
+    chosen = durable(suspects.select("rep").distinct().join(classes.select(F.col("class").alias("rep"), F.col("least").alias("chosen_id"), "size"), "rep"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id") == F.col("chosen_id")).select("text", "rep", "size")
+    members = durable(texts.mapInArrow(full, "rep binary, size long, values binary, grams binary").dropDuplicates(["rep"]))
     least = least_agreeing(threshold, tolerance)
 
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +216,7 @@ def similar_documents(
                 yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
     dealt = block_pairs(suspects, ["bucket"], "rep", block=2 * block).join(members.select("rep", "values"), "rep")
-    edges = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(plausible, f"u {kind}, v {kind}")
+    edges = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(plausible, "u binary, v binary")
     candidates = components(edges, "u", "v").select(F.col("id").alias("rep"), F.col("component").alias("part"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,26 +242,41 @@ def similar_documents(
                 yield from pa.table({"u": ids.take(child), "v": ids.take(root[child]), "links": pa.array(links[child].astype(np.int64))}).to_batches()
 
     met = block_pairs(candidates, ["part"], "rep", block=block).join(members, "rep")
-    counted = durable(met.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi").mapInArrow(verified, f"u {kind}, v {kind}, links long"))
+    counted = durable(met.repartition("part", "lo", "hi").sortWithinPartitions("part", "lo", "hi").mapInArrow(verified, "u binary, v binary, links long"))
     links = counted.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    parts = components(counted, "u", "v").select(F.col("id").alias("rep"), "component")
-    found = (
-        classes.select("class", "rep", "size")
-        .join(links, "rep", "left")
-        .join(parts, "rep", "left")
+    parts = durable(components(counted, "u", "v").select(F.col("id").alias("class"), "component"))
+    lowest = parts.join(classes.select("class", "least"), "class").groupBy("component").agg(F.min("least").alias("component_id"))
+    parts = parts.join(lowest, "component").select("class", "component_id")
+    found = durable(
+        classes.select("class", "least", "size")
+        .join(links.withColumnRenamed("rep", "class"), "class", "left")
+        .join(parts, "class", "left")
         .where("size > 1 or links is not null")
-        .select("class", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("class", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     )
     named = sketched.select("id", F.when(F.col("id").isNotNull(), F.col("class")).alias("class"))
-    return (
-        named.join(found, "class", "left")
-        .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
-    )
+    met = join_groups(named, found, ["class"], "size", ["id"])
+    return met.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id. Rows without an id stay."""
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", earlier: DataFrame | None = None, **options) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id.
+
+    Rows under one id are one document here, which links by any of its texts; rows
+    without an id stay.  ``earlier`` holds further texts of the documents (id and
+    text), such as those before a stage that cut them: documents link by these too.
+    """
     key = free_name(docs, "__gone")
-    gone = similar_documents(docs, id_col=id_col, **options).where("not kept").select(F.col(id_col).alias(key))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    if earlier is not None:
+        # Texts that are as before are compared once; only ids and hashes meet the earlier texts.
+        now = texts.select("id", F.xxhash64("text").alias("now"))
+        before = earlier.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(now, "id").where(F.xxhash64("text") != F.col("now"))
+        texts = texts.unionByName(before.select("id", "text"))
+    found = durable(similar_documents(texts, id_col="id", text_col="text", **options).select("id", "component_id").distinct())
+    # An id with texts in several components links them.
+    joined = components(found.where("id <> component_id"), "id", "component_id")
+    gone = joined.where("id <> component").select(F.col("id").alias(key))
     return docs.join(gone, F.col(id_col) == F.col(key), "left_anti")

@@ -76,6 +76,19 @@ def test_jaccard_join_of_awkward_rows(make_docs, awkward):
     assert jaccard_join.similar_documents(make_docs([])).count() == 0
 
 
+def test_jaccard_join_of_repeated_ids_and_earlier_texts(make_docs):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = lambda t: t.replace("30", "x")
+    docs = make_docs([(5, a, None, None, None), (5, b, None, None, None), (7, near(a), None, None, None), (9, near(b), None, None, None), (9, near(b), None, None, None), (11, "left over", None, None, None), (13, "other rest", None, None, None)])
+    found = sorted((r["doc_id"], r["n_links"], r["component_id"]) for r in jaccard_join.similar_documents(docs).collect())
+    assert found == [(5, 1, 5), (5, 2, 5), (7, 1, 5), (9, 2, 5), (9, 2, 5), (11, 0, 11), (13, 0, 13)]
+    assert [r["doc_id"] for r in jaccard_join.one_of_each(docs).orderBy("doc_id").collect()] == [5, 5, 11, 13]
+    # Texts before a cut link what is left of them.
+    earlier = make_docs([(11, "left over " + a, None, None, None), (13, "other rest " + a, None, None, None), (99, a, None, None, None)])
+    assert [r["doc_id"] for r in jaccard_join.one_of_each(docs, earlier=earlier).orderBy("doc_id").collect()] == [5, 5]
+    assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_pruning_keeps_what_it_should():
     least = jaccard_join.least_agreeing(0.8, 1e-6)
     assert list(least) == list(range(16, 129, 16)) and all(m < n * 0.8 for n, m in least.items())

@@ -62,11 +62,34 @@ def test_vectors_that_link_with_nothing(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_join.linked_vectors(docs).collect()}
     assert {k for k, v in found.items() if v[0]} == {1, 2, 10, 11}
+    # Every length has its own index.
+    longer = spark.createDataFrame([(21, [1.0, 0.0, 0.1], 0), (22, [1.0, 0.0, 0.1], 0), (23, [1.0], 0), (24, [5.0], 0), (24, [-5.0], 0)], SCHEMA)
+    both = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_join.linked_vectors(docs.unionByName(longer)).collect()}
+    assert {(9, 2, 9, True), (21, 2, 9, False), (22, 2, 9, False), (23, 1, 23, True), (24, 1, 23, False), (24, 0, 24, True), (1, 3, 1, True)} <= both
     assert found[11] == (3, 1) and found[None] == (0, None) and len(found) == len(rows)
     assert vector_join.linked_vectors(docs.limit(0)).count() == 0
     assert vector_join.linked_vectors(docs.where("vec_id = 5")).count() == 1
 
 
+@pytest.mark.parametrize("most_lists", [4096, 16])
+def test_recall_where_lists_far_exceed_probes(spark, most_lists):
+    """Many small groups from the given embeddings: each vector with two noisy ones, in one level of lists and in two."""
+    rng = np.random.default_rng(2)
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").toPandas()["embedding"]
+    base = np.stack(list(given)).astype("f8")
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    noise = rng.normal(size=(2, *base.shape))
+    noise *= rng.uniform(0.1, 0.47, size=(2, len(base), 1)) / np.linalg.norm(noise, axis=2, keepdims=True)
+    x = np.concatenate([base, *(base[None] + noise)]).astype("f4")
+    docs = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], SCHEMA).repartition(4)
+    found = {r["vec_id"]: r["n_links"] for r in vector_join.linked_vectors(docs, per_list=32, most_lists=most_lists).collect()}
+    want = brute_links(x)
+    assert all(found[k] <= len(w) for k, w in enumerate(want))
+    recall = sum(found.values()) / sum(map(len, want))
+    print(len(x), "vectors,", sum(map(len, want)) // 2, "pairs, recall", recall)
+    assert sum(map(len, want)) > len(base) and recall >= 0.97
+
+
 CALLS = "conv long, turn long, call string, name string, arguments string, after array<string>"
 TOOLS = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "array", "items": {"type": "string"}}}, "additionalProperties": False}}
 
