@@ -21,7 +21,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -265,18 +265,18 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with one document of each component: that with the smallest id.
 
     Rows under one id are one document here, which links by any of its texts; rows
-    without an id stay.  ``earlier`` holds further texts of the documents (id and
-    text), such as those before a stage that cut them: documents link by these too.
+    without an id stay.  ``earlier`` holds the documents' texts (id and text) before a
+    stage that cut them: documents link by these too, in a join of their own, as a
+    document's two texts need not be compared with each other.
     """
     key = free_name(docs, "__gone")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    sides = [texts]
     if earlier is not None:
-        # Texts that are as before are compared once; only ids and hashes meet the earlier texts.
-        now = texts.select("id", F.xxhash64("text").alias("now"))
-        before = earlier.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(now, "id").where(F.xxhash64("text") != F.col("now"))
-        texts = texts.unionByName(before.select("id", "text"))
-    found = durable(similar_documents(texts, id_col="id", text_col="text", **options).select("id", "component_id").distinct())
+        before = earlier.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        sides.append(before.join(texts.select("id").distinct(), "id", "left_semi"))
+    edges = [similar_documents(t, id_col="id", text_col="text", **options).where("not kept").select("id", "component_id") for t in sides]
     # An id with texts in several components links them.
-    joined = components(found.where("id <> component_id"), "id", "component_id")
+    joined = components(reduce(DataFrame.unionByName, edges), "id", "component_id")
     gone = joined.where("id <> component").select(F.col("id").alias(key))
     return docs.join(gone, F.col(id_col) == F.col(key), "left_anti")

@@ -83,8 +83,8 @@ def test_jaccard_join_of_repeated_ids_and_earlier_texts(make_docs):
     found = sorted((r["doc_id"], r["n_links"], r["component_id"]) for r in jaccard_join.similar_documents(docs).collect())
     assert found == [(5, 1, 5), (5, 2, 5), (7, 1, 5), (9, 2, 5), (9, 2, 5), (11, 0, 11), (13, 0, 13)]
     assert [r["doc_id"] for r in jaccard_join.one_of_each(docs).orderBy("doc_id").collect()] == [5, 5, 11, 13]
-    # Texts before a cut link what is left of them.
-    earlier = make_docs([(11, "left over " + a, None, None, None), (13, "other rest " + a, None, None, None), (99, a, None, None, None)])
+    # Texts before a cut link what is left of them; of ids that are gone they link nothing.
+    earlier = make_docs([(11, "left over " + a, None, None, None), (13, "other rest " + a, None, None, None), (99, a, None, None, None), (5, a, None, None, None)])
     assert [r["doc_id"] for r in jaccard_join.one_of_each(docs, earlier=earlier).orderBy("doc_id").collect()] == [5, 5]
     assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
 
