@@ -35,6 +35,8 @@ _words = re.compile(r"\w+").findall
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4)
 DECAYS = (1e-3, 3e-4, 1e-4)
+#: Features that a task counts before it hands them on.
+FEATURES_IN_TASK = 100_000
 
 
 def occurrences(words: Iterable[str]) -> Counter[str]:
@@ -181,13 +183,22 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {True: Counter(), False: Counter()}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            names = list(seen[True].keys() | seen[False].keys())
+            for a in range(0, len(names), 50_000):
+                part = names[a : a + 50_000]
+                yield pa.RecordBatch.from_pydict({"f": part, "p": [seen[True][f] for f in part], "u": [seen[False][f] for f in part]})
+            seen[True].clear()
+            seen[False].clear()
+
         for batch in batches:
             for text, p in zip(batch.column(1), batch.column(2), strict=True):
                 seen[p.as_py()].update(text_features(text.as_py()))
-        names = list(seen[True].keys() | seen[False].keys())
-        for a in range(0, len(names), 50_000):
-            part = names[a : a + 50_000]
-            yield pa.RecordBatch.from_pydict({"f": part, "p": [seen[True][f] for f in part], "u": [seen[False][f] for f in part]})
+                # Sums are made again in Spark, so a task need not hold all features of its rows.
+                if len(seen[True]) + len(seen[False]) > FEATURES_IN_TASK:
+                    yield from counted()
+        yield from counted()
 
     tested = durable(
         sample.mapInArrow(count, "f string, p long, u long")
