@@ -55,8 +55,8 @@ def place_groups(sizes: list[int], shards: int, room: float) -> tuple[list[int |
 
 
 def _leaf_table(df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
-    """A row per leaf, as many as there are shards at most; Spark knows its size and joins accordingly."""
-    return df.sparkSession.createDataFrame(rows, columns)
+    """A row per leaf, as many as there are shards at most, for a broadcast: a leaf may hold all points, which must not meet in one task."""
+    return F.broadcast(df.sparkSession.createDataFrame(rows, columns))
 
 
 def _narrowed(points: DataFrame, cuts: dict[int, dict], x: Column, rounds: int) -> None:
@@ -184,7 +184,7 @@ def _placed(docs: DataFrame, *, shards: int | None, target_bytes: int | None, id
     big = groups.where(F.col("n") * F.col("size") > F.lit(room * BIG)).select("h", "crc", "size", "n").collect()  # shards / BIG rows at most
     big.sort(key=lambda r: (-r["n"] * r["size"], r["h"], r["crc"]))
     where, left = place_groups([r["n"] * r["size"] for r in big], shards, room)
-    given = _leaf_table(docs, [(r["h"], r["crc"], r["size"], -1 if k is None else k) for r, k in zip(big, where, strict=True)], "h long, crc long, size long, given int")
+    given = spark.createDataFrame([(r["h"], r["crc"], r["size"], -1 if k is None else k) for r, k in zip(big, where, strict=True)], "h long, crc long, size long, given int")
     groups = groups.join(given, ["h", "crc", "size"], "left").drop("n")
     own = F.struct("id", "d0", "d1", "d2", "d3")
     met = raw.join(groups, ["h", "crc", "size"], "left")
