@@ -13,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bits of a filter's segment: those of Spark's bitmaps.
+SEGMENT_BITS = 1 << 15
+_SIFT = 0x51F7
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -154,6 +158,32 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     return met.select(*rows.columns, *[F.coalesce(F.col("__hot")[v], F.col("__cold")[v]).alias(v) for v in values])
 
 
+def bit_at(bits: Column, place: Column) -> Column:
+    """Whether the bit of that number is set; the first one is the lowest of the first byte."""
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, place.bitwiseAND(7).cast("int")) == 1
+
+
+def sifted(rows: DataFrame, key: str, wanted: DataFrame, *, bits_per_key: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+    """The rows whose key is in the one column of ``wanted`` (a durable table), and a few others, without a shuffle of ``rows``.
+
+    A join that follows so shuffles few rows that find no partner.  The Bloom filter (two
+    places a key) is broadcast in segments and has ``max_bits`` at most; with more keys
+    than these serve, more rows pass, and none is lost at any size.
+    """
+    most = max(1, max_bits // SEGMENT_BITS)
+    segments = 1 << min(most.bit_length() - 1, max(0, (wanted.count() * bits_per_key // SEGMENT_BITS).bit_length()))
+    h, segment, bits = (free_name(rows, n) for n in ("__h", "__segment", "__bits"))
+    place = lambda hashed, k: F.shiftrightunsigned(hashed, k).bitwiseAND(SEGMENT_BITS - 1)
+    hashed = F.xxhash64(F.lit(_SIFT), F.col(wanted.columns[0]))
+    places = wanted.select(hashed.alias(h)).select(F.col(h).bitwiseAND(segments - 1).alias(segment), F.explode(F.array(place(h, 33), place(h, 48))).alias("at"))
+    filters = places.groupBy(segment).agg(F.bitmap_construct_agg("at").alias(bits))
+    tested = rows.withColumn(h, F.xxhash64(F.lit(_SIFT), F.col(key))).withColumn(segment, F.col(h).bitwiseAND(segments - 1))
+    # max_bits at most.
+    met = tested.join(F.broadcast(filters), segment).where(bit_at(F.col(bits), place(h, 33)) & bit_at(F.col(bits), place(h, 48)))
+    return met.select(rows.columns)
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -27,9 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import durable, join_groups, shared_dir
+from .common import SEGMENT_BITS, bit_at, durable, join_groups, shared_dir
 
-SEGMENT_BITS = 1 << 15
 _SEED = 0x9E37
 #: Slices at most (of more rows than these serve at full bits, more pass the filter), and files of one.
 MOST_SLICES, SHARES = 4096, 8
@@ -94,15 +93,10 @@ def repeated_filter(hashes: DataFrame, segments: int) -> DataFrame:
     return touched.groupBy("segment").applyInPandas(_merged, "segment long, bits binary")
 
 
-def _bit(bits: Column, place: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, place.bitwiseAND(7).cast("int")) == 1
-
-
 def _tested(rows: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
     """``rows`` (with __h) with __maybe: whether both places of the hash were touched more than once."""
     found = F.broadcast(filters.select(F.col("segment").alias("__segment0"), F.col("bits").alias("__bits")))  # max_bits at most
-    places = [_bit(F.col("__bits"), F.shiftrightunsigned("__h", k).bitwiseAND(SEGMENT_BITS - 1)) for k in (33, 48)]
+    places = [bit_at(F.col("__bits"), F.shiftrightunsigned("__h", k).bitwiseAND(SEGMENT_BITS - 1)) for k in (33, 48)]
     joined = rows.withColumn("__segment", F.col("__h").bitwiseAND(segments - 1)).join(found, F.col("__segment") == F.col("__segment0"), "left")
     return joined.withColumn("__maybe", F.coalesce(places[0] & places[1], F.lit(False))).drop("__segment", "__segment0", "__bits")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, durable, forest, free_name, groups_in_order, join_groups
+from .common import block_pairs, components, durable, forest, free_name, groups_in_order, join_groups, sifted
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands of the MinHash values; a pair at 0.8 misses all with probability 3e-5, at 0.9 with 6e-10.
@@ -199,7 +199,9 @@ def similar_documents(
             )
 
     chosen = durable(suspects.select("rep").distinct().join(classes.select(F.col("class").alias("rep"), F.col("least").alias("chosen_id"), "size"), "rep"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id") == F.col("chosen_id")).select("text", "rep", "size")
+    # Most documents are no suspects; their texts need not shuffle.
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = sifted(own, "id", chosen.select("chosen_id")).join(chosen, F.col("id") == F.col("chosen_id")).select("text", "rep", "size")
     members = durable(texts.mapInArrow(full, "rep binary, size long, values binary, grams binary").dropDuplicates(["rep"]))
     least = least_agreeing(threshold, tolerance)
 

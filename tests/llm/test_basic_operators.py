@@ -275,3 +275,16 @@ def test_shards_of_any_ids(make_docs, awkward):
 def test_large_groups_go_to_the_emptiest_shard():
     where, left = sharding.place_groups([9, 8, 5, 4, 1], 2, 12)
     assert where == [0, 1, None, 1, 0] and left == [2, 0]
+
+
+def test_sifted_rows_keep_every_wanted_key(spark):
+    from recordprofile.llm.common import durable, sifted
+
+    rows = spark.range(40_000).selectExpr("id", "id AS __h", "cast(id AS string) AS __bits").unionByName(spark.createDataFrame([(None, 1, "x")], "id long, __h long, __bits string"))
+    wanted = durable(spark.range(0, 40_000, 40).selectExpr("id AS w"))
+    for max_bits in (1 << 30, 1 << 10):
+        out = sifted(rows, "id", wanted, max_bits=max_bits)
+        assert out.columns == rows.columns
+        ids = [r["id"] for r in out.collect()]
+        assert len(ids) == len(set(ids)) and set(range(0, 40_000, 40)) <= set(ids) and len(ids) < 4_000
+    assert sifted(rows, "id", durable(wanted.limit(0))).count() == 0
