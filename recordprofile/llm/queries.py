@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, line_dedup, mixing, packing, sharding, token_counts, tool_calls, toxicity, vector_join
+from . import exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, packing, sharding, spelling, token_counts, tool_calls, toxicity, vector_join
 from .common import table
 
 
@@ -58,6 +58,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -69,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,4 +176,53 @@ ORACLE_SQL: dict[str, str] = {
                keep.d = doc_id AND keep.l = line_no AS kept
         FROM placed
     """,
+    "op12_spelling_variants": """
+        WITH RECURSIVE checksums AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM range(256) AS r (i)),
+        runs AS (
+            SELECT coalesce(doc_id::VARCHAR, 'null') AS id,
+                   unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+            FROM documents),
+        counted AS (SELECT run, hex(encode(id || ':' || run)) AS bytes, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+        summed AS (
+            SELECT run, k, xor(4294967295, list_reduce(
+                       list_prepend(4294967295, list_transform(range(length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT)),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+            FROM counted, checksums),
+        spelled AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM summed),
+        words AS (SELECT word, sum(k)::BIGINT AS n FROM spelled WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+        without AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+        pairs AS (
+            SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM without a JOIN without b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+            UNION SELECT a.word, a.n, b.word, b.n FROM without a JOIN words b ON a.v = b.word
+            UNION SELECT b.word, b.n, a.word, a.n FROM without a JOIN words b ON a.v = b.word),
+        best AS (
+            SELECT word, any_value(n) AS n, count(*) AS n_near, min({'n': -near_n, 'w': near}) AS b FROM pairs GROUP BY 1),
+        forms AS (SELECT word, b.w AS form, -b.n AS form_n FROM best WHERE -b.n >= 5 * n),
+        chain AS (
+            SELECT word, form AS root FROM forms
+            UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word)
+        SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+        FROM words LEFT JOIN (SELECT word, n_near FROM best) USING (word) LEFT JOIN forms USING (word)
+        LEFT JOIN (SELECT * FROM chain WHERE root NOT IN (SELECT word FROM forms)) USING (word)
+    """,
+    "op13_hard_negatives": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        negatives AS (
+            SELECT p.*, s.vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+            FROM positives p JOIN scored s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+    """,
 }
