@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, packing, sharding, spelling, token_counts, tool_calls, toxicity, vector_join
+from . import exact_dedup, hard_negatives, jaccard_join, line_dedup, mixing, packing, personal_data, sharding, spelling, token_counts, tool_calls, toxicity, vector_join
 from .common import table
 
 
@@ -58,6 +58,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    digest = F.sha2(personal_data.span_text("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, personal_data.span_text("spans").alias("spans"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_personal_data": op11_personal_data,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_hard_negatives": op13_hard_negatives,
 }
