@@ -4,8 +4,9 @@ The vocabulary exists in two forms with the same ids: the one ``tokenizers``
 reads, which defines the result, and its ranks, which ``tiktoken`` encodes several
 times faster.  Texts of the Latin blocks take the ranked form; the others, and
 texts that spell an added token, take the defining one, as splitting rules there
-depend on the Unicode version of the regular-expression engine.  The tests hold
-both to the same ids.
+depend on the Unicode version of the regular-expression engine.  So do texts with a
+very long run of white space, for which the engine of the ranked form has no stack.
+The tests hold both to the same ids.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from array import array
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 2
+#: From so much white space at a stretch on, a text takes the defining form.
+LONG_RUN = 10_000
+_long_run = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}").search
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -44,7 +48,7 @@ class Bpe:
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if self._other(text):
+        if self._other(text) or (len(text) >= LONG_RUN and _long_run(text)):
             return self._tokenizer.encode(text, add_special_tokens=False).ids
         return self._ranked(text)
 

@@ -288,3 +288,24 @@ def test_sifted_rows_keep_every_wanted_key(spark):
         ids = [r["id"] for r in out.collect()]
         assert len(ids) == len(set(ids)) and set(range(0, 40_000, 40)) <= set(ids) and len(ids) < 4_000
     assert sifted(rows, "id", durable(wanted.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n\t\r", "a", "1", "!", "_", "é", "<|", "'s"])
+@pytest.mark.parametrize("length", [9_999, 10_000, 1_000_000])
+def test_long_runs_have_the_ids_of_the_defining_form(run, length):
+    from recordprofile.llm.bpe import worker_bpe
+
+    bpe = worker_bpe()
+    text = f"x {run * (length // len(run))} y"
+    assert bpe.ids(text) == bpe._tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_white_space_is_counted_and_packed(spark, make_docs):
+    texts = [f"a{c * n}b" for c, n in ((" ", 1_000_000), ("\n", 1_000_000), (" ", 10_000_000))]
+    docs = make_docs(texts)
+    from recordprofile.llm.bpe import worker_bpe
+
+    sizes = [len(worker_bpe()._tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    pieces = packing.pack_documents(docs).groupBy("doc_id").sum("length").collect()
+    assert sorted(tuple(r) for r in pieces) == list(enumerate(sizes))
+    assert token_counts.length_histogram(docs).count() == len({*sizes})
