@@ -2,11 +2,14 @@
 
 The payload is parsed once to a variant and exploded level by level with outer
 generators, in one stage without a shuffle; a row that does not explode is a finished
-leaf and passes through.  There are as many levels as the deepest payload needs: a
-first, narrow pass over the text counts its brackets, unless the caller knows the
-depth.  Empty containers and nulls are leaves.  Number text is Spark's (1.0 is
-written 1).  Of duplicate object keys the last one counts where the session allows
-them (``spark.sql.variant.allowDuplicateKeys``); otherwise they fail the query.
+leaf and passes through.  Where the caller states a depth there are so many levels and
+nothing is written.  Otherwise levels come in blocks: a block writes its rows to a
+durable table, finished leaves stay there, and only rows that still hold containers go
+through the next block.  So payloads of any depth are flattened, their plan never grows,
+and typical ones, no deeper than a block, take one pass.  Empty containers and nulls
+are leaves.  Number text is Spark's (1.0 is written 1).  Of duplicate object keys the
+last one counts where the session allows them (``spark.sql.variant.allowDuplicateKeys``);
+otherwise they fail the query.
 """
 
 from __future__ import annotations
@@ -17,25 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordprofile.functions.values import leaf_text, leaf_type
+from recordprofile.sources import files
 
-
-def nesting(payload: Column | str) -> Column:
-    """Containers within containers of a JSON text, 1 for a flat one; of text that isn't JSON some number."""
-    payload = F.col(payload) if isinstance(payload, str) else payload
-    bare = F.regexp_replace(F.regexp_replace(payload, r"\\.", ""), r'"[^"]*"', "")
-    steps = F.split(F.translate(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "[]", "{}"), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(at: Column, c: Column) -> Column:
-        now = at["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
-
-    return F.aggregate(steps, start, step, lambda at: at["most"])
-
-
-def deepest(df: DataFrame, payload: str = "payload") -> int:
-    """The deepest nesting among the payloads; reads that column only."""
-    return df.agg(F.max(nesting(payload))).first()[0] or 0
+#: Levels of the first block, which typical payloads do not exceed, and of each further one, which few rows reach.
+BLOCK_LEVELS, MORE_LEVELS = 5, 25
 
 
 def flatten_leaves(
@@ -52,12 +40,10 @@ def flatten_leaves(
     A payload that isn't JSON fails the query, or with ``lenient`` (which also leaves
     out payloads that aren't objects) has no rows.  ``excluded_fields`` are dropped at
     the top level; a record left without members is one empty object at path ''.
-    Without ``max_depth`` any depth is flattened, after a pass that finds it; with it
-    there is no such pass, and payloads nested deeper fail the query.
+    With ``max_depth`` the result is a plan that flattens so many levels, and payloads
+    nested deeper fail the query.  Without it any depth is flattened at once, to a table
+    in the folder that executors share (Spark's JSON parser ends at about 1000 levels).
     """
-    spark = df.sparkSession
-    if max_depth is None:
-        max_depth = deepest(df, payload)
     parsed = F.try_parse_json(payload) if lenient else F.parse_json(payload)
     rows = df.where(F.col(payload).isNotNull())
     if excluded_fields:
@@ -69,8 +55,19 @@ def flatten_leaves(
     if lenient:
         rows = rows.where(F.schema_of_variant("v").startswith("OBJECT"))
     rows = rows.select(*keys, F.lit("").alias("path"), F.lit("").alias("path_indexed"), "v", F.lit(False).alias("done"))
-    for level in range(max_depth):
-        child = spark.tvf.variant_explode_outer(F.col("v").outer()).toDF("pos", "key", "child")
+    if max_depth is None:
+        return _any_depth(rows, keys, excluded_fields)
+    rows = _levels(rows, keys, max_depth, excluded_fields)
+    kind = leaf_type(F.col("v"))
+    too_deep = ~F.col("done") & kind.isin("object-empty", "array-empty")
+    kind = F.when(too_deep, F.raise_error(F.lit(f"payload is nested deeper than {max_depth} levels"))).otherwise(kind)
+    return rows.select(*keys, "path", "path_indexed", leaf_text(F.col("v")).alias("value"), kind.alias("value_type"))
+
+
+def _levels(rows: DataFrame, keys: Sequence[str], levels: int, excluded_fields: Sequence[str] = ()) -> DataFrame:
+    """Rows of (keys, path, path_indexed, v, done) so many levels further; ``excluded_fields`` go at the first one."""
+    for level in range(levels):
+        child = rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).toDF("pos", "key", "child")
         exploded = rows.lateralJoin(child)
         if level == 0 and excluded_fields:
             exploded = exploded.where(F.col("key").isNull() | ~F.col("key").isin(list(excluded_fields)))
@@ -84,7 +81,35 @@ def flatten_leaves(
             F.when(leaf, F.col("v")).otherwise(F.col("child")).alias("v"),
             leaf.alias("done"),
         )
-    kind = leaf_type(F.col("v"))
-    too_deep = ~F.col("done") & kind.isin("object-empty", "array-empty")
-    kind = F.when(too_deep, F.raise_error(F.lit(f"payload is nested deeper than {max_depth} levels"))).otherwise(kind)
-    return rows.select(*keys, "path", "path_indexed", leaf_text(F.col("v")).alias("value"), kind.alias("value_type"))
+    return rows
+
+
+def _any_depth(rows: DataFrame, keys: Sequence[str], excluded_fields: Sequence[str]) -> DataFrame:
+    """All leaves, a block of levels after the other; what is still open after a block is written as text."""
+    spark, paths = rows.sparkSession, []
+    while True:
+        rows = _levels(rows, keys, MORE_LEVELS if paths else BLOCK_LEVELS, () if paths else excluded_fields)
+        kind = leaf_type(F.col("v"))
+        rest = F.when(~F.col("done") & kind.isin("object-empty", "array-empty"), F.to_json("v"))
+        block = rows.select(*keys, "path", "path_indexed", leaf_text(F.col("v")).alias("value"), kind.alias("value_type"), rest.alias("__rest"))
+        # An empty container is a leaf wherever it comes.
+        block = block.withColumn("__rest", F.when(~F.col("__rest").isin("{}", "[]"), F.col("__rest")))
+        paths.append(files.scratch(spark))
+        block.write.parquet(paths[-1])
+        opened = spark.read.schema(block.schema).parquet(paths[-1]).where("__rest is not null")
+        if opened.isEmpty():
+            return spark.read.schema(block.schema).parquet(*paths).where("__rest is null").drop("__rest")
+        rows = opened.select(*keys, "path", "path_indexed", F.parse_json("__rest").alias("v"), F.lit(False).alias("done"))
+
+
+def leaf_print() -> Column:
+    """An aggregate over a payload's leaves that tells different sets of leaves apart, whatever order they come in."""
+    leaf = ("path_indexed", "value", "value_type")
+    h, g = F.xxhash64(*leaf), F.xxhash64(F.lit("leaf"), *leaf)
+    # Of the second hash 40 bits are summed, so that a payload that stands twice does not cancel out.
+    return F.struct(F.bit_xor(h).alias("h"), F.sum(F.pmod(g, F.lit(1 << 40))).alias("g"))
+
+
+def leaf_prints(df: DataFrame, payload: str = "payload", keys: Sequence[str] = ("version_key",), *, max_depth: int | None = None) -> DataFrame:
+    """(keys..., leaf_print) of every payload that is not null.  Leaves meet where they are made, so a small row for each payload is all that shuffles."""
+    return flatten_leaves(df, payload, keys, max_depth=max_depth).groupBy(*keys).agg(leaf_print().alias("leaf_print"))

@@ -53,25 +53,26 @@ def recent_runs(versions: DataFrame, *, sources: Sequence[str] | None = None, li
     return runs if limit is None else runs.limit(limit)
 
 
+def _matching_runs(versions: DataFrame, term: str | None, sources: Sequence[str], run_types: Sequence[str], run_date: str | None) -> DataFrame:
+    condition = all_of([*in_filters({"source": sources, "run_type": run_types}), search(term, ("run_id", "source", "run_type")), on_day("run_date", run_date)])
+    return run_summary(versions).where(condition)
+
+
 def run_rows(
     versions: DataFrame, *, term: str | None = None, sources: Sequence[str] = (), run_types: Sequence[str] = (), run_date: str | None = None,
     by: str = "run_timestamp", descending: bool = True, start: int = 0, length: int = 50,
 ) -> DataFrame:
     """A page of run summaries; ties by run timestamp in the same direction, then run id downwards."""
-    condition = all_of(
-        [*in_filters({"source": sources, "run_type": run_types}), search(term, ("run_id", "source", "run_type")), on_day("run_date", run_date)]
-    )
     if by not in RUN_ORDER:
         raise ValueError(f"cannot order by {by}")
     way = (lambda c: F.col(c).desc_nulls_last()) if descending else (lambda c: F.col(c).asc_nulls_last())
-    kept = run_summary(versions).where(condition)
-    return kept.orderBy(way(by), way("run_timestamp"), F.desc("run_id")).offset(start).limit(length)
+    return _matching_runs(versions, term, sources, run_types, run_date).orderBy(way(by), way("run_timestamp"), F.desc("run_id")).offset(start).limit(length)
 
 
 def run_page(versions: DataFrame, **options) -> Page:
     total = versions.select("run_id").distinct().count()
-    bare = {k: v for k, v in options.items() if k in ("term", "sources", "run_types", "run_date")}
-    filtered = run_rows(versions, **bare, length=(1 << 31) - 1).count() if any(bare.values()) else total
+    bare = {"term": None, "sources": (), "run_types": (), "run_date": None} | {k: v for k, v in options.items() if k in ("term", "sources", "run_types", "run_date")}
+    filtered = _matching_runs(versions, **bare).count() if any(bare.values()) else total
     return Page(total, filtered, run_rows(versions, **options))
 
 

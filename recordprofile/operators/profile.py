@@ -302,7 +302,7 @@ def object_member_stats(eav: DataFrame, prefix: str) -> DataFrame:
         F.count(F.lit(1)).alias("present"), F.min("n").alias("count_min"), mean(F.sum("n"), F.count(F.lit(1))).alias("count_avg"), F.max("n").alias("count_max")
     )
     total = _single(leaves.select("version_key", "element").distinct(), "total")
-    is_array = F.lit(0) < F.instr(F.expr(f"substring(path, {len(prefix) + 1})"), "[")
+    is_array = F.col("path").endswith("[]")
     shown = display_type("value_type")
     return (
         stats.join(_mode(leaves, ["path"], "value_type", "value_type"), "path")

@@ -1,8 +1,9 @@
 """What a run changed: its records against the version each had before.
 
-Pairs of equal payload text are unchanged without being parsed.  Both sides of the
-others are flattened together and meet leaf by leaf in one grouping; nothing but the
-report's few rows needs to reach the driver.
+The rows of both sides are found in metadata first, and payloads then read of just
+their files and runs.  Pairs of equal payload text are unchanged without being parsed.
+Both sides of the others are flattened together and meet leaf by leaf in one grouping;
+nothing but the report's few rows needs to reach the driver.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordprofile.operators.flatten import flatten_leaves
+from recordprofile.operators.flatten import flatten_leaves, leaf_prints
 from recordprofile.operators.history import run_header
-from recordprofile.sources.versions import metadata_only, newest_first
+from recordprofile.sources import files
+from recordprofile.sources.versions import metadata_only, newest_first, pruned
 
 STATUSES = ("added", "modified", "unchanged", "deleted")
 
@@ -44,21 +46,44 @@ def prior_versions(versions: DataFrame, run_id: str) -> DataFrame:
     )
 
 
-def run_pairs(versions: DataFrame, run_id: str) -> DataFrame:
-    """(record_id, new, old): payloads of the run's version of each record, as ``touched_records`` names it, and of its prior one.
+#: What names a version's row, offsets starting again in each file.
+ROW = ("source", "run_date", "run_id", "run_record_offset", "filename")
 
-    Deletes and missing payloads are null.  Offsets start again in each file; the
-    newest row itself carries its payload, so no key has to be looked up again.
+
+def run_keys(versions: DataFrame, run_id: str) -> DataFrame:
+    """(record_id, action, run_offset, new, old) of the run's records, from metadata, as a durable table.
+
+    ``new`` and ``old`` name the rows of the run's version and of the newest one strictly
+    before the run's last timestamp, with their actions; ``old`` is null if there is none.
     """
-    content = F.when(F.col("action") != "delete", F.col("payload"))
-    run = versions.where(F.col("run_id") == run_id)
-    end = F.broadcast(run.agg(F.max("run_timestamp").alias("__end")))  # one row
-    new = run.groupBy("record_id").agg(F.max_by(F.struct(content.alias("p")), F.struct("run_record_offset", "filename"))["p"].alias("new"))
+    meta = metadata_only(versions)
+    run = meta.where(F.col("run_id") == run_id)
+    # One row; as a literal it reaches the scan of the earlier versions.
+    end = run.agg(F.unix_micros(F.max("run_timestamp"))).first()[0]
+    row = F.struct(*ROW, "action")
+    touched = run.groupBy("record_id").agg(F.max_by(row, F.struct("run_record_offset", "filename")).alias("new"))
     # Nulls are the smallest parts of a struct, as nulls come last from the newest on.
     age = F.struct("run_timestamp", "run_id", "run_record_offset", "filename")
-    before = versions.join(run.select("record_id"), "record_id", "left_semi").crossJoin(end).where(F.col("run_timestamp") < F.col("__end"))
-    old = before.groupBy("record_id").agg(F.max_by(F.struct(content.alias("p")), age)["p"].alias("old"))
-    return new.join(old, "record_id", "left")
+    earlier = meta.where(F.col("run_timestamp") < F.timestamp_micros(F.lit(end).cast("long"))).join(run.select("record_id"), "record_id", "left_semi")
+    old = earlier.groupBy("record_id").agg(F.max_by(row, age).alias("old"))
+    found = touched.join(old, "record_id", "left")
+    return files.settled(found.select("record_id", "new.action", F.col("new.run_record_offset").alias("run_offset"), "new", "old"))
+
+
+def needles(versions: DataFrame, keys: DataFrame) -> DataFrame:
+    """(record_id, side, payload) of the rows that ``new`` and ``old`` of the keys name, deletes left out."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("row")) for s in ("new", "old")]))
+    named = keys.select("record_id", sides.alias("s")).select("record_id", "s.side", "s.row.*").where("run_id is not null and action <> 'delete' or action is null and run_id is not null")
+    named = named.select("record_id", "side", *ROW)
+    on = [F.col("v.record_id") == F.col("k.record_id"), *[F.col(f"v.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ROW]]
+    rows = pruned(versions, named).select("record_id", *ROW, "payload")
+    return rows.alias("v").join(named.alias("k"), on).select("k.record_id", "k.side", "v.payload")
+
+
+def run_pairs(versions: DataFrame, keys: DataFrame) -> DataFrame:
+    """(record_id, new, old): the payloads of both sides of ``run_keys``, as a durable table. Deletes and missing payloads are null."""
+    sides = [F.max(F.when(F.col("side") == s, F.col("payload"))).alias(s) for s in ("new", "old")]
+    return files.settled(needles(versions, keys).groupBy("record_id").agg(*sides))
 
 
 def compared_payloads(pairs: DataFrame, keys: tuple[str, ...], *, lenient: bool = False, max_depth: int | None = None) -> DataFrame:
@@ -107,10 +132,15 @@ def status_of(action: Column, new: Column, old: Column, differs: Column) -> Colu
 
 def classified(versions: DataFrame, run_id: str, *, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, leaves): touched records with status and prior version, and the compared leaves of those whose payload text differs."""
-    touched, prior, pairs = touched_records(versions, run_id), prior_versions(versions, run_id), run_pairs(versions, run_id)
+    keys = run_keys(versions, run_id)
+    pairs = run_pairs(versions, keys)
     leaves = compared_payloads(pairs, ("record_id",), max_depth=max_depth)
     changed = leaves.where("change <> 'same'").groupBy("record_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    records = touched.join(prior, "record_id", "left").join(pairs, "record_id", "left").join(changed, "record_id", "left")
+    named = keys.select(
+        "record_id", "action", "run_offset", F.col("old.run_id").alias("prev_run_id"), F.col("old.run_record_offset").alias("prev_offset"),
+        F.col("old.run_date").cast("string").alias("prev_run_date"), F.col("old.filename").alias("prev_filename"),
+    )
+    records = named.join(pairs, "record_id", "left").join(changed, "record_id", "left")
     status = status_of(F.col("action"), F.col("new"), F.col("old"), F.col("paths").isNotNull())
     return records.withColumns({"status": status, "now": F.col("new").isNotNull(), "before": F.col("old").isNotNull()}).drop("new", "old"), leaves
 
@@ -187,23 +217,33 @@ def consecutive_pairs(versions: DataFrame) -> DataFrame:
     return chained.where("a is not null").select(F.col("b").alias("pair"), "a", "b")
 
 
+def version_prints(versions: DataFrame, *, max_depth: int | None = None) -> DataFrame:
+    """(record_id, run_id, run_record_offset, filename, run_timestamp, action, leaf_print) of every version, the print null without content.
+
+    Each payload is parsed once, where it lies, and does not move.
+    """
+    keys = ("record_id", "run_id", "run_record_offset", "filename", "run_timestamp", "action")
+    has = F.col("payload").isNotNull() & F.coalesce(F.col("action") != "delete", F.lit(True))
+    prints = leaf_prints(versions.where(has), keys=keys, max_depth=max_depth)
+    return prints.unionByName(versions.where(~has).select(*keys, F.lit(None).cast(prints.schema["leaf_print"].dataType).alias("leaf_print")))
+
+
 def all_run_changes(versions: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(run_id, status, records) of every run at once, each as ``classified`` tells it.
 
-    A record's versions are ordered by time once; the newest one strictly before a
-    run's end is the last before the first of that time.
+    Versions are compared by the prints of their leaves, which are written once; payloads
+    take no part in what follows.  A record's versions are ordered by time once; the
+    newest one strictly before a run's end is the last before the first of that time.
     """
-    content = F.when(F.col("action") != "delete", F.col("payload")).alias("content")
-    ends = versions.groupBy("run_id").agg(F.max("run_timestamp").alias("end"))
-    last = F.max_by(F.struct("action", content), F.struct("run_record_offset", "filename"))
-    touched = versions.groupBy("run_id", "record_id").agg(last.alias("t")).join(ends, "run_id")
-    # A version and a question, whether it lies before the run's end, meet in the order of time; questions come first.
-    known = versions.select("record_id", F.col("run_timestamp").alias("at"), F.lit(1).alias("kind"), F.struct("run_id", "run_record_offset", "filename", content).alias("v"), F.lit(None).cast("string").alias("run_id"), F.lit(None).cast(touched.schema["t"].dataType).alias("t"))
-    asked = touched.select("record_id", F.col("end").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(known.schema["v"].dataType).alias("v"), "run_id", "t")
+    known = files.settled(version_prints(versions, max_depth=max_depth))
+    ends = known.groupBy("run_id").agg(F.max("run_timestamp").alias("end"))
+    last = F.max_by(F.struct("action", "leaf_print"), F.struct("run_record_offset", "filename"))
+    touched = known.groupBy("run_id", "record_id").agg(last.alias("t")).join(ends, "run_id")
+    # A version and a question, what lies before the run's end, meet in the order of time; questions come first.
+    v = F.struct("run_id", "run_record_offset", "filename", "leaf_print")
+    told = known.select("record_id", F.col("run_timestamp").alias("at"), F.lit(1).alias("kind"), v.alias("v"), F.lit(None).cast("string").alias("run_id"), F.lit(None).cast(touched.schema["t"].dataType).alias("t"))
+    asked = touched.select("record_id", F.col("end").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(told.schema["v"].dataType).alias("v"), "run_id", "t")
     earlier = Window.partitionBy("record_id").orderBy("at", "kind", "v").rowsBetween(Window.unboundedPreceding, -1)
-    met = known.unionByName(asked).withColumn("prior", F.last("v", ignorenulls=True).over(earlier)).where("kind = 0")
-    pairs = met.select(F.struct("run_id", "record_id").alias("pair"), "t.action", F.col("t.content").alias("new"), F.col("prior.content").alias("old"))
-    differ = compared_payloads(pairs.where("new is not null and old is not null"), ("pair",), max_depth=max_depth).where("change <> 'same'").select("pair").distinct()
-    records = pairs.join(differ.withColumn("differs", F.lit(True)), "pair", "left")
-    status = status_of(F.col("action"), F.col("new"), F.col("old"), F.col("differs"))
-    return records.groupBy("pair.run_id", status.alias("status")).agg(F.count(F.lit(1)).alias("records"))
+    met = told.unionByName(asked).withColumn("prior", F.last("v", ignorenulls=True).over(earlier)).where("kind = 0")
+    new, old = F.col("t.leaf_print"), F.col("prior.leaf_print")
+    return met.groupBy("run_id", status_of(F.col("t.action"), new, old, new != old).alias("status")).agg(F.count(F.lit(1)).alias("records"))

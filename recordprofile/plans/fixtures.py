@@ -84,6 +84,28 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("version_key", version_key())
 
 
+def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``order_docs`` whose payload is one element of an array, so that lines are arrays within arrays."""
+    return order_docs(spark, sf_dir).withColumn("payload", F.concat(F.lit('{"s":['), "payload", F.lit("]}")))
+
+
+def deep_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(version_key, payload) of every nation: its key, 8 levels deep for each number up to its own and one more, so 200 at most."""
+    nations, levels = spark.read.parquet(f"{sf_dir}/nation.parquet"), ((F.col("n_nationkey") + 1) * 4).cast("int")
+    payload = F.concat(F.repeat(F.lit('{"d":['), levels), F.col("n_nationkey").cast("string"), F.lit(',"'), F.col("n_name"), F.lit('",{}'), F.repeat(F.lit("]}"), levels))
+    return nations.select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("version_key"), payload.alias("payload"))
+
+
+def broken_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``versions`` where every third user's payloads are cut, every fifth's nest without end and every seventh's are no objects."""
+    user = F.expr("cast(substring(record_id, 3) as long)")
+    broken = (
+        F.when(user % 3 == 0, F.expr("substring(payload, 1, char_length(payload) - 3)")).when(user % 5 == 0, F.concat(F.repeat(F.lit("{"), 400), "payload"))
+        .when(user % 7 == 0, F.concat(F.lit("["), "payload", F.lit("]"))).otherwise(F.col("payload"))
+    )
+    return versions(spark, sf_dir).withColumn("payload", broken)
+
+
 # The same as DuckDB common table expressions.
 
 VERSIONS_SQL = """
@@ -149,3 +171,19 @@ ORDERS_SQL = f"""
         FROM orders JOIN items ON o_orderkey = l_orderkey),
     docs AS (SELECT version_key, record_id, source, run_id, run_record_offset FROM payloads),
     eav AS ({leaves_sql("payloads", "version_key")})"""
+
+NESTED_SQL = f"""{ORDERS_SQL},
+    nested AS (SELECT * REPLACE ('{{"s":[' || payload || ']}}' AS payload) FROM payloads),
+    nested_eav AS ({leaves_sql("nested", "version_key")})"""
+
+DEEP_SQL = """
+    deep AS (
+        SELECT 'n:' || n_nationkey AS version_key,
+               repeat('{"d":[', 4 * (n_nationkey + 1)) || n_nationkey || ',"' || n_name || '",{}' || repeat(']}', 4 * (n_nationkey + 1)) AS payload
+        FROM nation)"""
+
+BROKEN_SQL = f"""{VERSIONS_SQL},
+    sound AS (
+        SELECT * FROM versions
+        WHERE payload IS NOT NULL AND CAST(substr(record_id, 3) AS BIGINT) % 3 <> 0 AND CAST(substr(record_id, 3) AS BIGINT) % 5 <> 0
+          AND CAST(substr(record_id, 3) AS BIGINT) % 7 <> 0)"""

@@ -134,6 +134,30 @@ def _(spark, sf_dir):
     return eav.groupBy("path", "value_type").agg(F.count(F.lit(1)).alias("leaves"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
+@query("flatten_deep", fx.leaves_sql("deep", "version_key"), fx.DEEP_SQL)
+def _(spark, sf_dir):
+    """200 levels, by the path that states no depth."""
+    return flatten_leaves(fx.deep_docs(spark, sf_dir))
+
+
+@query(
+    "flatten_malformed",
+    f"SELECT path, value_type, count(*) AS leaves, count(DISTINCT record_id) AS records FROM ({fx.leaves_sql('sound', 'record_id')}) GROUP BY ALL",
+    fx.BROKEN_SQL,
+)
+def _(spark, sf_dir):
+    """Cut texts, endless nesting and payloads that are no objects have no leaves."""
+    eav = flatten_leaves(fx.broken_versions(spark, sf_dir), keys=("record_id",), lenient=True)
+    return eav.groupBy("path", "value_type").agg(F.count(F.lit(1)).alias("leaves"), F.count_distinct("record_id").alias("records"))
+
+
+@query("flatten_any_depth_orders", "SELECT path, value_type, count(*) AS leaves, min(value) AS least, max(value) AS most FROM eav GROUP BY ALL", fx.ORDERS_SQL)
+def _(spark, sf_dir):
+    """The same as flatten_order_docs without a stated depth."""
+    eav = flatten_leaves(fx.order_docs(spark, sf_dir))
+    return eav.groupBy("path", "value_type").agg(F.count(F.lit(1)).alias("leaves"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
 # Paths
 
 
@@ -355,21 +379,32 @@ def _(spark, sf_dir):
     return profile.object_record_shape(*order_corpus(spark, sf_dir), "lines[]")
 
 
-@query(
-    "object_member_stats",
-    f"""SELECT path, coalesce(nullif(ltrim(substr(path, 8), '.'), ''), path) AS label, value_type, contains(substr(path, 8), '[') AS is_array,
-               CASE WHEN contains(substr(path, 8), '[') THEN 'array[' || value_type || ']' ELSE value_type END AS type, present,
-               {percent_sql("present", "(SELECT count(DISTINCT (version_key, element)) FROM o)")} AS presence_pct, count_min, count_avg, count_max
+def member_stats_sql(leaves: str, prefix: str) -> str:
+    n = len(prefix) + 1
+    return f"""SELECT path, coalesce(nullif(ltrim(substr(path, {n}), '.'), ''), path) AS label, value_type, suffix(path, '[]') AS is_array,
+               CASE WHEN suffix(path, '[]') THEN 'array[' || replace(value_type, '-empty', '') || ']' ELSE replace(value_type, '-empty', '') END AS type, present,
+               {percent_sql("present", f"(SELECT count(DISTINCT (version_key, element)) FROM {leaves})")} AS presence_pct, count_min, count_avg, count_max
         FROM (SELECT path, count(*) AS present, min(n) AS count_min, {mean_sql("sum(n)", "count(*)")} AS count_avg, max(n) AS count_max
-              FROM (SELECT path, version_key, element, count(*) AS n FROM o GROUP BY ALL) GROUP BY 1)
-        JOIN (SELECT path, value_type FROM (SELECT path, value_type, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, value_type) AS k FROM o GROUP BY 1, 2)
-              WHERE k = 1) USING (path) ORDER BY path""",
-    fx.ORDERS_SQL + LINE_SQL,
-)
+              FROM (SELECT path, version_key, element, count(*) AS n FROM {leaves} GROUP BY ALL) GROUP BY 1)
+        JOIN (SELECT path, value_type FROM (SELECT path, value_type, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, value_type) AS k FROM {leaves} GROUP BY 1, 2)
+              WHERE k = 1) USING (path) ORDER BY path"""
+
+
+@query("object_member_stats", member_stats_sql("o", "lines[]"), fx.ORDERS_SQL + LINE_SQL)
 def _(spark, sf_dir):
     return profile.object_member_stats(order_corpus(spark, sf_dir)[1], "lines[]")
 
 
+@query(
+    "object_member_stats_nested",
+    member_stats_sql("m", "s[]"),
+    fx.NESTED_SQL + r""", m AS (SELECT *, regexp_extract(path_indexed, '^([^\]]*\])', 1) AS element FROM nested_eav)""",
+)
+def _(spark, sf_dir):
+    """Members of arrays within arrays: those that are elements themselves are arrays, those inside elements aren't."""
+    return profile.object_member_stats(flatten_leaves(fx.nested_orders(spark, sf_dir), max_depth=fx.ORDER_DEPTH + 2), "s[]")
+
+
 @query(
     "distinct_object_count",
     """SELECT count(DISTINCT c) AS distinct_objects

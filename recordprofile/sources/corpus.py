@@ -1,14 +1,19 @@
 """The corpus: documents and their leaves as Parquet, kept in step with the record versions.
 
-    docs/<n>        one row per document, with the part and number of its leaves; rewritten by each update (narrow)
-    eav/part=<id>   leaves; each build or update only adds the part it flattened
-    reports/<n>/... field reports by scope
-    manifest.json   what is published; written last, by rename
+    docs/<id>            one row per document, with the part, number and fingerprint of its leaves; rewritten by each update (narrow)
+    eav/part=<id>        leaves; each build or update only adds the part it flattened
+    manifests/<n>.json   version n: what is published; the highest number counts
+    reports/<n>/...      field reports of version n by scope, kept where they can be written
 
 A document names the part that holds its leaves, so the live leaves are those whose
 (version key, part) is a document's: deletes cost nothing in eav, and a key that
-comes back does not meet its old leaves.  Readers of an older manifest keep their
-snapshot; a failed build publishes nothing.
+comes back does not meet its old leaves.
+
+Folders have ids of their own, so a writer that fails or dies leaves nothing that
+another one could meet.  Version n + 1 is published by creating its manifest, which
+succeeds for one writer only: of several that started from version n, one wins and the
+others raise ``Conflict`` and publish nothing.  Readers of an older version keep their
+snapshot until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -17,22 +22,27 @@ import hashlib
 import json
 import time
 import uuid
+import warnings
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordprofile.functions.values import naive_utc, run_day, version_key
 from recordprofile.operators import profile
-from recordprofile.operators.flatten import flatten_leaves
+from recordprofile.operators.flatten import flatten_leaves, leaf_print
 from recordprofile.operators.scope import EMPTY, Scope, scoped
 from recordprofile.sources import files
-from recordprofile.sources.versions import current_records, metadata_only, read_versions
+from recordprofile.sources.versions import current_records, metadata_only, pruned, read_versions
 
 LEAF_SCHEMA = "version_key string, path string, path_indexed string, value string, value_type string, part string"
 #: Parts whose leaves are read together at most; past that an update compacts.
 MOST_PARTS = 64
 DOC_COLUMNS = ("version_key", "record_id", "source", "run_id", "run_record_offset", "run_timestamp", "run_date", "run_type", "action")
+#: What a document says of its leaves, besides.
+KEPT = ("leaves", "leaf_print", "part")
 #: From so many documents on, an uncached report of the whole corpus is worth a warning.
 LARGE_CORPUS = 100_000
 
@@ -40,6 +50,7 @@ LARGE_CORPUS = 100_000
 @dataclass(frozen=True)
 class Manifest:
     version: int
+    snapshot: str
     parts: list[str]
     created_at: str
     updated_at: str
@@ -53,6 +64,10 @@ class Manifest:
     excluded_fields: list[str] = field(default_factory=list)
 
 
+class Conflict(RuntimeError):
+    """Another writer has published the version that this one was about to."""
+
+
 def _now() -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
 
@@ -63,16 +78,22 @@ class Corpus:
 
     # Reading
 
+    def _newest(self) -> int:
+        numbers = (n.removesuffix(".json") for n in files.names(self.spark, f"{self.root}/manifests"))
+        return max((int(n) for n in numbers if n.isdigit()), default=0)
+
     def exists(self) -> bool:
-        return files.exists(self.spark, f"{self.root}/manifest.json")
+        return self._newest() > 0
 
-    def manifest(self) -> Manifest | None:
-        return Manifest(**json.loads(files.read_text(self.spark, f"{self.root}/manifest.json"))) if self.exists() else None
+    def manifest(self, version: int | None = None) -> Manifest | None:
+        """Of a version, the newest one unless it is given; None if there is no corpus."""
+        number = version or self._newest()
+        return Manifest(**json.loads(files.read_text(self.spark, f"{self.root}/manifests/{number}.json"))) if number else None
 
     def meta(self) -> dict:
         """The published counts and times; empty if there is no corpus."""
         found = self.manifest()
-        return {k: v for k, v in asdict(found).items() if k not in ("parts", "dead")} if found else {}
+        return {k: v for k, v in asdict(found).items() if k not in ("parts", "dead", "snapshot")} if found else {}
 
     def meta_row(self) -> DataFrame:
         """``meta`` as a one-row DataFrame, for SQL."""
@@ -86,10 +107,10 @@ class Corpus:
         found = self.manifest()
         if found is None:
             raise FileNotFoundError(f"no corpus at {self.root}")
-        return self._docs(found).drop("part", "leaves"), self._live(found)
+        return self._docs(found).drop(*KEPT), self._live(found)
 
     def _docs(self, found: Manifest) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/docs/{found.version}")
+        return self.spark.read.parquet(f"{self.root}/docs/{found.snapshot}")
 
     def _live(self, found: Manifest) -> DataFrame:
         # One scan; the partition filter leaves out parts that no document names.
@@ -108,7 +129,7 @@ class Corpus:
         part = uuid.uuid4().hex
         keyed = records.select(version_key().alias("version_key"), "payload")
         flatten_leaves(keyed, excluded_fields=excluded).sortWithinPartitions("path").write.parquet(f"{self.root}/eav/part={part}")
-        counts = self._part(part).groupBy("version_key").agg(F.count(F.lit(1)).alias("leaves"))
+        counts = self._part(part).groupBy("version_key").agg(F.count(F.lit(1)).alias("leaves"), leaf_print().alias("leaf_print"))
         return part, self.documents(records).join(counts, "version_key", "left").withColumn("part", F.lit(part))
 
     def _part(self, part: str) -> DataFrame:
@@ -116,15 +137,16 @@ class Corpus:
 
     def _counted(self, manifest: dict) -> Manifest:
         """The manifest with the counts of its documents, which know the number of their leaves."""
-        docs = self.spark.read.parquet(f"{self.root}/docs/{manifest['version']}")
+        docs = self.spark.read.parquet(f"{self.root}/docs/{manifest['snapshot']}")
         counts = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("leaves"), F.count_distinct("source").alias("sources")).first()
         parts = [r[0] for r in docs.select("part").distinct().collect()]  # MOST_PARTS and one more at most
         return Manifest(**manifest | {"parts": sorted(parts), "doc_count": counts["docs"], "eav_count": counts["leaves"], "source_count": counts["sources"]})
 
     def _publish(self, manifest: Manifest) -> Manifest:
-        """The whole corpus's report first, then the manifest: what fails before the end publishes nothing."""
+        """The manifest first, by which all or nothing is published; then the whole corpus's report, if it can be written."""
+        if not files.put_if_absent(self.spark, f"{self.root}/manifests/{manifest.version}.json", json.dumps(asdict(manifest))):
+            raise Conflict(f"version {manifest.version} of {self.root} was published meanwhile")
         self._report(manifest, EMPTY)
-        files.write_text(self.spark, f"{self.root}/manifest.json", json.dumps(asdict(manifest)))
         return manifest
 
     @staticmethod
@@ -139,12 +161,12 @@ class Corpus:
         old, excluded = self.manifest(), list(excluded_fields)
         current = current_records(versions)
         has = F.coalesce((F.col("payload").isNotNull() & (F.col("payload") != "")), F.lit(False))
-        number, seen = (old.version + 1 if old else 1), Observation()
+        snapshot, seen = uuid.uuid4().hex, Observation()
         current = current.observe(seen, F.count_if(~has).alias("skipped"))
         _part, docs = self._add(current.where(has), excluded)
-        docs.write.parquet(f"{self.root}/docs/{number}")
-        now = _now()
-        return self._publish(self._counted(asdict(Manifest(number, [], now, now, location, 0, 0, seen.get["skipped"], 0, excluded_fields=excluded))))
+        docs.write.parquet(f"{self.root}/docs/{snapshot}")
+        now, number = _now(), old.version + 1 if old else 1
+        return self._publish(self._counted(asdict(Manifest(number, snapshot, [], now, now, location, 0, 0, seen.get["skipped"], 0, excluded_fields=excluded))))
 
     def update(self, versions: DataFrame | str) -> Manifest:
         """Bring the corpus in step with the current records, reading payloads only of current records with new keys.
@@ -159,37 +181,41 @@ class Corpus:
             raise FileNotFoundError(f"no corpus at {self.root}")
         if isinstance(versions, str):
             versions = read_versions(self.spark, versions)
-        docs, number = self._docs(old), old.version + 1
+        docs, snapshot = self._docs(old), uuid.uuid4().hex
         live = live_keys(versions)
         # The payloads are read of the rows that these keys and their files name, so that a key repeated in the versions counts once.
-        fresh = insert_set(live, docs).select("record_id", "source", "run_id", "run_record_offset", "filename")
-        named = F.col("v.filename").eqNullSafe(F.col("k.filename"))
+        fresh = files.settled(insert_set(live, docs).select("record_id", "source", "run_date", "run_id", "run_record_offset", "filename"))
+        named = F.col("v.filename").eqNullSafe(F.col("k.filename")) & F.col("v.run_date").eqNullSafe(F.col("k.run_date"))
         for c in ("record_id", "source", "run_id", "run_record_offset"):
             named = named & (F.col(f"v.{c}") == F.col(f"k.{c}"))
         has = F.col("payload").isNotNull() & (F.col("payload") != "")
-        wanted = current_records(versions.alias("v").join(fresh.alias("k"), named, "left_semi")).where(has)
+        wanted = current_records(pruned(versions, fresh).alias("v").join(fresh.alias("k"), named, "left_semi")).where(has)
         part, new = self._add(wanted, old.excluded_fields)
         kept = docs.join(live.select("version_key"), "version_key", "left_semi")
-        kept.select(*DOC_COLUMNS, "leaves", "part").unionByName(new).write.parquet(f"{self.root}/docs/{number}")
-        written = self.spark.read.parquet(f"{self.root}/docs/{number}")
+        kept.select(*DOC_COLUMNS, *KEPT).unionByName(new).write.parquet(f"{self.root}/docs/{snapshot}")
+        written = self.spark.read.parquet(f"{self.root}/docs/{snapshot}")
         gone = old.doc_count - written.where(F.col("part") != part).count()
-        found = self._counted(asdict(old) | {"version": number, "updated_at": _now(), "dead": old.dead or gone > 0, "stale": False})
-        return self._compacted(found) if len(found.parts) > MOST_PARTS else self._publish(found)
+        found = self._counted(asdict(old) | {"version": old.version + 1, "snapshot": snapshot, "updated_at": _now(), "dead": old.dead or gone > 0, "stale": False})
+        return self._compacted(found, found.version) if len(found.parts) > MOST_PARTS else self._publish(found)
 
     def compact(self) -> Manifest:
         """Rewrite the live leaves as one part."""
-        return self._compacted(self.manifest())
+        old = self.manifest()
+        return self._compacted(old, old.version + 1)
 
-    def _compacted(self, old: Manifest) -> Manifest:
-        part, number = uuid.uuid4().hex, old.version + 1
+    def _compacted(self, old: Manifest, number: int) -> Manifest:
+        part, snapshot = uuid.uuid4().hex, uuid.uuid4().hex
         self._live(old).sortWithinPartitions("path").write.parquet(f"{self.root}/eav/part={part}")
-        self._docs(old).withColumn("part", F.lit(part)).write.parquet(f"{self.root}/docs/{number}")
-        return self._publish(Manifest(**asdict(old) | {"version": number, "parts": [part], "updated_at": _now(), "dead": False}))
+        self._docs(old).withColumn("part", F.lit(part)).write.parquet(f"{self.root}/docs/{snapshot}")
+        return self._publish(Manifest(**asdict(old) | {"version": number, "snapshot": snapshot, "parts": [part], "updated_at": _now(), "dead": False}))
 
     def vacuum(self) -> None:
-        """Remove what the published snapshot does not use; readers of an older one lose it."""
+        """Remove what the published version does not use, also what dead writers left; readers of an older one lose it.
+
+        To be called while nobody writes: a writer's folders are in no manifest yet.
+        """
         found = self.manifest()
-        keep = {"docs": {str(found.version)}, "reports": {str(found.version)}, "eav": {f"part={p}" for p in found.parts}}
+        keep = {"docs": {found.snapshot}, "reports": {str(found.version)}, "eav": {f"part={p}" for p in found.parts}, "manifests": {f"{found.version}.json"}}
         for folder, names in keep.items():
             for name in set(files.names(self.spark, f"{self.root}/{folder}")) - names:
                 files.remove(self.spark, f"{self.root}/{folder}/{name}")
@@ -199,17 +225,25 @@ class Corpus:
     def field_usage_report(self, scope: Scope = EMPTY) -> DataFrame:
         """The schema overview under a scope, kept by (corpus version, scope).
 
-        A new version has a folder of its own, so older reports never answer for it.
+        A new version has a folder of its own, so older reports never answer for it.  One
+        that can't be kept is answered all the same.
         """
         return self._report(self.manifest(), scope)
 
     def _report(self, found: Manifest, scope: Scope) -> DataFrame:
         name = hashlib.sha256(scope.key().encode()).hexdigest() if scope.key() else "whole"
         path = f"{self.root}/reports/{found.version}/{name}"
-        if not files.exists(self.spark, f"{path}/_SUCCESS"):
-            docs, eav = scoped(self._docs(found).drop("part", "leaves"), self._live(found), scope)
-            profile.schema_overview(docs, eav).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path).orderBy(F.desc("doc_count"), "field")
+        docs, eav = scoped(self._docs(found).drop(*KEPT), self._live(found), scope)
+        report = profile.schema_overview(docs, eav)
+        try:
+            if not files.exists(self.spark, f"{path}/_SUCCESS"):
+                aside = f"{self.root}/reports/{found.version}/.{uuid.uuid4().hex}"
+                report.write.parquet(aside)
+                files.move_if_absent(self.spark, aside, path)
+            report = self.spark.read.parquet(path)
+        except (PySparkException, Py4JJavaError, OSError) as e:
+            warnings.warn(f"the report {path} was not kept: {e}", stacklevel=2)
+        return report.orderBy(F.desc("doc_count"), "field")
 
     def is_large(self) -> bool:
         return self.meta().get("doc_count", 0) >= LARGE_CORPUS
@@ -217,7 +251,7 @@ class Corpus:
 
 def live_keys(versions: DataFrame) -> DataFrame:
     """(version_key, action and what names its row) of the current records, without payloads."""
-    return current_records(metadata_only(versions)).select(version_key().alias("version_key"), "action", "record_id", "source", "run_id", "run_record_offset", "filename")
+    return current_records(metadata_only(versions)).select(version_key().alias("version_key"), "action", "record_id", "source", "run_date", "run_id", "run_record_offset", "filename")
 
 
 def insert_set(live: DataFrame, docs: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _open(spark: SparkSession, path: str):
@@ -40,18 +41,57 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared}/{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to a new folder that all executors share and read again: computed once, whoever asks for it how often."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path).collect())
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace the file: written beside it under another name, then renamed."""
+def _written_aside(spark: SparkSession, path: str, text: str):
+    """(file context, where the text was written beside the path, the path), both qualified."""
     jvm, p, fs = _open(spark, path)
-    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    aside = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}")
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.isAbsoluteAndSchemeAuthorityNull() is False else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(aside), fs.makeQualified(p), overwrite)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    return context, fs.makeQualified(aside), fs.makeQualified(p)
+
+
+def _rename(spark: SparkSession, context, source, target, how: str) -> None:
+    kinds = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kinds, 1)
+    options[0] = getattr(kinds, how)
+    context.rename(source, target, options)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace the file: written beside it under another name, then renamed."""
+    context, aside, p = _written_aside(spark, path, text)
+    _rename(spark, context, aside, p, "OVERWRITE")
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create the file with all its text by one rename; False, and nothing written, if there is one already."""
+    context, aside, p = _written_aside(spark, path, text)
+    try:
+        _rename(spark, context, aside, p, "NONE")
+    except Py4JJavaError as e:
+        context.delete(aside, False)
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def move_if_absent(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; if the target exists, the source goes."""
+    jvm, p, fs = _open(spark, source)
+    to = jvm.org.apache.hadoop.fs.Path(target)
+    if fs.exists(to) or not fs.rename(p, to):
+        fs.delete(p, True)

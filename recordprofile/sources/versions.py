@@ -16,6 +16,9 @@ IDENTITY = ("record_id", "run_id", "run_record_offset")
 METADATA = ("record_id", "source", "run_date", "run_type", "action", "run_id", "run_record_offset", "run_timestamp", "filename")
 PAYLOADS = ("payload", "raw_payload")
 
+#: Different runs and files that a read names one by one at most.
+MOST_NAMED = 1000
+
 VERSION_SCHEMA = T.StructType(
     [
         T.StructField("record_id", T.StringType()),
@@ -39,6 +42,35 @@ def read_versions(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
     return df if "filename" in df.columns else df.withColumn("filename", F.col("_metadata.file_path"))
 
 
+def write_versions(versions: DataFrame, path: str) -> None:
+    """Add versions below ``path`` by source and run date, within files by run and record.
+
+    A read that names sources or dates then lists only their folders, one that joins on
+    them prunes at run time, and one that names runs or records skips row groups.
+    """
+    ordered = versions.drop("filename").repartition("source", "run_date", "run_id").sortWithinPartitions("source", "run_date", "run_id", "record_id")
+    ordered.write.mode("append").partitionBy("source", "run_date").parquet(path)
+
+
+def pruned(versions: DataFrame, keys: DataFrame, *, most: int = MOST_NAMED) -> DataFrame:
+    """The versions without files, folders and row groups that ``keys`` cannot mean; the caller joins what is left.
+
+    ``keys`` (a durable table) has any of source, run_date, run_id and filename.  Up to
+    ``most`` different ones become predicates that the scan knows before it starts:
+    files are listed by name and folder, row groups skipped by run.  More of them change
+    nothing here: the join on source and run date prunes folders while it runs.
+    """
+    columns = [c for c in ("source", "run_date", "run_id", "filename") if c in keys.columns and c in versions.columns]
+    named = keys.select(*columns).distinct().limit(most + 1).collect()
+    if len(named) > most:
+        return versions
+    for c in columns:
+        values = {r[c] for r in named}
+        inside = F.col(c).isin(sorted(v for v in values if v is not None))
+        versions = versions.where(inside | F.col(c).isNull() if None in values else inside)
+    return versions
+
+
 def metadata_only(versions: DataFrame) -> DataFrame:
     return versions.select([c for c in METADATA if c in versions.columns])
 

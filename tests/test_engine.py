@@ -101,7 +101,7 @@ def test_update_reads_the_rows_that_become_documents(spark, root, tmp_path):
     other.vacuum()
     import os
 
-    assert {n for n in os.listdir(f"{root}-files/docs") if n.isdigit()} == {"3"} and other.open()[1].count() == 6
+    assert os.listdir(f"{root}-files/docs") == [other.manifest().snapshot] and other.manifest().version == 3 and other.open()[1].count() == 6
 
 
 def test_all_runs_agree_with_one_run(spark):
@@ -270,6 +270,20 @@ def test_read_only_sql(spark, root):
     assert ask("SELECT count(*) FROM docs", scope=Scope(where="run_record_offset < 5")).rows == [(5,)]
     for bad in ("DROP TABLE docs", "SET x = 1", "SELECT nothing FROM docs", "SELECT reflect('java.lang.System', 'exit')", "SHOW TABLES", f"SELECT * FROM parquet.`{other}`"):
         assert ask(bad).error
+    # Text is text; what the session holds besides, also in memory, behind names that the query defines elsewhere, is out of reach.
+    assert ask("SELECT count(*) FROM eav WHERE value LIKE '%reflect%' OR value = 'java_method('").rows == [(0,)]
+    assert ask("WITH t AS (SELECT explode(sequence(1, 3)) AS x) SELECT sum(x) FROM t JOIN (VALUES (1), (2)) AS v (y) ON x = y").rows == [(3,)]
+    assert ask("SELECT (SELECT max(doc_count) FROM corpus_meta) + count(*) FROM docs WHERE version_key IN (SELECT version_key FROM eav)").rows == [(60,)]
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("other_view")
+    spark.range(3).createOrReplaceTempView("other_range")
+    path = f"{root}/docs/{corpus.manifest().snapshot}"
+    for bad in (
+        "SELECT * FROM other_view", "SELECT * FROM other_range", "SELECT count(*) FROM docs WHERE 1 IN (SELECT x FROM other_view)", f"SELECT * FROM parquet.`{path}`",
+        "SELECT * FROM other_view WHERE 1 IN (WITH other_view AS (SELECT 1 AS x) SELECT x FROM other_view)", "SELECT try_reflect('java.lang.System', 'exit')",
+        "SELECT * FROM docs WHERE version_key = (SELECT java_method('java.util.UUID', 'randomUUID'))", "SELECT * FROM docs LEFT JOIN LATERAL (SELECT * FROM other_view)",
+    ):
+        assert ask(bad, scope=Scope(where="run_record_offset < 5")).error
+    assert not any(t.name.startswith(("docs_", "eav_")) for t in spark.catalog.listTables())
 
 
 def test_values(spark):
@@ -307,6 +321,10 @@ def test_objects(spark):
     shape = {r["record_id"]: (r["objects"], r["total_values"], r["max_per_object"]) for r in profile.object_record_shape(docs, eav, "s[]").collect()}
     assert shape == {"r0": (2, 4, 3), "r1": (11, 44, 4)}
     stats = {r["path"]: (r["present"], r["presence_pct"], r["type"], r["count_avg"], r["label"]) for r in profile.object_member_stats(eav, "s[]").collect()}
+    deep = flatten_leaves(spark.createDataFrame([("a", '{"s": [{"v": [{"k": 1, "w": [1, 2]}], "e": [{}]}]}')], "version_key string, payload string"))
+    assert {r["label"]: (r["is_array"], r["type"]) for r in profile.object_member_stats(deep, "s[]").collect()} == {
+        "v[].k": (False, "number"), "v[].w[]": (True, "array[number]"), "e[]": (True, "array[object]"),
+    }
     assert stats["s[].k"] == (13, 100.0, "number", 1.0, "k") and stats["s[].v[]"] == (12, 92.3, "array[string]", 2.92, "v[]")
     fields = {r["field"]: r for r in profile.schema_overview(docs, eav).collect()}
     assert (fields["s"]["doc_count"], fields["s"]["coverage_pct"], fields["s"]["count_max"], fields["s"]["count_min"]) == (4, 100.0, 11, 1)

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from recordprofile.operators.flatten import flatten_leaves, nesting
+from recordprofile.operators.flatten import flatten_leaves, leaf_prints
 
 
 def walk(v, path="", indexed=""):
@@ -83,5 +83,27 @@ def test_any_depth(spark):
         deep = {"d{[": [deep, k]}
     docs = [deep, {"x": 1}, "3"]
     assert leaves(spark, docs) == expected([deep, {"x": 1}, 3])
-    frame = spark.createDataFrame([(json.dumps(d),) for d in (deep, {"x": "[[[["}, [], 3)], "p string")
-    assert [r[0] for r in frame.select(nesting("p")).collect()] == [26, 1, 1, 0]
+    # Empty containers, scalars and nulls just where a block ends.
+    edges = [{"a": {"b": {"c": {"d": x}}}} for x in ({}, [], 1, None, [1], [None], {"e": {}}, {"e": [[]]})]
+    assert leaves(spark, edges) == expected(edges)
+
+
+def test_very_deep_payloads(spark):
+    levels = 500
+    text = '{"a":[' * (levels // 2) + '1.0,"x",{}' + "]}" * (levels // 2)
+    path = "a[]" + ".a[]" * (levels // 2 - 1)
+    found = leaves(spark, ['{"x": 1}', text])
+    assert sorted((r[1], r[3], r[4]) for r in found) == sorted([("x", "1", "number"), (path, "1", "number"), (path, "x", "string"), (path, "", "object-empty")])
+
+
+def test_malformed_and_too_deep_texts_are_left_out(spark):
+    bad = ["{" * n for n in (60, 150, 400)] + ["[" * 5000, '{"a":' * 5000 + "1" + "}" * 5000, '{"a": [[[[[[', "", "}", "\x00"]
+    assert leaves(spark, [{"a": 1}, *bad], lenient=True) == [("0", "a", "a", "1", "number")]
+
+
+def test_prints_tell_sets_of_leaves_apart(spark):
+    docs = [{"a": 1, "b": [2, {}]}, {"b": [2, {}], "a": 1}, {"a": 1, "b": [{}, 2]}, {"a": "1", "b": [2, {}]}, {"a": None}, {}, []]
+    rows = [(i, json.dumps(d)) for i, d in enumerate(docs)] + [(0, None), (7, '{"a": 1.0, "b": [2, {}]}')]
+    for depth in (None, 4):
+        found = {r["k"]: tuple(r["leaf_print"]) for r in leaf_prints(spark.createDataFrame(rows, "k int, payload string"), keys=("k",), max_depth=depth).collect()}
+        assert found[0] == found[1] == found[7] and len(set(found.values())) == 6 and len(found) == 8
