@@ -16,6 +16,7 @@ import re
 import uuid
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -39,34 +40,108 @@ def _is(value, kind: str) -> bool:
     return isinstance(value, _TYPES[kind]) or kind == "integer" and isinstance(value, float) and value.is_integer()
 
 
-def problems(value, schema: dict, at: str = "$") -> list[str]:
-    """What breaks the schema: type, enum, required, properties, additionalProperties, items, bounds, lengths, pattern."""
+#: Keywords that say something about values, and those that don't.
+_CHECKED = frozenset(
+    "type enum const required properties patternProperties additionalProperties minProperties maxProperties items minItems maxItems uniqueItems "
+    "minLength maxLength pattern minimum maximum exclusiveMinimum exclusiveMaximum multipleOf allOf anyOf oneOf not $ref".split()
+)
+_SILENT = frozenset("title description default examples format $schema $id $comment $defs definitions deprecated readOnly writeOnly".split())
+
+
+def _target(root, ref: str):
+    """What a reference within the schema points at."""
+    if not isinstance(ref, str) or not (ref == "#" or ref.startswith("#/")):
+        raise ValueError(f"reference out of the schema: {ref}")
+    found = root
+    for part in ref.split("/")[1:]:
+        part = part.replace("~1", "/").replace("~0", "~")
+        if not isinstance(found, dict) or part not in found:
+            raise ValueError(f"reference to nothing: {ref}")
+        found = found[part]
+    return found
+
+
+def check_schema(schema, root=None, at: str = "#", within: tuple = ()) -> None:
+    """Refuse, as a ValueError, a schema that ``problems`` would not apply in full: unknown keywords or types, bad patterns, references that lead nowhere or in a circle."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: neither an object nor a boolean")
+    if unknown := sorted(set(schema) - _CHECKED - _SILENT):
+        raise ValueError(f"{at}: unknown keywords {', '.join(unknown)}")
+    kinds = schema.get("type", [])
+    if not set([kinds] if isinstance(kinds, str) else kinds) <= set(_TYPES):
+        raise ValueError(f"{at}: unknown type {kinds}")
+    for pattern in (*([schema["pattern"]] if "pattern" in schema else []), *schema.get("patternProperties", {})):
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"{at}: bad pattern {pattern}: {e}") from None
+    # What applies to the same value leads on; it must not come back.
+    same = [*schema.get("allOf", []), *schema.get("anyOf", []), *schema.get("oneOf", []), *([schema["not"]] if "not" in schema else [])]
+    if "$ref" in schema:
+        if schema["$ref"] in within:
+            raise ValueError(f"{at}: reference in a circle: {schema['$ref']}")
+        check_schema(_target(root, schema["$ref"]), root, at, (*within, schema["$ref"]))
+    for part in same:
+        check_schema(part, root, at, within)
+    # A target's own parts are checked where it stands.
+    if not within:
+        parts = [(k, part) for name in ("properties", "patternProperties", "$defs", "definitions") for k, part in schema.get(name, {}).items()]
+        for name, part in [*parts, *((k, schema[k]) for k in ("items", "additionalProperties") if k in schema)]:
+            check_schema(part, root, f"{at}/{name}")
+
+
+def problems(value, schema, at: str = "$", root=None) -> list[str]:
+    """What breaks the schema, of the keywords that ``check_schema`` lets pass."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not expected"]
     kinds = schema.get("type", list(_TYPES))
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if not any(_is(value, k) for k in kinds):
         return [f"{at}: not {' or '.join(kinds)}"]
     found = []
-    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
+    same = canonical(value) if {"enum", "const"} & set(schema) else ""
+    if ("enum" in schema and same not in map(canonical, schema["enum"])) or ("const" in schema and same != canonical(schema["const"])):
         found.append(f"{at}: not one of the allowed values")
+    within = lambda n, least, most: schema.get(least, 0) <= n <= schema.get(most, math.inf)
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
         found += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        if not within(len(value), "minProperties", "maxProperties"):
+            found.append(f"{at}: number of members out of bounds")
         for k in sorted(value):
-            if k in known:
-                found += problems(value[k], known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties", True) is False:
-                found.append(f"{at}.{k}: not expected")
+            parts = [known[k]] if k in known else []
+            parts += [part for pattern, part in patterns.items() if re.search(pattern, k)]
+            for part in parts or [schema.get("additionalProperties", True)]:
+                found += problems(value[k], part, f"{at}.{k}", root)
     elif isinstance(value, list):
+        if not within(len(value), "minItems", "maxItems"):
+            found.append(f"{at}: number of items out of bounds")
+        if schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value):
+            found.append(f"{at}: repeated items")
         for k, item in enumerate(value):
-            found += problems(item, schema.get("items", {}), f"{at}[{k}]")
+            found += problems(item, schema.get("items", True), f"{at}[{k}]", root)
     elif isinstance(value, str):
-        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", math.inf):
+        if not within(len(value), "minLength", "maxLength"):
             found.append(f"{at}: length out of bounds")
         if "pattern" in schema and not re.search(schema["pattern"], value):
             found.append(f"{at}: does not match the pattern")
     elif isinstance(value, (int, float)) and not isinstance(value, bool):
-        if not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
+        above = schema.get("minimum", -math.inf) <= value and schema.get("exclusiveMinimum", -math.inf) < value
+        if not (above and value <= schema.get("maximum", math.inf) and value < schema.get("exclusiveMaximum", math.inf)):
             found.append(f"{at}: out of bounds")
+        if "multipleOf" in schema and Fraction(str(value)) % Fraction(str(schema["multipleOf"])):
+            found.append(f"{at}: not a multiple")
+    for part in [*schema.get("allOf", []), *([_target(root, schema["$ref"])] if "$ref" in schema else [])]:
+        found += problems(value, part, at, root)
+    fits = lambda name: sum(not problems(value, part, at, root) for part in schema[name])
+    if ("anyOf" in schema and not fits("anyOf")) or ("oneOf" in schema and fits("oneOf") != 1):
+        found.append(f"{at}: fits {'none' if 'anyOf' in schema else 'not just one'} of the alternatives")
+    if "not" in schema and not problems(value, schema["not"], at, root):
+        found.append(f"{at}: fits what it must not")
     return found
 
 
@@ -183,8 +258,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *
     (tool without schema), invalid (arguments that break it, or aren't JSON or can't be
     written as UTF-8), unanswered (no result), ok.  Arguments that aren't JSON stand in
     ``json`` as the text they are; null and empty ones are an empty object; texts of any
-    length stay whole.  Empty tables give no rows, and other columns are left out.
+    length stay whole.  Of a name that repeats within one object the last value counts.
+    Empty tables give no rows, and other columns are left out.  A schema that can't be
+    applied in full is refused before any job starts.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     named = lambda df: df.where("conv is not null and call is not null")
     calls = durable(
         named(calls)

@@ -94,6 +94,39 @@ CALLS = "conv long, turn long, call string, name string, arguments string, after
 TOOLS = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 0}, "b": {"type": "array", "items": {"type": "string"}}}, "additionalProperties": False}}
 
 
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"properties": {"a": True, "b": False}}, [{"a": [1]}, {}], [{"b": 1}]),
+        ({"additionalProperties": {"type": "string"}}, [{"x": "y"}], [{"x": 1}]),
+        ({"patternProperties": {"^n_": {"type": "integer"}}, "additionalProperties": False}, [{"n_a": 1}], [{"n_a": "1"}, {"m": 1}]),
+        ({"oneOf": [{"type": "integer"}, {"minimum": 2}]}, [1, 2.5], [3, 1.5]),
+        ({"anyOf": [{"type": "string"}, {"const": 7}]}, ["x", 7, 7.0], [8, None]),
+        ({"allOf": [{"minimum": 1}, {"maximum": 2}], "not": {"const": 1.5}}, [1, 2], [0, 3, 1.5]),
+        ({"exclusiveMinimum": 0, "exclusiveMaximum": 1, "multipleOf": 0.1}, [0.1, 0.9, 0.3], [0, 1, 0.25]),
+        ({"minItems": 1, "maxItems": 2, "uniqueItems": True, "items": {"$ref": "#/$defs/n"}, "$defs": {"n": {"type": "integer"}}}, [[1], [1, 2]], [[], [1, 2, 3], [1, 1.0], ["1"]]),
+        ({"minProperties": 1, "maxProperties": 1}, [{"a": 1}], [{}, {"a": 1, "b": 2}]),
+        ({"type": "object", "properties": {"next": {"$ref": "#"}}, "required": ["v"]}, [{"v": 1, "next": {"v": 2}}], [{"v": 1, "next": {}}]),
+        (True, [1, None], []), (False, [], [1, None]),
+    ],
+)
+def test_all_keywords_of_a_schema_count(schema, good, bad):
+    tool_calls.check_schema(schema)
+    assert [v for v in good if tool_calls.problems(v, schema)] == [] == [v for v in bad if not tool_calls.problems(v, schema)]
+
+
+@pytest.mark.parametrize(
+    "schema",
+    [
+        {"pattern": "("}, {"properties": {"a": {"if": {}}}}, {"$ref": "#/$defs/none"}, {"$ref": "http://elsewhere"}, {"$ref": "#"}, {"type": "text"}, {"items": 3},
+        {"$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"allOf": [{"$ref": "#/$defs/a"}]}}, "$ref": "#/$defs/a"}, {"patternProperties": {"[": True}}, {"oneOf": [{"contains": {}}]},
+    ],
+)
+def test_schemas_that_cannot_be_applied_are_refused(schema):
+    with pytest.raises(ValueError):
+        tool_calls.check_schema(schema)
+
+
 def test_schema_check():
     assert tool_calls.problems({"a": 1, "b": ["x"]}, TOOLS["add"]) == []
     assert tool_calls.problems({"a": True}, TOOLS["add"]) == ["$.a: not integer"]
