@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordprofile.functions import paths, values
+from recordprofile.functions import leaves, paths, values
 from recordprofile.operators import filters, history, profile, rundiff, scope, sql
 from recordprofile.operators.flatten import flatten_leaves
 from recordprofile.plans import fixtures as fx
@@ -151,6 +151,14 @@ def _(spark, sf_dir):
     return eav.groupBy("path", "value_type").agg(F.count(F.lit(1)).alias("leaves"), F.count_distinct("record_id").alias("records"))
 
 
+@query("flatten_sql", "SELECT * FROM eav")
+def _(spark, sf_dir):
+    """The leaves by a table function in SQL."""
+    leaves.register_json_leaves(spark)
+    current = vs.current_records(fx.versions(spark, sf_dir)).where("payload is not null").withColumn("version_key", values.version_key())
+    return spark.sql("SELECT d.version_key, l.* FROM {docs} d, LATERAL json_leaves(d.payload) l", docs=current.select("version_key", "payload"))
+
+
 @query("flatten_any_depth_orders", "SELECT path, value_type, count(*) AS leaves, min(value) AS least, max(value) AS most FROM eav GROUP BY ALL", fx.ORDERS_SQL)
 def _(spark, sf_dir):
     """The same as flatten_order_docs without a stated depth."""

@@ -58,6 +58,24 @@ def test_random(spark, docs):
     assert leaves(spark, docs) == expected(docs)
 
 
+def test_table_function_has_the_same_leaves(spark):
+    from recordprofile.functions.leaves import register_json_leaves
+
+    register_json_leaves(spark)
+    texts = [
+        json.dumps(SAMPLE), "{}", "[]", "[1, {\"a\": [[]]}]", "5", '"x"', "null", '{"a": 1, "a": 2}', '{"n": [1.0, -0, 0.0, 10, 1e3, 1E-7, 2.5e10, 123456789.125, -1.50, 0.00001, 12345678901234567890123456789012345678901, 1e7, 100.0]}',
+        '{"d": ' * 150 + "[]" + "}" * 150,
+    ]
+    frame = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("z", None)], "version_key string, payload string")
+    shown = lambda df: sorted((r["version_key"], r["path"], r["path_indexed"], r["value"] or "", r["value_type"]) for r in df.collect())
+    by_sql = lambda df, more="": spark.sql(f"SELECT d.version_key, l.* FROM {{df}} d, LATERAL json_leaves(d.payload{more}) l", df=df)
+    assert shown(by_sql(frame)) == shown(flatten_leaves(frame))
+    bad = spark.createDataFrame([("a", '{"x": 1}'), ("b", "{" * 60), ("c", "[1]"), ("d", "{not json"), ("e", "3")], "version_key string, payload string")
+    assert shown(by_sql(bad, ", true")) == shown(flatten_leaves(bad, lenient=True)) == [("a", "x", "x", "1", "number")]
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        by_sql(bad).collect()
+
+
 def test_excluded_fields(spark):
     docs = [{"keep": 1, "drop": {"a": [1]}}, {"drop": 1}, {"x": {"drop": 2}}, {"drop.a": 3, "drop": 4}]
     want = [{"keep": 1}, {}, {"x": {"drop": 2}}, {"drop.a": 3}]
