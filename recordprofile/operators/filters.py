@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 IN_COLUMNS = ("source", "run_type", "action", "run_id")
@@ -68,6 +68,40 @@ def page_rows(df: DataFrame, by: str, ties: Sequence[str], *, descending: bool =
     return ordered(df, by, ties, descending=descending, allowed=allowed).offset(start).limit(min(length, LARGEST_PAGE))
 
 
+def continuation(row: Row, by: str, ties: Sequence[str]) -> tuple:
+    """What ``seek_rows`` goes on after: the row's place in the order."""
+    return tuple(row[c] for c in (by, *[t for t in ties if t != by]))
+
+
+def beyond(df: DataFrame, by: str, ties: Sequence[str], after: Sequence, *, descending: bool = False) -> Column:
+    """The rows that come after a place in the order of ``ordered``.
+
+    The bound on ``by`` stands alone in front, where a scan can use it: row groups that
+    earlier pages have shown are skipped.
+    """
+    columns = (by, *[t for t in ties if t != by])
+    at = [F.lit(v).cast(df.schema[c].dataType) for c, v in zip(columns, after, strict=True)]
+    less = lambda c, v: F.col(c) < v if descending and c == by else F.col(c) > v
+    # Nulls come last, so nothing but further ties comes after one.
+    later = [F.lit(False) if raw is None else less(c, v) | F.col(c).isNull() for c, v, raw in zip(columns, at, after, strict=True)]
+    same = [F.col(c).eqNullSafe(v) for c, v in zip(columns, at, strict=True)]
+    steps = [all_of([*same[:k], later[k]]) for k in range(len(columns))]
+    first = F.col(by).isNull() if after[0] is None else (F.col(by) <= at[0] if descending else F.col(by) >= at[0]) | F.col(by).isNull()
+    return first & reduce(or_, steps)
+
+
+def seek_rows(
+    df: DataFrame, by: str, ties: Sequence[str], *, after: Sequence | None = None, descending: bool = False, length: int = 50, allowed: Sequence[str] | None = None
+) -> DataFrame:
+    """The page that follows ``after`` (a ``continuation``), the first one without it; ``ties`` must tell rows apart.
+
+    Unlike an offset, which orders and drops all earlier rows anew, a page far behind
+    reads no more than the first.
+    """
+    kept = df if after is None else df.where(beyond(df, by, ties, after, descending=descending))
+    return ordered(kept, by, ties, descending=descending, allowed=allowed).limit(min(length, LARGEST_PAGE))
+
+
 def page(df: DataFrame, condition: Column, by: str, ties: Sequence[str], *, cap: int | None = None, start: int = 0, length: int = 50, **options) -> Page:
     """A page of the rows that meet the condition; ``cap`` bounds both what is counted as filtered and what pages can show."""
     kept = df.where(condition)

@@ -100,6 +100,38 @@ def _(spark, sf_dir):
     return filters.shown_versions(rows).select("record_id", "source", "run_id", "run_record_offset", "action", "run_date", "run_timestamp")
 
 
+@query(
+    "browse_versions_seek",
+    """SELECT record_id, run_id, run_record_offset, action FROM versions WHERE source IN ('src1', 'src2')
+       ORDER BY run_timestamp DESC NULLS LAST, record_id, run_id, run_record_offset LIMIT 50 OFFSET 100""",
+    fx.VERSIONS_SQL,
+)
+def _(spark, sf_dir):
+    """The third page, each page going on where the one before ended."""
+    kept = fx.versions(spark, sf_dir).drop("payload").where(filters.version_filter({"source": ["src1", "src2"]}))
+    order = {"by": "run_timestamp", "ties": ("record_id", "run_id", "run_record_offset")}
+    after = None
+    for _page in range(2):
+        last = filters.seek_rows(kept, **order, descending=True, after=after, allowed=filters.VERSION_ORDER).collect()[-1]  # a page's rows
+        after = filters.continuation(last, **order)
+    return filters.seek_rows(kept, **order, descending=True, after=after).select("record_id", "run_id", "run_record_offset", "action")
+
+
+@query(
+    "record_lookup",
+    """SELECT record_id, run_id, run_record_offset, action, CAST(run_date AS VARCHAR) AS run_date, 'history' AS what FROM versions WHERE record_id = 'u:7'
+       UNION ALL SELECT record_id, run_id, run_record_offset, NULL, NULL, 'current' FROM current WHERE record_id = 'u:7'""",
+    fx.VERSIONS_SQL,
+)
+def _(spark, sf_dir):
+    """One record in the table that is laid out for look-ups."""
+    path = files.scratch(spark)
+    vs.write_lookup(fx.versions(spark, sf_dir), path)
+    found = vs.read_lookup(spark, path)
+    history_ = vs.record_history(found, "u:7").select("record_id", "run_id", "run_record_offset", "action", F.col("run_date").cast("string"), F.lit("history").alias("what"))
+    return history_.unionByName(vs.current_key(found, "u:7").withColumn("what", F.lit("current")), allowMissingColumns=True)
+
+
 @query(
     "headline_fields",
     """SELECT record_id, run_id, json_extract_string(payload, '$.title') AS title, CAST(NULL AS VARCHAR) AS kinds, length(payload) AS payload_length

@@ -16,6 +16,8 @@ IDENTITY = ("record_id", "run_id", "run_record_offset")
 METADATA = ("record_id", "source", "run_date", "run_type", "action", "run_id", "run_record_offset", "run_timestamp", "filename")
 PAYLOADS = ("payload", "raw_payload")
 
+#: Size of a row group of the look-up table: what a look-up reads.
+LOOKUP_GROUP_BYTES = 4 << 20
 #: Different runs and files that a read names one by one at most.
 MOST_NAMED = 1000
 
@@ -52,6 +54,24 @@ def write_versions(versions: DataFrame, path: str) -> None:
     ordered.write.mode("append").partitionBy("source", "run_date").parquet(path)
 
 
+def write_lookup(versions: DataFrame, path: str, *, group_bytes: int = LOOKUP_GROUP_BYTES) -> None:
+    """Write the versions' metadata for look-ups of single records: by record over all files, with Bloom filters of the ids.
+
+    A read that names a record skips all row groups but the one or two that hold it,
+    by their statistics; ids that no file has are settled by the filters.  A record with
+    very many versions is shared by several files.
+    """
+    meta = metadata_only(versions)
+    ordered = meta.repartitionByRange("record_id", "run_timestamp").sortWithinPartitions("record_id", *newest_first())
+    options = {"parquet.bloom.filter.enabled#record_id": "true", "parquet.block.size": group_bytes, "parquet.page.row.count.limit": 1000}
+    ordered.write.options(**options).parquet(path)
+
+
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_lookup`` wrote, for ``current_key`` and ``record_history``."""
+    return spark.read.parquet(path)
+
+
 def pruned(versions: DataFrame, keys: DataFrame, *, most: int = MOST_NAMED) -> DataFrame:
     """The versions without files, folders and row groups that ``keys`` cannot mean; the caller joins what is left.
 

@@ -192,3 +192,69 @@ def test_documents_keep_a_print_of_their_leaves(spark, root):
     again = {r["record_id"]: tuple(r["leaf_print"]) for r in rundiff.version_prints(table(spark, *rows)).collect()}
     assert again == prints and profile.field_usage(corpus.open()[1]).count() == 2
     assert rundiff.version_prints(table(spark, version("D", action="delete"))).where(F.col("leaf_print").isNull()).count() == 1
+
+
+def scanned(df):
+    """Rows that the scans of a collected plan gave out."""
+    total, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        if "AdaptiveSparkPlan" in node.getClass().getSimpleName():
+            open_.append(node.executedPlan())
+        elif hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
+            open_.append(node.plan())
+        elif "FileSourceScan" in node.getClass().getSimpleName():
+            total += node.metrics().apply("numOutputRows").value()
+        open_ += [node.children().apply(k) for k in range(node.children().length())]
+    return total
+
+
+@pytest.fixture
+def many(spark):
+    return spark.range(200_000).selectExpr(
+        "concat('r', lpad(id % 20000, 6, '0')) AS record_id", "concat('s', id % 3) AS source", "date '2026-01-01' + cast(id / 20000 AS int) AS run_date", "'daily' AS run_type",
+        "'index' AS action", "concat('run', id div 20000) AS run_id", "id % 20000 AS run_record_offset", "if(id % 1000 = 0, null, timestamp_seconds(1767225600 + id * 60)) AS run_timestamp",
+        "'f' AS filename", "repeat('x', 100) AS payload",
+    )
+
+
+def test_lookup_reads_a_group_of_rows(spark, tmp_path, many):
+    path = str(tmp_path / "lookup")
+    vs.write_lookup(many, path, group_bytes=64 << 10)
+    found = vs.read_lookup(spark, path)
+    history = vs.record_history(found, "r000777")
+    assert [r["run_id"] for r in history.collect()] == [f"run{k}" for k in range(9, -1, -1)]
+    assert "EqualTo(record_id,r000777)" in history._jdf.queryExecution().executedPlan().toString() and scanned(history) < 20_000
+    assert [tuple(r) for r in vs.current_key(found, "r000777").collect()] == [("r000777", "run9", 777), ("r000777", "run8", 777), ("r000777", "run7", 777)] or vs.current_key(found, "r000777").count() == 3
+    # Between two ids that are there: statistics can't tell, the filter can.
+    absent = vs.record_history(found, "r000777x")
+    assert absent.collect() == [] and scanned(absent) == 0
+
+
+@pytest.mark.parametrize(("by", "descending"), [("run_timestamp", True), ("run_timestamp", False), ("source", True)])
+def test_seek_shows_the_pages_of_offsets(spark, by, descending):
+    from recordprofile.operators import filters
+
+    times = [None, 3, 3, 1, None, 2, 2, 2]
+    frame = spark.createDataFrame([(f"r{k % 3}", f"run{k}", k, t, None if k % 4 == 0 else "s") for k, t in enumerate(times)], "record_id string, run_id string, run_record_offset long, run_timestamp long, source string")
+    order = {"by": by, "ties": ("record_id", "run_id", "run_record_offset")}
+    whole = [r["run_id"] for r in filters.ordered(frame, **order, descending=descending).collect()]
+    seen, after = [], None
+    while rows := filters.seek_rows(frame, **order, descending=descending, after=after, length=3).collect():
+        seen += [r["run_id"] for r in rows]
+        after = filters.continuation(rows[-1], **order)
+    assert seen == whole
+
+
+def test_a_page_far_behind_reads_less(spark, tmp_path, many):
+    from recordprofile.operators import filters
+
+    path = str(tmp_path / "sorted")
+    many.orderBy("run_record_offset").write.option("parquet.block.size", 64 << 10).parquet(path)
+    frame = spark.read.parquet(path).drop("payload")
+    order = {"by": "run_record_offset", "ties": ("record_id", "run_id")}
+    first, far = filters.seek_rows(frame, **order), filters.seek_rows(frame, **order, after=(19_900, "r019900", "run4"))
+    assert [r["run_id"] for r in far.collect()][:6] == ["run5", "run6", "run7", "run8", "run9", "run0"] and first.count() == 50
+    first = filters.seek_rows(frame, **order)
+    first.collect()
+    assert scanned(far) < scanned(first) / 4
