@@ -19,9 +19,13 @@ from array import array
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 2
-#: From so much white space at a stretch on, a text takes the defining form.
-LONG_RUN = 10_000
-_long_run = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}").search
+#: A text with a block of so much white space takes the defining form; a run of twice as much holds one.
+BLANK_BLOCK = 5000
+
+
+def _has_blank_block(text: str) -> bool:
+    """Looks at the first character that isn't white space of each block, so at few."""
+    return any(text[k : k + BLANK_BLOCK].isspace() for k in range(0, len(text) - BLANK_BLOCK + 1, BLANK_BLOCK))
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -48,7 +52,7 @@ class Bpe:
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if self._other(text) or (len(text) >= LONG_RUN and _long_run(text)):
+        if self._other(text) or _has_blank_block(text):
             return self._tokenizer.encode(text, add_special_tokens=False).ids
         return self._ranked(text)
 
