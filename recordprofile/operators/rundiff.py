@@ -57,7 +57,8 @@ def run_keys(versions: DataFrame, run_id: str) -> DataFrame:
     before the run's last timestamp, with their actions; ``old`` is null if there is none.
     """
     meta = metadata_only(versions)
-    run = meta.where(F.col("run_id") == run_id)
+    # The run's own rows are read once; they serve three times.
+    run = files.settled(meta.where(F.col("run_id") == run_id))
     # One row; as a literal it reaches the scan of the earlier versions.
     end = run.agg(F.unix_micros(F.max("run_timestamp"))).first()[0]
     row = F.struct(*ROW, "action")
