@@ -103,14 +103,18 @@ def schema_overview(docs: DataFrame, eav: DataFrame) -> DataFrame:
     all else follows.  Where some documents have an array, only array elements tell a
     field's type, values and contents; plain ones count in the numbers of elements.
     """
-    # As many rows as there are different paths.
-    paths = eav.select("path").distinct()
-    fields = classified_fields(paths)
     # Two levels of groups, as a field may have any number of values.
     things = field_elements(eav).groupBy("field", "is_item", "value", "h", "g").agg(
         F.count("n").alias("docs"), F.min("n").alias("low"), F.max("n").alias("high"), F.sum("n").alias("all"),
         *[F.count_if(F.col("kind") == t).alias(f"of_{t}") for t in LEAF_TYPES],
     )
+    return overview(eav.select("path").distinct(), things, _single(docs, "total"))
+
+
+def overview(paths: DataFrame, things: DataFrame, total: DataFrame) -> DataFrame:
+    """``schema_overview`` from the different paths, the different elements of fields with their counts, and one row with the number of documents."""
+    # As many rows as there are different paths.
+    fields = classified_fields(paths)
     some = lambda c: F.when(F.col("is_item"), c), lambda c: F.when(~F.col("is_item"), c)
     counts = things.groupBy("field").agg(
         F.sum("docs").alias("doc_count"), F.min("low").alias("count_min"), mean(F.sum("all"), F.sum("docs")).alias("count_avg"), F.max("high").alias("count_max"),
@@ -123,7 +127,6 @@ def schema_overview(docs: DataFrame, eav: DataFrame) -> DataFrame:
     )
     chosen = lambda name: F.when(F.col("is_array"), F.col(f"{name}_items")).otherwise(F.col(f"{name}_plain"))
     most = F.greatest(*[F.struct(F.coalesce(chosen(t), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(LEAF_TYPES)])
-    total = _single(docs, "total")
     shown = F.when(F.col("is_complex"), F.lit("object")).otherwise(display_type(F.when(most["n"] > 0, most["t"])))
     return (
         fields.join(counts, "field").join(field_members(paths, fields), "field", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordprofile.functions import leaves, paths, values
-from recordprofile.operators import filters, history, profile, rundiff, scope, sql
+from recordprofile.operators import filters, history, profile, rundiff, scope, sketches, sql
 from recordprofile.operators.flatten import flatten_leaves
 from recordprofile.plans import fixtures as fx
 from recordprofile.sources import corpus, export, files, versions as vs
@@ -633,6 +633,22 @@ def _(spark, sf_dir):
     return profile.record_page(counts, term="1", by="value_count", descending=True, start=5, length=30).rows
 
 
+@query(
+    "sketches_in_bounds",
+    "SELECT path, count(*) AS leaves, true AS documents_near, true AS values_near, true AS median_near FROM eav GROUP BY 1",
+)
+def _(spark, sf_dir):
+    """Whether the estimates of each path, merged from sketches by source, lie within four standard errors of the exact numbers."""
+    docs, eav = user_corpus(spark, sf_dir)
+    sourced = eav.join(docs.select("version_key", "source"), "version_key")
+    found = sketches.estimates(sketches.merge_sketches(sketches.path_sketches(sourced, "source")), (0.45, 0.55))
+    number = F.when(F.col("value_type") == "number", F.col("value").cast("double"))
+    exact = eav.groupBy("path").agg(F.count_distinct("version_key").alias("d"), F.count_distinct("value").alias("v"), F.percentile(number, 0.5).alias("median"))
+    near = lambda estimate, n: F.abs(F.col(estimate) - F.col(n)) <= F.greatest(F.lit(1), F.col(n) * 0.065)
+    between = F.coalesce(F.col("median").between(F.col("quantiles")[0], F.col("quantiles")[1]), F.col("median").isNull())
+    return found.join(exact, "path").select("path", "leaves", near("documents", "d").alias("documents_near"), near("different_values", "v").alias("values_near"), between.alias("median_near"))
+
+
 # Corpus
 
 DAYS_SQL = ", ".join(
@@ -749,6 +765,18 @@ def _(spark, sf_dir):
     return made.field_usage_report(SCOPE)
 
 
+@query("corpus_updated_report", "", OF_NEW + OVERVIEW_SQL)
+def _(spark, sf_dir):
+    """The whole corpus's report, added up from what the build and the update changed."""
+    return built_corpus(spark, sf_dir, OLD_DAY, NEW_DAY).field_usage_report()
+
+
+@query("corpus_returned_report", "", OF_OLD + OVERVIEW_SQL)
+def _(spark, sf_dir):
+    """The report after an update and one that takes it back."""
+    return built_corpus(spark, sf_dir, OLD_DAY, NEW_DAY, OLD_DAY).field_usage_report()
+
+
 # Run diff
 
 DIFF_SQL = f"""{fx.VERSIONS_SQL},

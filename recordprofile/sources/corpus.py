@@ -2,12 +2,15 @@
 
     docs/<id>            one row per document, with the part, number and fingerprint of its leaves; rewritten by each update (narrow)
     eav/part=<id>        leaves; each build or update only adds the part it flattened
+    tallies/<id>         what a build or update changed in the counts of the whole corpus's report
     manifests/<n>.json   version n: what is published; the highest number counts
     reports/<n>/...      field reports of version n by scope, kept where they can be written
 
 A document names the part that holds its leaves, so the live leaves are those whose
 (version key, part) is a document's: deletes cost nothing in eav, and a key that
-comes back does not meet its old leaves.
+comes back does not meet its old leaves.  The whole corpus's report adds up the tallies
+of what came and what went, so an update profiles the part it flattened and the leaves
+of the documents that go, and no others.
 
 Folders have ids of their own, so a writer that fails or dies leaves nothing that
 another one could meet.  Version n + 1 is published by creating its manifest, which
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordprofile.functions.values import naive_utc, run_day, version_key
-from recordprofile.operators import profile
+from recordprofile.operators import profile, tallies
 from recordprofile.operators.flatten import flatten_leaves, leaf_print
 from recordprofile.operators.scope import EMPTY, Scope, scoped
 from recordprofile.sources import files
@@ -62,6 +65,7 @@ class Manifest:
     dead: bool = False
     stale: bool = False
     excluded_fields: list[str] = field(default_factory=list)
+    tallies: list[str] = field(default_factory=list)
 
 
 class Conflict(RuntimeError):
@@ -93,7 +97,7 @@ class Corpus:
     def meta(self) -> dict:
         """The published counts and times; empty if there is no corpus."""
         found = self.manifest()
-        return {k: v for k, v in asdict(found).items() if k not in ("parts", "dead", "snapshot")} if found else {}
+        return {k: v for k, v in asdict(found).items() if k not in ("parts", "dead", "snapshot", "tallies")} if found else {}
 
     def meta_row(self) -> DataFrame:
         """``meta`` as a one-row DataFrame, for SQL."""
@@ -135,6 +139,29 @@ class Corpus:
     def _part(self, part: str) -> DataFrame:
         return self.spark.read.schema(LEAF_SCHEMA).parquet(f"{self.root}/eav").where(F.col("part") == part)
 
+    def _tally(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/tallies/{name}")
+        return name
+
+    def _tallies(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(tallies.TALLY_SCHEMA).parquet(*[f"{self.root}/tallies/{n}" for n in names])
+
+    def _change(self, old: Manifest, part: str, written: DataFrame, gone: int) -> list[str]:
+        """The tallies after an update: the old ones and that of what came in a part and what is no longer written; merged past MOST_PARTS.
+
+        None where the old version kept none; then the report profiles all leaves until a build or compaction.
+        """
+        if not old.tallies:
+            return []
+        changed = tallies.tally(self._part(part))
+        if gone:
+            left = self._docs(old).select("version_key", "part").join(written.select("version_key", "part"), ["version_key", "part"], "left_anti")
+            leaves = self.spark.read.schema(LEAF_SCHEMA).parquet(f"{self.root}/eav").where(F.col("part").isin(old.parts))
+            changed = changed.unionByName(tallies.taken_off(tallies.tally(leaves.join(left, ["version_key", "part"], "left_semi"))))
+        found = [*old.tallies, self._tally(changed)]
+        return found if len(found) <= MOST_PARTS else [self._tally(tallies.merged(self._tallies(found)))]
+
     def _counted(self, manifest: dict) -> Manifest:
         """The manifest with the counts of its documents, which know the number of their leaves."""
         docs = self.spark.read.parquet(f"{self.root}/docs/{manifest['snapshot']}")
@@ -163,10 +190,10 @@ class Corpus:
         has = F.coalesce((F.col("payload").isNotNull() & (F.col("payload") != "")), F.lit(False))
         snapshot, seen = uuid.uuid4().hex, Observation()
         current = current.observe(seen, F.count_if(~has).alias("skipped"))
-        _part, docs = self._add(current.where(has), excluded)
+        part, docs = self._add(current.where(has), excluded)
         docs.write.parquet(f"{self.root}/docs/{snapshot}")
-        now, number = _now(), old.version + 1 if old else 1
-        return self._publish(self._counted(asdict(Manifest(number, snapshot, [], now, now, location, 0, 0, seen.get["skipped"], 0, excluded_fields=excluded))))
+        now, number, tallied = _now(), old.version + 1 if old else 1, self._tally(tallies.tally(self._part(part)))
+        return self._publish(self._counted(asdict(Manifest(number, snapshot, [], now, now, location, 0, 0, seen.get["skipped"], 0, excluded_fields=excluded, tallies=[tallied]))))
 
     def update(self, versions: DataFrame | str) -> Manifest:
         """Bring the corpus in step with the current records, reading payloads only of current records with new keys.
@@ -195,7 +222,8 @@ class Corpus:
         kept.select(*DOC_COLUMNS, *KEPT).unionByName(new).write.parquet(f"{self.root}/docs/{snapshot}")
         written = self.spark.read.parquet(f"{self.root}/docs/{snapshot}")
         gone = old.doc_count - written.where(F.col("part") != part).count()
-        found = self._counted(asdict(old) | {"version": old.version + 1, "snapshot": snapshot, "updated_at": _now(), "dead": old.dead or gone > 0, "stale": False})
+        changes = {"version": old.version + 1, "snapshot": snapshot, "updated_at": _now(), "dead": old.dead or gone > 0, "stale": False}
+        found = self._counted(asdict(old) | changes | {"tallies": self._change(old, part, written, gone)})
         return self._compacted(found, found.version) if len(found.parts) > MOST_PARTS else self._publish(found)
 
     def compact(self) -> Manifest:
@@ -207,7 +235,8 @@ class Corpus:
         part, snapshot = uuid.uuid4().hex, uuid.uuid4().hex
         self._live(old).sortWithinPartitions("path").write.parquet(f"{self.root}/eav/part={part}")
         self._docs(old).withColumn("part", F.lit(part)).write.parquet(f"{self.root}/docs/{snapshot}")
-        return self._publish(Manifest(**asdict(old) | {"version": number, "snapshot": snapshot, "parts": [part], "updated_at": _now(), "dead": False}))
+        summed = tallies.merged(self._tallies(old.tallies)) if old.tallies else tallies.tally(self._part(part))
+        return self._publish(Manifest(**asdict(old) | {"version": number, "snapshot": snapshot, "parts": [part], "updated_at": _now(), "dead": False, "tallies": [self._tally(summed)]}))
 
     def vacuum(self) -> None:
         """Remove what the published version does not use, also what dead writers left; readers of an older one lose it.
@@ -215,7 +244,7 @@ class Corpus:
         To be called while nobody writes: a writer's folders are in no manifest yet.
         """
         found = self.manifest()
-        keep = {"docs": {found.snapshot}, "reports": {str(found.version)}, "eav": {f"part={p}" for p in found.parts}, "manifests": {f"{found.version}.json"}}
+        keep = {"docs": {found.snapshot}, "reports": {str(found.version)}, "eav": {f"part={p}" for p in found.parts}, "tallies": set(found.tallies), "manifests": {f"{found.version}.json"}}
         for folder, names in keep.items():
             for name in set(files.names(self.spark, f"{self.root}/{folder}")) - names:
                 files.remove(self.spark, f"{self.root}/{folder}/{name}")
@@ -233,8 +262,10 @@ class Corpus:
     def _report(self, found: Manifest, scope: Scope) -> DataFrame:
         name = hashlib.sha256(scope.key().encode()).hexdigest() if scope.key() else "whole"
         path = f"{self.root}/reports/{found.version}/{name}"
-        docs, eav = scoped(self._docs(found).drop(*KEPT), self._live(found), scope)
-        report = profile.schema_overview(docs, eav)
+        if found.tallies and not scope.key():
+            report = tallies.report(tallies.merged(self._tallies(found.tallies)), found.doc_count)
+        else:
+            report = profile.schema_overview(*scoped(self._docs(found).drop(*KEPT), self._live(found), scope))
         try:
             if not files.exists(self.spark, f"{path}/_SUCCESS"):
                 aside = f"{self.root}/reports/{found.version}/.{uuid.uuid4().hex}"

@@ -1,13 +1,17 @@
 """Commit protocol of the corpus, and reads that touch no more files than they need."""
 
 import glob
+import json
 import os
 import re
+from dataclasses import asdict
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 
-from recordprofile.operators import profile, rundiff
+from recordprofile.operators import profile, rundiff, sketches, tallies
+from recordprofile.operators.scope import EMPTY
 from recordprofile.sources import corpus as corpus_module, files, versions as vs
 from recordprofile.sources.corpus import Conflict, Corpus
 from recordprofile.streaming.incremental import follow_versions
@@ -258,3 +262,65 @@ def test_a_page_far_behind_reads_less(spark, tmp_path, many):
     first = filters.seek_rows(frame, **order)
     first.collect()
     assert scanned(far) < scanned(first) / 4
+
+
+def test_report_adds_up_over_updates(spark, root, monkeypatch):
+    corpus, random = Corpus(spark, root), Random(7)
+    payload = lambda k: json.dumps({"id": k, "tags": [{"t": str(random.randrange(4))} for _ in range(random.randrange(4))], "some": random.choice([1, "1", None, True, [], {}, [1, 2], ["x"]])})
+    live = {f"R{k}": version(f"R{k}", offset=k, payload=payload(k)) for k in range(12)}
+    corpus.build(table(spark, *live.values()))
+    kept = Corpus._report
+    monkeypatch.setattr(Corpus, "_report", lambda *_: None)  # nobody reads the reports in between
+    for step in range(10):
+        run = f"run{step + 2}"
+        for key in random.sample(sorted(live), 3):
+            live[key] = version(key, run, random.randrange(99), payload=payload(step))
+        live[f"N{step}"] = version(f"N{step}", run, 100, payload=payload(step))
+        del live[random.choice(sorted(live))]
+        found = corpus.update(table(spark, *live.values()))
+        if step == 4:
+            corpus.vacuum()
+    monkeypatch.setattr(Corpus, "_report", kept)
+    report = corpus.field_usage_report()
+    assert len(found.tallies) == 11 and report.collect() == profile.schema_overview(*corpus.open()).collect()
+    assert corpus._report(found, EMPTY).schema == report.schema and found.doc_count == len(live)
+    summed = tallies.merged(corpus._tallies(found.tallies))
+    assert all("/tallies/" in f for f in tallies.report(summed, found.doc_count).inputFiles()) and summed.where("times < 0").isEmpty()
+    small = corpus.compact()
+    assert len(small.tallies) == 1 and corpus.field_usage_report().collect() == report.collect()
+    corpus.update(table(spark))
+    assert corpus.field_usage_report().count() == 0 and corpus.update(table(spark, *live.values())).doc_count == len(live)
+    assert corpus.field_usage_report().collect() == report.collect()
+
+
+def test_many_tallies_become_one(spark, root, monkeypatch):
+    corpus = Corpus(spark, root)
+    monkeypatch.setattr(corpus_module, "MOST_PARTS", 2)
+    rows = [version(c, offset=k) for k, c in enumerate("ABCDE")]
+    corpus.build(table(spark, rows[0]))
+    sizes = [len(corpus.update(table(spark, *rows[: k + 2])).tallies) for k in range(4)]
+    assert max(sizes) <= 2 and {r["field"]: r["doc_count"] for r in corpus.field_usage_report().collect()} == {"title": 5, "id": 5}
+
+
+def test_a_version_without_tallies_still_reports(spark, root):
+    corpus = Corpus(spark, root)
+    first = corpus.build(table(spark, version("A")))
+    files.write_text(spark, f"{root}/manifests/1.json", json.dumps({k: v for k, v in asdict(first).items() if k != "tallies"}))
+    assert corpus.update(table(spark, version("A"), version("B", offset=1))).tallies == []
+    assert {r["field"]: r["doc_count"] for r in corpus.field_usage_report().collect()} == {"title": 2, "id": 2}
+    assert len(corpus.compact().tallies) == 1 and corpus.field_usage_report().count() == 2
+
+
+def test_sketches_are_near_and_merge(spark):
+    n = 20_000
+    eav = spark.range(n).selectExpr(
+        "concat('d', id) AS version_key", "'x' AS path", "'x' AS path_indexed", "CAST(id % 5000 AS string) AS value", "'number' AS value_type", "id % 7 AS day",
+    )
+    text = eav.limit(0).union(spark.sql("SELECT 'd1', 't', 't', CAST(NULL AS string), 'null', 1L"))
+    parts = sketches.path_sketches(eav.union(text), "day")
+    found = {r["path"]: r for r in sketches.estimates(sketches.merge_sketches(parts), (0.1, 0.5, 0.9)).collect()}
+    x = found["x"]
+    assert x["leaves"] == n and abs(x["documents"] - n) < 0.065 * n and abs(x["different_values"] - 5000) < 0.065 * 5000
+    assert all(abs(v - q * 5000) < 0.03 * 5000 for v, q in zip(x["quantiles"], (0.1, 0.5, 0.9), strict=True))
+    assert (found["t"]["leaves"], found["t"]["documents"], found["t"]["different_values"], found["t"]["quantiles"]) == (1, 1, 0, None)
+    assert sketches.estimates(sketches.merge_sketches(sketches.path_sketches(eav.limit(0)))).count() == 0
