@@ -171,6 +171,18 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame, *, bits_per_key: int =
     places a key) is broadcast in segments and has ``max_bits`` at most; with more keys
     than these serve, more rows pass, and none is lost at any size.
     """
+    met, passes = _with_bloom(rows, key, wanted, "inner", bits_per_key, max_bits)
+    return met.where(passes).select(rows.columns)
+
+
+def bloom_marked(rows: DataFrame, key: str, wanted: DataFrame, into: str, *, bits_per_key: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+    """``rows`` with ``into``: whether ``sifted`` would let them pass."""
+    met, passes = _with_bloom(rows, key, wanted, "left", bits_per_key, max_bits)
+    return met.select(*rows.columns, F.coalesce(passes, F.lit(False)).alias(into))
+
+
+def _with_bloom(rows: DataFrame, key: str, wanted: DataFrame, how: str, bits_per_key: int, max_bits: int) -> tuple[DataFrame, Column]:
+    """``rows`` joined with their segment of the filter of ``wanted``, and whether both bits of the key are set there."""
     most = max(1, max_bits // SEGMENT_BITS)
     segments = 1 << min(most.bit_length() - 1, max(0, (wanted.count() * bits_per_key // SEGMENT_BITS).bit_length()))
     h, segment, bits = (free_name(rows, n) for n in ("__h", "__segment", "__bits"))
@@ -180,8 +192,7 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame, *, bits_per_key: int =
     filters = places.groupBy(segment).agg(F.bitmap_construct_agg("at").alias(bits))
     tested = rows.withColumn(h, F.xxhash64(F.lit(_SIFT), F.col(key))).withColumn(segment, F.col(h).bitwiseAND(segments - 1))
     # max_bits at most.
-    met = tested.join(F.broadcast(filters), segment).where(bit_at(F.col(bits), place(h, 33)) & bit_at(F.col(bits), place(h, 48)))
-    return met.select(rows.columns)
+    return tested.join(F.broadcast(filters), segment, how), bit_at(F.col(bits), place(h, 33)) & bit_at(F.col(bits), place(h, 48))
 
 
 def utf8_bytes(text: Column) -> Column:

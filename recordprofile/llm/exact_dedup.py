@@ -9,15 +9,16 @@ only rows that pass are grouped (id and hash shuffle, with what columns the call
 asks for); all others go straight through.
 
 The filter is broadcast.  It has ``bits_per_row`` bits a row, and never more than
-``max_bits`` (128 MB by default): past that size, hashes come in slices with a filter
-each.
+``max_bits`` (128 MB by default).  Past that size it stays where it was made: the
+hashes alone (8 bytes a row) shuffle to their segments, whose tasks count and test
+them in one go, and a Bloom filter of the hashes that passed, far fewer, is broadcast.
+Rows and texts stay in place either way.
 """
 
 from __future__ import annotations
 
 import string
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +26,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import SEGMENT_BITS, bit_at, durable, join_groups, shared_dir
+from .common import SEGMENT_BITS, bit_at, bloom_marked, durable, join_groups
 
 _SEED = 0x9E37
-#: Slices at most (of more rows than these serve at full bits, more pass the filter), and files of one.
-MOST_SLICES, SHARES = 4096, 8
 
 
 def normalised(text: Column) -> Column:
@@ -93,6 +91,36 @@ def repeated_filter(hashes: DataFrame, segments: int) -> DataFrame:
     return touched.groupBy("segment").applyInPandas(_merged, "segment long, bits binary")
 
 
+def _hashes_by_segment(segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
+        if not seen:
+            return
+        h, n = np.unique(np.concatenate(seen), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"segment": pa.array(_positions(h, segments)[0], pa.int64()), "h": pa.array(h, pa.int64()), "many": pa.array(n > 1)})
+
+    return run
+
+
+def _passing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The different hashes of a segment both of whose places are touched more than once there."""
+    h, many = pdf["h"].to_numpy(np.int64), pdf["many"].to_numpy(bool)
+    _, p, q = _positions(h, 1)
+    times = np.where(many, 2, 1)
+    counter = np.bincount(p, times, SEGMENT_BITS) + np.bincount(q[p != q], times[p != q], SEGMENT_BITS)
+    return pd.DataFrame({"h": np.unique(h[(counter[p] > 1) & (counter[q] > 1)])})
+
+
+def repeated_hashes(hashes: DataFrame, segments: int) -> DataFrame:
+    """(h): the different values of the one column of ``hashes`` that pass the filter of these segments, which is nowhere as a whole.
+
+    A partition sends each of its hashes once, so a hash of very many rows reaches its
+    segment as often as there are partitions at most.
+    """
+    dealt = hashes.mapInArrow(_hashes_by_segment(segments), "segment long, h long, many boolean")
+    return dealt.groupBy("segment").applyInPandas(_passing, "h long")
+
+
 def _tested(rows: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
     """``rows`` (with __h) with __maybe: whether both places of the hash were touched more than once."""
     found = F.broadcast(filters.select(F.col("segment").alias("__segment0"), F.col("bits").alias("__bits")))  # max_bits at most
@@ -103,50 +131,31 @@ def _tested(rows: DataFrame, filters: DataFrame, segments: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextGroups:
-    """Narrow results of the two passes: rows (id, text_sha256, keep_id, group_size), the groups of rows that passed the filter, and the filter itself."""
+    """Narrow results of the two passes: rows (id, text_sha256, keep_id, group_size), the groups of rows that passed the filter, and what marks rows (with __h) that pass, as __maybe."""
 
     rows: DataFrame
     groups: DataFrame
-    filters: DataFrame | None
-    segments: int
+    marked: Callable[[DataFrame], DataFrame]
 
 
 def text_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30) -> TextGroups:
-    """Both passes over (id, hash), which one pass over the texts writes down.
-
-    Where one filter would be larger than ``max_bits``, hashes are dealt into slices
-    that are filtered one after the other, each over its own files; so the filter
-    keeps its bits per row at any size.
-    """
-    spark = docs.sparkSession
+    """Both passes over (id, hash), which one pass over the texts writes down."""
     sha = F.sha2(normalised(F.col(text_col)), 256)
     narrow = docs.select(F.col(id_col).alias("id"), sha.alias("text_sha256")).withColumn("__h", F.xxhash64("text_sha256", F.lit(_SEED)))
     wanted = durable(narrow)
     segments = 1 << max(0, (max(wanted.count() * bits_per_row, SEGMENT_BITS) // SEGMENT_BITS - 1).bit_length())
-    most = 1 << (max(1, max_bits // SEGMENT_BITS).bit_length() - 1)
-    slices, segments = max(1, segments // most), min(segments, most)
-    if slices > 1:
-        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-        place = F.shiftrightunsigned("__h", 20).bitwiseAND(min(slices, MOST_SLICES) - 1).cast("int")
-        # Equal slices meet, so that a slice has few files.
-        wanted.withColumn("__slice", place).repartition("__slice", F.pmod("__h", F.lit(SHARES))).write.partitionBy("__slice").parquet(path)
-        schema = StructType([*wanted.schema.fields, StructField("__slice", IntegerType())])
-        parts = [spark.read.schema(schema).parquet(path).where(F.col("__slice") == k).drop("__slice") for k in range(min(slices, MOST_SLICES))]
+    if segments * SEGMENT_BITS <= max(max_bits, SEGMENT_BITS):
+        filters = repeated_filter(wanted.select("__h"), segments)
+        marked = lambda rows: _tested(rows, filters, segments)
     else:
-        parts = [wanted]
-    out = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    for part in parts:
-        filters = repeated_filter(part.select("__h"), segments)
-        tested = _tested(part, filters, segments)
-        if slices > 1:
-            tested.write.mode("append").partitionBy("__maybe").parquet(out)
-    if slices > 1:
-        tested, filters = spark.read.schema(tested.schema).parquet(out), None
+        passed = durable(repeated_hashes(wanted.select("__h"), segments))
+        marked = lambda rows: bloom_marked(rows, "__h", passed, "__maybe", bits_per_key=bits_per_row, max_bits=max_bits)
+    tested = marked(wanted)
     once = tested.where(~F.col("__maybe")).select("id", "text_sha256", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     maybe = tested.where("__maybe").select("id", "text_sha256", "__h")
     groups = durable(maybe.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     met = join_groups(maybe, groups, ["text_sha256"], "group_size", ["id", "__h"]).select(once.columns)
-    return TextGroups(once.unionByName(met), groups, filters, segments)
+    return TextGroups(once.unionByName(met), groups, marked)
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -156,8 +165,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Of equal texts the largest id stays.  Rows repeated under one id are one
     document and share its decision; a null id stays only where no other has the
     text.  An empty table has no rows.  The four names replace columns of the same
-    name.  Rows that cannot repeat pass straight through, the others shuffle; where
-    the filter came in slices, all rows join the groups.
+    name.  Rows that cannot repeat pass straight through, the others shuffle.
     """
     found = text_groups(docs, id_col=id_col, text_col=text_col, **options)
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
@@ -165,14 +173,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.toDF(*names.values()).withColumn("text_sha256", F.sha2(normalised(F.col(names[text_col])), 256)).withColumn("__h", F.xxhash64("text_sha256", F.lit(_SEED)))
     own = F.col(names[id_col])
     columns = [*names.values(), "text_sha256", "keep_id", "group_size"]
-    join = lambda df: join_groups(df, found.groups, ["text_sha256"], "group_size", [names[id_col], "__h"])
-    if found.filters is None:
-        met = join(rows)
-        out = met.withColumns({"keep_id": F.when(F.col("group_size").isNull(), own).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}).select(columns)
-    else:
-        tested = _tested(rows, found.filters, found.segments)
-        once = tested.where(~F.col("__maybe")).withColumns({"keep_id": own, "group_size": F.lit(1).cast("long")}).select(columns)
-        out = once.unionByName(join(tested.where("__maybe").drop("__maybe")).select(columns))
+    tested = found.marked(rows)
+    once = tested.where(~F.col("__maybe")).withColumns({"keep_id": own, "group_size": F.lit(1).cast("long")}).select(columns)
+    met = join_groups(tested.where("__maybe").drop("__maybe"), found.groups, ["text_sha256"], "group_size", [names[id_col], "__h"])
+    out = once.unionByName(met.select(columns))
     out = out.withColumn("kept", own.eqNullSafe(F.col("keep_id")))
     return out.select(*[F.col(v).alias(k) for k, v in names.items()], "keep_id", "group_size", "kept", "text_sha256")
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recordprofile.llm import exact_dedup, mixing, packing, sharding, token_counts
 from recordprofile.llm.bpe import Bpe
@@ -309,3 +310,21 @@ def test_very_long_white_space_is_counted_and_packed(spark, make_docs):
     pieces = packing.pack_documents(docs).groupBy("doc_id").sum("length").collect()
     assert sorted(tuple(r) for r in pieces) == list(enumerate(sizes))
     assert token_counts.length_histogram(docs).count() == len({*sizes})
+
+
+def test_exact_dedup_beyond_one_filter_keeps_rows_in_place(make_docs):
+    docs = make_docs([f"text {k}" for k in range(3000)] + ["Twice", "twice"] * 20 + [""] * 40)
+    found = exact_dedup.text_groups(docs, max_bits=1 << 15, bits_per_row=400)
+    rows = docs.withColumn("__h", F.xxhash64(F.sha2(exact_dedup.normalised(F.col("text")), 256), F.lit(exact_dedup._SEED)))
+    marked = found.marked(rows)
+    # Only the filter moves: texts and ids meet no shuffle before they pass, and few rows pass that don't repeat.
+    plan = marked._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    passed = {r["text"].lower(): r["n"] for r in marked.where("__maybe").groupBy("text").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {"twice", ""} <= set(passed) and len(passed) < 150
+    whole = exact_dedup.exact_dedup(docs).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, exact_dedup.exact_dedup(docs, max_bits=1 << 15, bits_per_row=400).collect()))
+    hashes = rows.select("__h")
+    at_once = {r["h"] for r in exact_dedup.repeated_hashes(hashes, 32).collect()}
+    tested = exact_dedup._tested(hashes, exact_dedup.repeated_filter(hashes, 32), 32).where("__maybe").select("__h").distinct()
+    assert at_once == {r["__h"] for r in tested.collect()} and len(at_once) >= 2
