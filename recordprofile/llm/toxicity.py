@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 from statistics import NormalDist
 
 import numpy as np
@@ -35,23 +36,27 @@ _words = re.compile(r"\w+").findall
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4)
 DECAYS = (1e-3, 3e-4, 1e-4)
-#: Features that a task counts before it hands them on.
-FEATURES_IN_TASK = 100_000
+#: Characters of the texts whose features a task counts together; a longer text is counted alone.
+CHARS_AT_ONCE = 4_000_000
 
 
-def occurrences(words: Iterable[str]) -> Counter[str]:
-    """How often words and their beginnings (with an asterisk) occur."""
-    found = Counter(words)
-    for w, k in list(found.items()):
-        for n in PREFIXES:
-            if len(w) > n:
-                found[f"{w[:n]}*"] += k
-    return found
+def bases(word: str) -> list[str]:
+    """The word and its beginnings, these with an asterisk."""
+    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
-def text_features(text: str | None) -> set[str]:
-    """Lower-case words, and their first letters marked with an asterisk; with a number behind if they occur so often at least."""
-    found = occurrences(_words((text or "").lower()))
+def text_features(text: str | None, starts: set[str] | None = None) -> set[str]:
+    """Lower-case words, and their first letters marked with an asterisk; with a number behind if they occur so often at least.
+
+    With ``starts`` only words count whose first letters are among them.
+    """
+    words: Iterable[str] = _words((text or "").lower())
+    if starts is not None:
+        words = (w for w in words if w[: PREFIXES[0]] in starts)
+    found: Counter[str] = Counter()
+    for w, k in Counter(words).items():
+        for base in bases(w):
+            found[base] += k
     return {named(f, level) for f, k in found.items() for level in LEVELS if k >= level}
 
 
@@ -59,6 +64,43 @@ def named(base: str, level: int) -> str:
     return base if level == 1 else f"{base} {level}"
 
 
+def first_letters(features: Iterable[str]) -> set[str]:
+    """The first letters of the words that can have one of the features."""
+    return {f.split(" ")[0].rstrip("*")[: PREFIXES[0]] for f in features}
+
+
+def feature_counts(texts: Sequence[str | None], positive: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The ``text_features`` of the texts, and how many of the positive and of the other texts have each, counted for all texts at once."""
+    word_number: dict[str, int] = {}
+    words = [_words((t or "").lower()) for t in texts]
+    doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+    word = np.fromiter((word_number.setdefault(w, len(word_number)) for ws in words for w in ws), np.int64, len(doc))
+    if not len(word):
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs, times = np.unique(doc * len(word_number) + word, return_counts=True)
+    doc, word = np.divmod(pairs, len(word_number))
+    base_number: dict[str, int] = {}
+    of_word = [[base_number.setdefault(f, len(base_number)) for f in bases(w)] for w in word_number]
+    width = np.array([len(b) for b in of_word])
+    flat, start = np.fromiter(chain.from_iterable(of_word), np.int64, width.sum()), np.cumsum(width) - width
+    # Each word of a text becomes its bases, which are added up by text.
+    n = width[word]
+    at = np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    pairs, place = np.unique(np.repeat(doc, n) * len(base_number) + flat[at], return_inverse=True)
+    times = np.bincount(place, np.repeat(times, n))
+    doc, base = np.divmod(pairs, len(base_number))
+    by_number, names = list(base_number), []
+    counts: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+    for level in LEVELS:
+        often = times >= level
+        p, u = (np.bincount(base[often & (positive[doc] == side)], minlength=len(base_number)) for side in (True, False))
+        used = np.flatnonzero(p + u)
+        names += [named(by_number[k], level) for k in used]
+        counts[0].append(p[used])
+        counts[1].append(u[used])
+    return names, np.concatenate(counts[0]), np.concatenate(counts[1])
+
+
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
@@ -67,12 +109,10 @@ class Model:
     @cached_property
     def starts(self) -> set[str]:
         """The first letters of all features: words with others have none."""
-        return {f.split(" ")[0].rstrip("*")[: PREFIXES[0]] for f in self.weights}
+        return first_letters(self.weights)
 
     def score(self, text: str | None) -> float:
-        found = occurrences(w for w in _words((text or "").lower()) if w[: PREFIXES[0]] in self.starts)
-        names = sorted(named(f, level) for f, k in found.items() for level in LEVELS if k >= level)
-        g = self.bias + sum(w for f in names if (w := self.weights.get(f)))
+        g = self.bias + sum(w for f in sorted(text_features(text, self.starts)) if (w := self.weights.get(f)))
         return float(1 / (1 + np.exp(-np.clip(g, -40, 40))))
 
 
@@ -164,6 +204,10 @@ def fit(
     documents outside the held-out fold, labels ignored: their toxic part is the prior,
     however many of them have labels.  Without toxic examples or text every score is the
     prior (0 without labels).
+
+    Null ids and null labels teach nothing.  Of rows that repeat an id the smallest text
+    is the example, so an id is one example of a kind.  An id labelled both ways is a
+    toxic example, and the prior counts each of its labels.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(id_col, F.col(label_col).cast("int").alias("y"))
@@ -179,26 +223,28 @@ def fit(
         return Model({}, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     # At most max_positive + max_unlabelled rows.
     picked = spark.createDataFrame([(i, True) for i in positive] + [(i, False) for i in unlabelled], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, p boolean")
-    sample = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(id_col, text_col, "p")
+    known_texts = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).repartition(spark.sparkContext.defaultParallelism, id_col)
+    sample = durable(known_texts.groupBy(id_col, "p").agg(F.min(text_col).alias(text_col)).select(id_col, text_col, "p"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {True: Counter(), False: Counter()}
+        texts: list[str | None] = []
+        toxic: list[bool] = []
+        chars = 0
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            names = list(seen[True].keys() | seen[False].keys())
-            for a in range(0, len(names), 50_000):
-                part = names[a : a + 50_000]
-                yield pa.RecordBatch.from_pydict({"f": part, "p": [seen[True][f] for f in part], "u": [seen[False][f] for f in part]})
-            seen[True].clear()
-            seen[False].clear()
+        def counted() -> pa.RecordBatch:
+            names, p, u = feature_counts(texts, np.array(toxic, bool))
+            return pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string()), "p": pa.array(p, pa.int64()), "u": pa.array(u, pa.int64())})
 
         for batch in batches:
             for text, p in zip(batch.column(1), batch.column(2), strict=True):
-                seen[p.as_py()].update(text_features(text.as_py()))
+                texts.append(text.as_py())
+                toxic.append(p.as_py())
+                chars += len(texts[-1] or "")
                 # Sums are made again in Spark, so a task need not hold all features of its rows.
-                if len(seen[True]) + len(seen[False]) > FEATURES_IN_TASK:
-                    yield from counted()
-        yield from counted()
+                if chars > CHARS_AT_ONCE:
+                    yield counted()
+                    texts, toxic, chars = [], [], 0
+        yield counted()
 
     tested = durable(
         sample.mapInArrow(count, "f string, p long, u long")
@@ -209,11 +255,11 @@ def fit(
     bar = NormalDist().inv_cdf(1 - level / 2 / max(1, tested.count()))
     z = significance(F.col("p"), F.col("u"), len(positive), len(unlabelled))
     features = sorted(r["f"] for r in tested.withColumn("z", z).where(F.col("z") >= bar).orderBy(F.desc("z"), "f").limit(max_features).collect())
-    number = {f: k for k, f in enumerate(features)}
+    number, starts = {f: k for k, f in enumerate(features)}, first_letters(features)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(number[f] for f in text_features(t.as_py()) if f in number) for t in batch.column(1)]
+            found = [sorted(number[f] for f in text_features(t.as_py(), starts) if f in number) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "p": batch.column(2), "x": pa.array(found, pa.list_(pa.int32()))})
 
     collected = sorted(sample.mapInArrow(rows, "id string, p boolean, x array<int>").collect(), key=lambda r: (r["id"] or "", r["x"]))

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -340,3 +341,68 @@ def test_all_text_flagged_is_never_the_least_risk():
     for l2 in toxicity.DECAYS:
         w, b = toxicity.train_nnpu(marked, plain, 3, 0.13, l2=l2)
         assert b < 0 < b + w.min()
+
+
+def test_features_counted_together_are_those_of_each_text():
+    r = random.Random(5)
+    texts = [None, "", "ab ab AB abc", "été Été_x9 " * 5] + [" ".join("".join(r.choices("abcdé", k=r.randint(1, 10))) for _ in range(r.choice([0, 3, 60]))) for _ in range(300)]
+    positive = np.array([r.random() < 0.3 for _ in texts])
+    names, p, u = toxicity.feature_counts(texts, positive)
+    for side, counts in ((True, p), (False, u)):
+        want = Counter(f for t, q in zip(texts, positive, strict=True) if q == side for f in toxicity.text_features(t))
+        assert {f: k for f, k in zip(names, counts.tolist(), strict=True) if k} == dict(want)
+    assert toxicity.feature_counts([None, " "], np.array([True, False]))[0] == []
+    starts = toxicity.first_letters(["abc", "dab* 2", "é"])
+    for t in texts:
+        assert toxicity.text_features(t, starts) == {f for f in toxicity.text_features(t) if f.split(" ")[0].rstrip("*")[:3] in starts}
+
+
+def plain_nnpu(positive, unlabelled, names, prior, l2, rounds=400, rate=0.1):
+    """Non-negative PU training as the formula has it: dense rows, the step's direction by the sign of the clean risk, Adam."""
+    dense = lambda rows: np.array([[f in x for f in names] + [True] for x in rows], float)
+    xp, xu = dense(positive), dense(unlabelled)
+    w = np.zeros(len(names) + 1)
+    w[-1] = math.log(prior / (1 - prior))
+    m, v, decay = np.zeros_like(w), np.zeros_like(w), np.append(np.full(len(names), l2), 0)
+    for t in range(1, rounds + 1):
+        sp, su = 1 / (1 + np.exp(-xp @ w)), 1 / (1 + np.exp(-xu @ w))
+        clean = -np.log(1 - su).mean() + prior * np.log(1 - sp).mean()
+        toward_clean = xu.T @ su / len(xu) - prior * xp.T @ sp / len(xp)
+        grad = (prior * xp.T @ (sp - 1) / len(xp) + toward_clean if clean >= 0 else -toward_clean) + decay * w
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return dict(zip(names, w, strict=False)), w[-1]
+
+
+def test_toxicity_against_plain_python(spark):
+    """Repeated rows, a second text of an id and labels of both kinds among the rows."""
+    docs, labels, truth = toxic_table(spark, 900, 4)
+    more = [(8, "vile rotten vile"), (8, "vile rotten vile"), (9, ""), (11, "badmouths rotten")]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).repartition(3)
+    both = next(r["doc_id"] for r in labels.where("toxic = 1 and doc_id < 900").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    labels = labels.unionByName(spark.createDataFrame([(both, 1, 0), (both, 1, 1)], labels.schema))
+    learns = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 0
+    texts = {}
+    for r in docs.collect():
+        if learns(r["doc_id"]):
+            texts.setdefault(r["doc_id"], []).append(r["text"])
+    texts = {i: min((t for t in ts if t is not None), default=None) for i, ts in texts.items()}
+    known = [(r["doc_id"], r["toxic"]) for r in labels.collect() if learns(r["doc_id"]) and r["toxic"] is not None]
+    prior = sum(y for _, y in known) / len(known)
+    toxic_ids = sorted({i for i, y in known if y} & texts.keys())
+    positive, unlabelled = [toxicity.text_features(texts[i]) for i in toxic_ids], [toxicity.text_features(t) for t in texts.values()]
+    p, u = Counter(f for x in positive for f in x), Counter(f for x in unlabelled for f in x)
+    tested = [f for f in p.keys() | u.keys() if p[f] + u[f] >= 5]
+
+    def z(f):
+        rate = (p[f] + u[f]) / (len(positive) + len(unlabelled))
+        cells = [(p[f], len(positive) * rate), (len(positive) - p[f], len(positive) * (1 - rate)), (u[f], len(unlabelled) * rate), (len(unlabelled) - u[f], len(unlabelled) * (1 - rate))]
+        return math.sqrt(max(0.0, 2 * sum(k * math.log(k / e) for k, e in cells if k)))
+
+    bar = NormalDist().inv_cdf(1 - 0.05 / 2 / len(tested))
+    names = sorted(f for f in tested if z(f) >= bar)
+    weights, bias = plain_nnpu(positive, unlabelled, names, prior, 3e-4)
+    assert "vile" in names and bias < 0 < weights["vile"]
+    for r in toxicity.score_toxicity(docs, labels, decays=(3e-4,)).collect():
+        g = bias + sum(weights.get(f, 0.0) for f in toxicity.text_features(r["text"]))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, g)))), abs=1e-4)
