@@ -259,6 +259,36 @@ def test_sharding_of_equal_points_and_hot_groups(make_docs):
     assert {len(s) for s in placed.values()} == {1}
 
 
+@pytest.mark.parametrize("shards", [8, 5])
+def test_shards_are_the_leaves_of_a_plain_tree(make_docs, shards):
+    """The tree by recursion: the widest dimension is cut where the bytes on its low side come nearest to its part of the shards."""
+    r = random.Random(11)
+    docs = make_docs([(7 * i, f"text {i} " * r.randint(1, 60), r.choice(["en", "de"]), r.choice(["a", "b", "c"]), n) for i, n in enumerate(r.sample(range(1000), 400))])
+    unit = lambda *c: sharding._unit(F.xxhash64(*c))
+    rows = docs.select("doc_id", "n_chars", (F.octet_length("text") + 1).alias("size"), unit("source").alias("s"), unit("lang").alias("l"), unit("doc_id", F.xxhash64("text"), F.lit("tie")).alias("tie")).collect()
+    scaled = lambda c: lambda x, at=sorted(q[c] for q in rows): (x[c] - at[0]) / (at[-1] - at[0])
+    length, place = scaled("n_chars"), scaled("doc_id")
+    points = [((length(x), place(x), x["s"], x["l"]), x["tie"], x["size"], x["doc_id"]) for x in rows]
+    want = {}
+
+    def cut(points, first, n):
+        if n == 1:
+            want.update((p[3], first) for p in points)
+            return
+        wide = [max(p[0][d] for p in points) - min(p[0][d] for p in points) for d in range(4)]
+        dim = wide.index(max(wide))
+        points = sorted(points, key=lambda p: (p[0][dim], p[1]))
+        below, k, part = 0, 0, sum(p[2] for p in points) * (n // 2) / n
+        while below + points[k][2] < part:
+            below, k = below + points[k][2], k + 1
+        k += part - below > points[k][2] / 2
+        cut(points[:k], first, n // 2)
+        cut(points[k:], first + n // 2, n - n // 2)
+
+    cut(points, 0, shards)
+    assert {x["doc_id"]: x["shard"] for x in sharding.kd_shards(docs, shards=shards).collect()} == want
+
+
 def test_shards_of_any_ids(make_docs, awkward):
     from pyspark.sql import functions as F
 
