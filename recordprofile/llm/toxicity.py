@@ -37,7 +37,7 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4)
 DECAYS = (1e-3, 3e-4, 1e-4)
 #: Characters of the texts whose features a task counts together; a longer text is counted alone.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 1_000_000
 
 
 def bases(word: str) -> list[str]:
