@@ -38,6 +38,8 @@ LEVELS = (1, 2, 4)
 DECAYS = (1e-3, 3e-4, 1e-4)
 #: Characters of the texts whose features a task counts together; a longer text is counted alone.
 CHARS_AT_ONCE = 1_000_000
+#: Words whose bases a task keeps, and the most letters of one; others are looked up again.
+WORDS_KEPT, LONGEST_KEPT = 100_000, 40
 
 
 def bases(word: str) -> list[str]:
@@ -45,28 +47,40 @@ def bases(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
-def text_features(text: str | None, starts: set[str] | None = None) -> set[str]:
-    """Lower-case words, and their first letters marked with an asterisk; with a number behind if they occur so often at least.
-
-    With ``starts`` only words count whose first letters are among them.
-    """
-    words: Iterable[str] = _words((text or "").lower())
-    if starts is not None:
-        words = (w for w in words if w[: PREFIXES[0]] in starts)
-    found: Counter[str] = Counter()
-    for w, k in Counter(words).items():
-        for base in bases(w):
-            found[base] += k
-    return {named(f, level) for f, k in found.items() for level in LEVELS if k >= level}
+def text_features(text: str | None) -> set[str]:
+    """Lower-case words, and their first letters marked with an asterisk; with a number behind if they occur so often at least."""
+    return KnownFeatures().of(text)
 
 
 def named(base: str, level: int) -> str:
     return base if level == 1 else f"{base} {level}"
 
 
-def first_letters(features: Iterable[str]) -> set[str]:
-    """The first letters of the words that can have one of the features."""
-    return {f.split(" ")[0].rstrip("*")[: PREFIXES[0]] for f in features}
+class KnownFeatures:
+    """Finds which of a set of features texts have, or all their features; a word's bases are looked up once."""
+
+    def __init__(self, features: Iterable[str] | None = None):
+        self.features = None if features is None else set(features)
+        self.bases = None if features is None else {f.split(" ")[0] for f in self.features}
+        self.of_word: dict[str, list[str]] = {}
+
+    def _bases(self, word: str) -> list[str]:
+        found = self.of_word.get(word)
+        if found is None:
+            found = [b for b in bases(word) if self.bases is None or b in self.bases]
+            if len(word) <= LONGEST_KEPT:
+                if len(self.of_word) >= WORDS_KEPT:
+                    self.of_word.clear()
+                self.of_word[word] = found
+        return found
+
+    def of(self, text: str | None) -> set[str]:
+        times: Counter[str] = Counter()
+        for w, k in Counter(_words((text or "").lower())).items():
+            for base in self._bases(w):
+                times[base] += k
+        names = (named(b, level) for b, k in times.items() for level in LEVELS if k >= level)
+        return set(names) if self.features is None else self.features.intersection(names)
 
 
 def feature_counts(texts: Sequence[str | None], positive: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -107,12 +121,11 @@ class Model:
     bias: float
 
     @cached_property
-    def starts(self) -> set[str]:
-        """The first letters of all features: words with others have none."""
-        return first_letters(self.weights)
+    def known(self) -> KnownFeatures:
+        return KnownFeatures(self.weights)
 
     def score(self, text: str | None) -> float:
-        g = self.bias + sum(w for f in sorted(text_features(text, self.starts)) if (w := self.weights.get(f)))
+        g = self.bias + sum(self.weights[f] for f in sorted(self.known.of(text)))
         return float(1 / (1 + np.exp(-np.clip(g, -40, 40))))
 
 
@@ -255,11 +268,12 @@ def fit(
     bar = NormalDist().inv_cdf(1 - level / 2 / max(1, tested.count()))
     z = significance(F.col("p"), F.col("u"), len(positive), len(unlabelled))
     features = sorted(r["f"] for r in tested.withColumn("z", z).where(F.col("z") >= bar).orderBy(F.desc("z"), "f").limit(max_features).collect())
-    number, starts = {f: k for k, f in enumerate(features)}, first_letters(features)
+    number = {f: k for k, f in enumerate(features)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = KnownFeatures(number)
         for batch in batches:
-            found = [sorted(number[f] for f in text_features(t.as_py(), starts) if f in number) for t in batch.column(1)]
+            found = [sorted(number[f] for f in known.of(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "p": batch.column(2), "x": pa.array(found, pa.list_(pa.int32()))})
 
     collected = sorted(sample.mapInArrow(rows, "id string, p boolean, x array<int>").collect(), key=lambda r: (r["id"] or "", r["x"]))
