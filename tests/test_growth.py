@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordprofile.operators import profile
+from recordprofile.plans import fixtures as fx
 
+SF = "/root/testdata/sf0.001"
 LEAVES = [
     (k, p.replace("#", ""), p.replace("#", str(i)), v, "string")
     for k in ("a|r|0", "b|r|0", "c|r|0")
@@ -66,3 +68,11 @@ def test_values_held_outside_the_objects(corpus):
     # No instance at this prefix has a leaf of that path, so none is left.
     assert profile.object_rows(docs, eav, "lines[].t[]", ["lines[].t[]"], **HIT).total == 0
     assert profile.object_table(docs, eav, "lines[].t[]", ["lines[].t[]"], **HIT).count() == 0
+
+
+def test_order_tasks_are_bounded(spark, monkeypatch):
+    whole = fx.order_docs(spark, SF)
+    monkeypatch.setattr(fx, "LINES_PER_TASK", 1000)
+    dealt = fx.order_docs(spark, SF)
+    assert dealt.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000) > 1
+    assert sorted(dealt.collect()) == sorted(whole.collect())
