@@ -1,5 +1,8 @@
 """That leaves are made once, whoever reads them, and that tasks are bounded."""
 
+import contextlib
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,16 @@ def test_values_held_outside_the_objects(corpus):
     assert profile.object_table(docs, eav, "lines[].t[]", ["lines[].t[]"], **HIT).count() == 0
 
 
+def test_extremes_sort_no_leaves(spark, corpus):
+    eav = spark.createDataFrame(LEAVES + [("d", "é", "é", None, "null"), ("d", "z", "z", "é", "string"), ("d", "z", "z", "\U0001f600", "string"), ("d", "z", "z", "￮", "string")], corpus[1].schema)
+    found = profile.path_extremes(eav)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        found.explain()
+    assert "Sort" not in plan.getvalue().split("MapInArrow")[1]
+    plain = eav.groupBy("path", "value_type").agg(F.count(F.lit(1)).alias("leaves"), F.min("value").alias("least"), F.max("value").alias("most"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_order_tasks_are_bounded(spark, monkeypatch):
     whole = fx.order_docs(spark, SF)
     monkeypatch.setattr(fx, "LINES_PER_TASK", 1000)
