@@ -73,6 +73,12 @@ def test_values_held_outside_the_objects(corpus):
     assert profile.object_table(docs, eav, "lines[].t[]", ["lines[].t[]"], **HIT).count() == 0
 
 
+def test_schema_overview_makes_leaves_once(corpus):
+    docs, eav, made = corpus
+    assert [tuple(r) for r in profile.schema_overview(docs, eav).select("field", "doc_count", "count_max", "distinct_values").collect()] == [("lines", 3, 3, 9)]
+    assert made.value == len(LEAVES)
+
+
 def test_extremes_sort_no_leaves(spark, corpus):
     eav = spark.createDataFrame(LEAVES + [("d", "é", "é", None, "null"), ("d", "z", "z", "é", "string"), ("d", "z", "z", "\U0001f600", "string"), ("d", "z", "z", "￮", "string")], corpus[1].schema)
     found = profile.path_extremes(eav)
