@@ -10,6 +10,7 @@ from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -215,6 +216,21 @@ def block_pairs(members: DataFrame, keys: Sequence[str], member: str, *, block:
     return met.select(*keys, member, "b", F.least("b", "__o").alias("lo"), F.greatest("b", "__o").alias("hi"))
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], column: int, *, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about so many bytes in one column, whatever the session's batch size; a longer value is a piece of its own.
+
+    What a worker makes of a piece so stays small, as its process keeps the memory that it once had.
+    """
+    for batch in batches:
+        # A row costs something besides its text.
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 128
+        piece = (np.cumsum(size) - size) // most_bytes
+        starts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1), batch.num_rows]
+        for a, b in zip(starts, starts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def groups_in_order(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """The runs of equal keys (no nulls) in a partition that is sorted by them, across its batches."""
     pending: pa.Table | None = None

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, durable, forest, free_name, groups_in_order, join_groups, sifted
+from .common import block_pairs, components, durable, forest, free_name, groups_in_order, in_pieces, join_groups, sifted
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands of the MinHash values; a pair at 0.8 misses all with probability 3e-5, at 0.9 with 6e-10.
@@ -39,6 +39,8 @@ VALUES = 128
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 256
+#: Pairs whose MinHash values are compared at once.
+PAIRS = 1 << 15
 
 _words = re.compile(r"\w+").findall
 _MULTIPLY = np.random.default_rng(20).integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,6 +94,11 @@ def least_agreeing(threshold: float, tolerance: float, values: int = VALUES, ste
 def surviving_pairs(left: np.ndarray, right: np.ndarray, least: dict[int, int], *, same: bool, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (a, b) of the pairs of two MinHash matrices that are never dropped; ``same``: one matrix, a < b."""
     a, b = np.triu_indices(len(left), 1) if same else (x.ravel() for x in np.indices((len(left), len(right))))
+    parts = [_surviving(left, right, a[k : k + PAIRS], b[k : k + PAIRS], least, step) for k in range(0, len(a), PAIRS)]
+    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (a, b)
+
+
+def _surviving(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, least: dict[int, int], step: int) -> tuple[np.ndarray, np.ndarray]:
     agree = np.zeros(len(a), np.int32)
     for n, needed in least.items():
         agree += (left[a, n - step : n] == right[b, n - step : n]).sum(axis=1, dtype=np.int32)
@@ -163,7 +170,7 @@ def similar_documents(
     arrow_kind = docs.select(id_col).limit(0).toArrow().schema.field(0).type
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             keys, bands = [], []
             for text in batch.column(1):
                 grams = shingles(text.as_py(), words)
@@ -185,7 +192,7 @@ def similar_documents(
     suspects = durable(buckets.join(shared, "bucket", "left_semi").distinct())
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches, 0):
             grams = [shingles(t.as_py(), words) for t in batch.column(0)]
             # An id may have other texts besides that of the class.
             own = [k for k, g in enumerate(grams) if class_key(g) == batch.column(1)[k].as_py()]

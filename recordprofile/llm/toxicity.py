@@ -61,13 +61,14 @@ class KnownFeatures:
 
     def __init__(self, features: Iterable[str] | None = None):
         self.features = None if features is None else set(features)
-        self.bases = None if features is None else {f.split(" ")[0] for f in self.features}
-        self.of_word: dict[str, list[str]] = {}
+        # Words share the text of their bases.
+        self.bases = None if features is None else {b: b for b in (f.split(" ")[0] for f in self.features)}
+        self.of_word: dict[str, tuple[str, ...]] = {}
 
-    def _bases(self, word: str) -> list[str]:
+    def _bases(self, word: str) -> tuple[str, ...]:
         found = self.of_word.get(word)
         if found is None:
-            found = [b for b in bases(word) if self.bases is None or b in self.bases]
+            found = tuple(bases(word)) if self.bases is None else tuple(self.bases[b] for b in bases(word) if b in self.bases)
             if len(word) <= LONGEST_KEPT:
                 if len(self.of_word) >= WORDS_KEPT:
                     self.of_word.clear()

@@ -6,9 +6,10 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from recordprofile.llm import jaccard_join, line_dedup
+from recordprofile.llm import common, jaccard_join, line_dedup, toxicity
 
 
 def near_copies(seed=0, bases=12, each=12, length=120):
@@ -175,3 +176,30 @@ def test_a_hot_line_and_blank_lines(make_docs):
     found = line_dedup.dedup_lines(docs).groupBy("line_no", "kept").count().collect()
     counts = {(r["line_no"], r["kept"]): r["count"] for r in found}
     assert counts[0, True] == 1 and counts[4, True] == 1 and counts[1, True] == counts[3, True] == 3000 and (1, False) not in counts
+
+
+def test_pieces_hold_few_bytes():
+    texts = ["a" * 100, None, "", "é" * 5000, "b" * 300, None] * 50
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    pieces = list(common.in_pieces(iter([batch, batch.slice(0, 0)]), 1, most_bytes=2000))
+    assert pa.Table.from_batches(pieces).to_pydict() == batch.to_pydict()
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()[:-1]) <= 2000 for p in pieces)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_pairs_compared_in_parts_survive_alike(monkeypatch, same):
+    rng = np.random.default_rng(3)
+    left = np.where(rng.random((40, 128)) < 0.9, 7, rng.integers(0, 9, (40, 128))).astype(np.uint32)
+    right = left if same else left[::-1].copy()
+    least = jaccard_join.least_agreeing(0.8, 1e-6)
+    whole = jaccard_join.surviving_pairs(left, right, least, same=same)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 7)
+    parts = jaccard_join.surviving_pairs(left, right, least, same=same)
+    assert len(whole[0]) and all(np.array_equal(x, y) for x, y in zip(whole, parts, strict=True))
+
+
+def test_words_share_their_bases():
+    known = toxicity.KnownFeatures(toxicity.KnownFeatures().of("stupid words stupidly said"))
+    first, second = known._bases("stupid"), known._bases("stupidly")
+    shared = set(first) & set(second)
+    assert shared and {id(b) for b in first if b in shared} == {id(b) for b in second if b in shared}
