@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordprofile.operators import profile
-from recordprofile.plans import fixtures as fx
+from recordprofile.plans import fixtures as fx, queries
 
 SF = "/root/testdata/sf0.001"
 LEAVES = [
@@ -95,3 +95,16 @@ def test_order_tasks_are_bounded(spark, monkeypatch):
     dealt = fx.order_docs(spark, SF)
     assert dealt.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1000) > 1
     assert sorted(dealt.collect()) == sorted(whole.collect())
+
+
+def test_corpus_versions_are_made_once(spark, monkeypatch):
+    whole, made = fx.versions_twice(spark, SF), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(fx, "versions_twice", lambda *_: whole.mapInArrow(count, whole.schema))
+    assert queries.built_corpus(spark, SF, queries.OLD_DAY, queries.NEW_DAY).meta()["version"] == 2
+    assert made.value == whole.count()
