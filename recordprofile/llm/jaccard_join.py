@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, durable, forest, free_name, groups_in_order, in_pieces, join_groups, sifted
+from .common import block_pairs, bloom_marked, components, durable, forest, free_name, groups_in_order, in_pieces, join_groups, sifted
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bands of the MinHash values; a pair at 0.8 misses all with probability 3e-5, at 0.9 with 6e-10.
@@ -209,7 +209,12 @@ def similar_documents(
     # Most documents are no suspects; their texts need not shuffle.
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = sifted(own, "id", chosen.select("chosen_id")).join(chosen, F.col("id") == F.col("chosen_id")).select("text", "rep", "size")
-    members = durable(texts.mapInArrow(full, "rep binary, size long, values binary, grams binary").dropDuplicates(["rep"]))
+    members = durable(texts.mapInArrow(full, "rep binary, size long, values binary, grams binary"))
+    # Only rows that repeat an id and its n-grams are dropped; a sort of all n-grams would fill the memory.
+    again = durable(members.groupBy("rep").count().where("count > 1").select("rep"))
+    if not again.isEmpty():
+        marked = bloom_marked(members, "rep", again, "again")
+        members = durable(marked.where("not again").unionByName(marked.where("again").dropDuplicates(["rep"])).drop("again"))
     least = least_agreeing(threshold, tolerance)
 
     def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

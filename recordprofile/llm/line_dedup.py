@@ -198,7 +198,8 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     per_doc = gone.groupBy(F.col("id").alias(key), F.col("t").alias(row)).agg(F.collect_set("no").alias(lost))
     same = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(row))
     joined = docs.join(per_doc, same, "left")
-    rest = _without(F.when(F.col(lost).isNotNull(), F.col(text_col)), F.col(lost))
+    # Else the filter and the text would each evaluate it, with a worker of its own for each task.
+    rest = _without.asNondeterministic()(F.when(F.col(lost).isNotNull(), F.col(text_col)), F.col(lost))
     out = joined.withColumn(split, rest)
     out = out.where(F.col(lost).isNull() | (F.btrim(split, F.lit(_SPACE + "\n")) != ""))
     text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.col(split))

@@ -149,7 +149,9 @@ def pack_sized(pieces: DataFrame, *, order: list[str], size_col: str = "length",
     pieces = pieces.drop("sequence_id", "offset")
     size, rank, start, stop, at, times, place = (free_name(pieces, n) for n in ("__size", "__rank", "__from", "__to", "__first", "__times", "__offset"))
     # Some rows for each size up to the capacity, whatever the number of pieces.
-    plan = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in (size, start, stop, at, times, place)))
+    names = (size, start, stop, at, times, place)
+    # From Arrow, as plain rows would pass through Python workers.
+    plan = spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)}))
     ranked = number_rows(pieces, [size_col], order, rank)
     nth = F.col(rank) - F.col(start)
     return (

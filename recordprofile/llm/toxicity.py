@@ -231,12 +231,11 @@ def fit(
     ids = docs.select(id_col).where(~held_out(F.col(id_col))).distinct()
     chosen = known.where("y = 1").select(id_col).distinct().join(ids, id_col, "left_semi").orderBy(*order).limit(max_positive)
     other = ids.orderBy(*order).limit(max_unlabelled)
-    positive = [r[0] for r in chosen.collect()]
-    unlabelled = [r[0] for r in other.collect()]
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return Model({}, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     # At most max_positive + max_unlabelled rows.
-    picked = spark.createDataFrame([(i, True) for i in positive] + [(i, False) for i in unlabelled], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, p boolean")
+    picked = durable(chosen.select(id_col, F.lit(True).alias("p")).unionByName(other.select(id_col, F.lit(False).alias("p"))))
+    n_p, n_u = picked.agg(F.count_if("p"), F.count_if(~F.col("p"))).first()
+    if not n_p or not n_u or not 0 < prior < 1:
+        return Model({}, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     known_texts = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).repartition(spark.sparkContext.defaultParallelism, id_col)
     sample = durable(known_texts.groupBy(id_col, "p").agg(F.min(text_col).alias(text_col)).select(id_col, text_col, "p"))
 
@@ -267,7 +266,7 @@ def fit(
         .where(F.col("p") + F.col("u") >= least_documents)
     )
     bar = NormalDist().inv_cdf(1 - level / 2 / max(1, tested.count()))
-    z = significance(F.col("p"), F.col("u"), len(positive), len(unlabelled))
+    z = significance(F.col("p"), F.col("u"), n_p, n_u)
     features = sorted(r["f"] for r in tested.withColumn("z", z).where(F.col("z") >= bar).orderBy(F.desc("z"), "f").limit(max_features).collect())
     number = {f: k for k, f in enumerate(features)}
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from recordprofile.llm import common, jaccard_join, line_dedup, toxicity
+from recordprofile.llm import common, jaccard_join, line_dedup, packing, toxicity
 
 
 def near_copies(seed=0, bases=12, each=12, length=120):
@@ -203,3 +203,34 @@ def test_words_share_their_bases():
     first, second = known._bases("stupid"), known._bases("stupidly")
     shared = set(first) & set(second)
     assert shared and {id(b) for b in first if b in shared} == {id(b) for b in second if b in shared}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_without_lines_are_made_once(make_docs):
+    docs = make_docs([(1, "shared line here", "en", "s", 16), (2, "shared line here\nown words", "en", "s", 26)])
+    assert plan_of(line_dedup.without_repeated_lines(docs)).count("ArrowEvalPython [") == 1
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_ngrams_are_sorted_for_repeated_rows_only(make_docs, monkeypatch, repeated):
+    rows = [(i, t, None, None, None) for i, t in enumerate(near_copies(2, bases=3, each=6))]
+    docs = make_docs(rows + rows[:4] * repeated)
+    plans = []
+    monkeypatch.setattr(jaccard_join, "durable", lambda df: (plans.append((df.columns, plan_of(df))), common.durable(df))[1])
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_documents(docs).collect()}
+    assert found == {d: c for d, (_, c) in brute([r[:2] for r in rows]).items()}
+    wide = [plan for columns, plan in plans if "grams" in columns]
+    assert len(wide) == 1 + repeated and "key=[rep" not in wide[0]
+
+
+def test_rows_of_the_driver_start_no_python_workers(make_docs, monkeypatch):
+    from pyspark import RDD
+
+    docs = make_docs([f"some words {'and some others ' * (i % 7)}{i}" for i in range(60)])
+    labels = docs.sparkSession.createDataFrame([(i, int(i % 7 == 3)) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(RDD, "_to_java_object_rdd", lambda self: pytest.fail("rows pass through Python workers"))
+    assert packing.pack_documents(docs).count() == 60
+    assert toxicity.score_toxicity(docs, labels).count() == 60
